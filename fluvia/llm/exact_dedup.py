@@ -57,6 +57,7 @@ def exact_groups(documents: DataFrame, digest_all: bool = False) -> DataFrame:
     full = documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {id_type}, len bigint, alive boolean, sha binary")
     full = stored(full.withColumn("row", F.monotonically_increasing_id()), "full-hashes")
     groups = full.where("alive").groupBy("len", "sha").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1")
+    groups = stored(groups, "groups")  # read back, so that the join has an exchange on either side and a large group can be split
     out = full.join(groups.withColumnRenamed("len", "g_len").withColumnRenamed("sha", "g_sha"), (F.col("len") == F.col("g_len")) & (F.col("sha") == F.col("g_sha")), "left")
     alone = F.col("n").isNull()
     return out.select(

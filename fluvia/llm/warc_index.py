@@ -35,6 +35,7 @@ def payloads(pages: DataFrame) -> DataFrame:
     known = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
     known = stored(known, "payloads")
     first = known.where((F.col("n_bytes") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first_id")
+    first = stored(first, "responses")  # read back, so that the join has an exchange on either side and a large group can be split
     out = known.join(first, F.col("digest") == F.col("f_digest"), "left")
     return out.select("page_id", "digest", "n_bytes", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
