@@ -59,7 +59,7 @@ def write_archives(pages: DataFrame, out: str | None = None) -> str:
     body = F.coalesce("html", F.lit(""))
     url = F.regexp_replace(F.coalesce("url", F.lit("urn:fluvia:none")), "[\\x00-\\x20]", "%20")
     whole = pages.select("page_id", url.alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    whole = whole.repartition(n, "page_id").join(refers.repartition(n, "r_page"), (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
+    whole = whole.repartition(n, "page_id", "digest").join(refers.repartition(n, "r_page", "r_digest"), (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
     length = F.octet_length("body")
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
     uuid = lambda of: F.regexp_replace(F.md5(of), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
