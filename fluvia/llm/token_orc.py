@@ -3,32 +3,35 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
+from array import array
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, new_path, slices, texts
+from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, new_path, slices
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
 MOST_WORDS = 700_000
 ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
     """Byte-level BPE of the tokenizers library, with the ids of words remembered.
 
     The pre-tokenizer always cuts between a character that isn't white space and one that is. A text
-    in which no two characters of white space are adjacent is therefore cut into words, each with the
-    blank before it, and the ids of the words joined are the ids of the text. Other texts, and texts
-    with a special token's string, are encoded whole.
+    in which white space is single blanks and line breaks between words is therefore cut into words,
+    each with the blank before it, and the ids of the words joined are the ids of the text. It also
+    cuts between a letter or digit and the marks that end a word, so a new word is looked up without
+    them first. Other texts, and texts with a special token's string, are encoded whole.
     """
 
     def __init__(self, path: str, most: int = MOST_WORDS):
@@ -37,41 +40,91 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.most, self.known = most, {}
-        self.adjacent = re.compile(r"\s\s|^\s|[^\S \n]").search
+        self.most = most
+        #: Ids by word: of " the" for "the", of "\nthe" for "\nthe"; False if the text has to be encoded whole.
+        self.known: dict[str, bytes | bool] = {}
+        self.marks: dict[str, bytes] = {}
+        self.line_break = self._library(["\n"])[0]
 
     def _library(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
-
-    def encode(self, bodies: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers."""
-        plain, cut = [], []
-        for i, t in enumerate(bodies):
-            if self.adjacent(t) or any(s in t for s in self.special):
-                plain.append(i)
-                cut.append(None)
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
+
+    def _plain(self, body: str) -> bool:
+        return body.split() == [body] and not any(s in body for s in self.special)
+
+    def _learn(self, missing: list[str]) -> list[bytes | bool]:
+        """Ids of words that aren't known yet; they are remembered while there is room."""
+        known, marks = self.known, self.marks
+        cores: list[str | None] = []  # of each word that can be encoded: the word without the marks at its end
+        for w in missing:
+            body = w[1:] if w[:1] == "\n" else w
+            if not self._plain(body):
+                cores.append(None)
+            elif w.isalnum():
+                cores.append(w)
             else:
-                words = t.replace("\n", " \n").split(" ")
-                words[0] = "\0" + words[0]  # without a blank before it
-                cut.append(words)
-        known = self.known
-        missing = list({w for words in cut if words for w in words if w not in known})
-        fresh = {}
-        if missing:
-            line_break = self._library(["\n"])[0]
-            parts = [w[1:] if w[0:1] in ("\0", "\n") else " " + w for w in missing]
-            for w, ids in zip(missing, self._library(parts), strict=True):
-                fresh[w] = line_break + ids if w[0:1] == "\n" else ids
-            room = self.most - len(known)
-            if room > 0:
-                known.update(fresh if room >= len(fresh) else list(fresh.items())[:room])
-        whole = dict(zip(plain, self._library([bodies[i] for i in plain]), strict=True)) if plain else {}
+                core = w.rstrip(".,;:!?")
+                while core and not core[-1].isalnum():
+                    core = core[:-1]
+                cores.append(core or w)
+        new = [c for c in {*cores} if c is not None and c not in known]
+        ids = dict(zip(new, self._library([c[1:] if c[0] == "\n" else " " + c for c in new]), strict=True))
+        for c in new:
+            if c[0] == "\n":
+                ids[c] = self.line_break + ids[c]
+        tails = [t for t in {w[len(c) :] for w, c in zip(missing, cores, strict=True) if c} if t and t not in marks]
+        ends = marks | dict(zip(tails, self._library(tails), strict=True)) if tails else marks
+        if len(marks) < self.most // 100:
+            self.marks = ends
         out = []
-        for i, words in enumerate(cut):
-            if words is None:
-                out.append(whole[i])
+        for w, c in zip(missing, cores, strict=True):
+            if c is None:
+                out.append(False)
             else:
-                out.append(b"".join([known[w] if w in known else fresh[w] for w in words]))
+                own = ids[c] if c in ids else known[c]
+                out.append(own if len(w) == len(c) else own + ends[w[len(c) :]])
+        for words in (ids.items(), zip(missing, out, strict=True)):
+            room = self.most - len(known)
+            if room > 0:
+                known.update(islice(words, room))
+        return out
+
+    def encode(self, bodies: pa.Array) -> list[bytes]:
+        """The ids of each text as little-endian 32-bit integers; null counts as empty.
+
+        Each distinct word of the texts is looked up once; the rest is done on whole columns.
+        """
+        bodies = pc.fill_null(bodies, "")
+        lists = pc.split_pattern(pc.replace_substring(bodies, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = words.dictionary.to_pylist()
+        ids = list(map(self.known.get, distinct))
+        at = [i for i, v in enumerate(ids) if v is None]
+        for i, v in zip(at, self._learn([distinct[i] for i in at]), strict=True):
+            ids[i] = v
+        # A text's first word has no blank before it.
+        first = {distinct[c]: 0 for c in code[offsets[:-1]].tolist()} if len(bodies) else {}
+        plain = [w for w in first if self._plain(w)]
+        own = dict(zip(plain, self._library(plain), strict=True))
+        first = {w: len(distinct) + k for k, w in enumerate(first)}
+        ids += [b"" if w == "" else own.get(w, False) for w in first]
+        code[offsets[:-1]] = [first[distinct[c]] for c in code[offsets[:-1]].tolist()]
+        size = np.fromiter((len(v) // 4 if v else 0 for v in ids), np.int64, len(ids))
+        odd = np.fromiter((v is False for v in ids), bool, len(ids))
+        pool, start = np.frombuffer(b"".join([v for v in ids if v]), "<u4"), np.cumsum(size) - size
+        n = size[code]
+        total = np.cumsum(n)
+        flat = pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        ends = np.append(0, total)[offsets] * 4
+        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        # An empty first word before others is a blank at the text's start.
+        whole = np.logical_or.reduceat(odd[code], offsets[:-1]) if len(bodies) else np.zeros(0, bool)
+        whole |= (np.diff(offsets) > 1) & (size[code[offsets[:-1]]] == 0) if len(bodies) else whole
+        whole = np.flatnonzero(whole)
+        for i, v in zip(whole.tolist(), self._library(bodies.take(pa.array(whole)).to_pylist()), strict=True):
+            out[i] = v
         return out
 
 
@@ -99,8 +152,8 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, out: str | None =
         encode = encoder(tokenizer_path).encode
         end, start, part_id = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
         for batch in batches:
-            for part in slices(batch, "text", SLICE_BYTES):
-                ids = [v + end for v in encode(texts(part.column("text")))]
+            for part in slices(batch, "text", 2 * SLICE_BYTES):
+                ids = [v + end for v in encode(part.column("text"))]
                 n = np.fromiter((len(v) // 4 for v in ids), np.int64, len(ids))
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
