@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +45,8 @@ def write_archives(pages: DataFrame, out: str | None = None) -> str:
     """Writes WARC 1.1 files with a record for each page and returns their folder.
 
     A record is one string and the two line breaks after it are the writer's line separator, so the
-    files are plain WARC. Pages are dealt out by page_id into archives of about equal payload.
+    files are plain WARC, compressed as a whole with gzip: the index's offsets count bytes of the
+    uncompressed archive. Pages are dealt out by page_id into archives of about equal payload.
 
     A null html is an empty payload; null urls become ``urn:fluvia:none``; a null page_id is written as
     ``-`` and is always a response. Rows repeated with one page_id and payload all have that id's type.
@@ -81,7 +83,7 @@ def write_archives(pages: DataFrame, out: str | None = None) -> str:
         F.lit("Content-Type: application/http;msgtype=response"),
         F.concat(F.lit("Content-Length: "), F.octet_length(content).cast("string")),
     )
-    whole.select(F.concat(header, F.lit(CRLF * 2), content).alias("value")).write.option("lineSep", CRLF * 2).text(out)
+    whole.select(F.concat(header, F.lit(CRLF * 2), content).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(out)
     return out
 
 
@@ -135,7 +137,7 @@ def capture_runs(spark, archives: str) -> DataFrame:
                 name = path.rsplit("/", 1)[-1]
                 number = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little", signed=True)
                 rows = []
-                for offset, length, warc, http, payload in parse_archive(content.as_py()):
+                for offset, length, warc, http, payload in parse_archive(zlib.decompress(content.as_py(), 31)):
                     digest = warc["WARC-Payload-Digest"].removeprefix("sha256:")
                     kind = warc["WARC-Type"]
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
