@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from itertools import islice
@@ -19,8 +20,9 @@ from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, new_path, slices
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
 MOST_WORDS = 700_000
-ORC_OPTIONS = {"compression": "zstd", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
+ORC_OPTIONS = {"compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
+_OTHER_SPACE = re.compile(r"[^\S \n]").search
 _encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
@@ -56,12 +58,13 @@ class WordEncoder:
         """Ids of words that aren't known yet; they are remembered while there is room."""
         known, marks = self.known, self.marks
         cores: list[str | None] = []  # of each word that can be encoded: the word without the marks at its end
+        blob = " ".join(missing)
+        odd = _OTHER_SPACE(blob) or "" in missing or "\n" in missing or any(s in blob for s in self.special)
         for w in missing:
-            body = w[1:] if w[:1] == "\n" else w
-            if not self._plain(body):
-                cores.append(None)
-            elif w.isalnum():
+            if w.isalnum():
                 cores.append(w)
+            elif odd and not self._plain(w[1:] if w[:1] == "\n" else w):
+                cores.append(None)
             else:
                 core = w.rstrip(".,;:!?")
                 while core and not core[-1].isalnum():
@@ -111,12 +114,14 @@ class WordEncoder:
         first = {w: len(distinct) + k for k, w in enumerate(first)}
         ids += [b"" if w == "" else own.get(w, False) for w in first]
         code[offsets[:-1]] = [first[distinct[c]] for c in code[offsets[:-1]].tolist()]
-        size = np.fromiter((len(v) // 4 if v else 0 for v in ids), np.int64, len(ids))
-        odd = np.fromiter((v is False for v in ids), bool, len(ids))
-        pool, start = np.frombuffer(b"".join([v for v in ids if v]), "<u4"), np.cumsum(size) - size
+        odd = np.zeros(len(ids), bool)
+        for i in [i for i, v in enumerate(ids) if v is False]:
+            odd[i], ids[i] = True, b""
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
         n = size[code]
         total = np.cumsum(n)
-        flat = pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1] if len(total) else 0)].tobytes()
+        flat = pool[np.repeat((start[code] - (total - n)).astype(np.int32), n) + np.arange(total[-1] if len(total) else 0, dtype=np.int32)].tobytes()
         ends = np.append(0, total)[offsets] * 4
         out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
         # An empty first word before others is a blank at the text's start.
