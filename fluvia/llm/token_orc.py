@@ -19,7 +19,7 @@ from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, new_path, slices
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
-MOST_WORDS = 700_000
+MOST_WORDS = 600_000
 ORC_OPTIONS = {"compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
