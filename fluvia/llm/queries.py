@@ -71,9 +71,8 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = sentencepiece_viterbi.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file("piece_bpe_32k.model"))
-    sized = coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "round_trip", "ids")
-    return token_orc.ids_crc32(sized, ["doc_id", "n_tokens", "round_trip"])
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_viterbi.coded(documents, tokenizer_file("piece_bpe_32k.model"), ("n_tokens", "round_trip", "ids_crc32"))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import re
+import zlib
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fluvia.llm.common import id_bytes, id_lists, slices, texts
 
@@ -16,7 +16,7 @@ MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a Python worker remembers, and the longest of them.
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 400_000
 LONGEST_KNOWN = 64
 _codecs: dict[str, "Codec"] = {}
 
@@ -184,7 +184,34 @@ def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "deco
     return _mapped(rows, ids, text, "string", make)
 
 
-def round_trip(rows: DataFrame, model_path: str) -> DataFrame:
-    """``rows`` with ids, decoded and a boolean round_trip: the decoded text is the text, marks read as blanks."""
-    coded = decode(encode(rows, model_path), model_path)
-    return coded.withColumn("round_trip", F.col("decoded") == F.regexp_replace(F.coalesce("text", F.lit("")), MARK, " "))
+#: What :func:`coded` can give, with its type.
+OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint", "decoded": "string", "round_trip": "boolean"}
+
+
+def coded(rows: DataFrame, model_path: str, outputs: tuple = tuple(OUTPUTS), text: str = "text") -> DataFrame:
+    """``rows`` without their text, with the ``outputs`` of encoding it and decoding the ids again, all in
+    one pass through Python: ids, their number, the CRC-32 of them as little-endian 32-bit integers, the
+    decoded text, and whether that is the text (marks read as blanks).
+
+    Columns of the outputs' names are replaced; nulls are as in :func:`encode`.
+    """
+    columns = [c for c in rows.columns if c != text and c not in outputs]
+    fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *(f"{c} {OUTPUTS[c]}" for c in outputs)])
+
+    def run(batches):
+        c = codec(model_path)
+        for batch in batches:
+            for part in slices(batch, text):
+                bodies = texts(part.column(text))
+                ids = [c.encode(t) for t in bodies]
+                decoded = [c.decode(v) for v in ids] if {"decoded", "round_trip"} & {*outputs} else []
+                own = {
+                    "ids": lambda ids=ids: id_lists(ids),
+                    "n_tokens": lambda ids=ids: pa.array([len(v) // 4 for v in ids], pa.int64()),
+                    "ids_crc32": lambda ids=ids: pa.array([zlib.crc32(v) for v in ids], pa.int64()),
+                    "decoded": lambda decoded=decoded: pa.array(decoded, pa.string()),
+                    "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
+                }
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(own[k]() for k in outputs)], [*columns, *outputs])
+
+    return rows.select(*columns, text).mapInArrow(run, fields)
