@@ -20,6 +20,15 @@ SLICE_BYTES = 4 << 20
 MAX_BLOOM_BITS = 1 << 28
 
 _made: dict[str, SparkSession] = {}
+_memos: dict[str, dict] = {}
+
+
+def memo(name: str | None) -> dict:
+    """What a Python worker remembers for the operator ``name`` between its tasks. A worker serves several
+    operators one after the other; the others' memories are given up, so that one is held at a time."""
+    for other in [k for k in _memos if k != name]:
+        del _memos[other]
+    return {} if name is None else _memos.setdefault(name, {})
 
 
 def shared_root(spark: SparkSession) -> str:

@@ -10,13 +10,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import id_bytes, id_lists, slices, texts
+from fluvia.llm.common import id_bytes, id_lists, memo, slices, texts
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a Python worker remembers, and the longest of them.
-MOST_CHUNKS = 400_000
+MOST_CHUNKS = 200_000
 LONGEST_KNOWN = 64
 _codecs: dict[str, "Codec"] = {}
 
@@ -140,6 +140,7 @@ def codec(path: str) -> Codec:
     """One for each Python worker."""
     if path not in _codecs:
         _codecs[path] = Codec.from_file(path)
+    _codecs[path].known = memo(f"sentencepiece {path}")
     return _codecs[path]
 
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, raw, slices, stored
+from fluvia.llm.common import Bloom, memo, raw, slices, stored
 from fluvia.llm.graph import connected_components
 
 SEED = 42
@@ -53,6 +53,7 @@ def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
     """
 
     def run(batches):
+        memo(None)
         for batch in batches:
             for part in slices(batch, "text"):
                 fps, content = [], []
@@ -263,6 +264,7 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
     bloom = Bloom(ends, F.xxhash64("node"))
 
     def sets(batches):
+        memo(None)
         for batch in batches:
             for part in slices(batch, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([np.unique(hashes(t, size)).tobytes() for t in raw(part.column("text"))], pa.binary())], ["doc", "grams"])
@@ -273,7 +275,8 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
     both = links.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
 
     def similar(batches):
-        for b in batches:
+        memo(None)
+        for b in (part for batch in batches for part in slices(batch, "gu", 1 << 20)):
             keep = []
             for x, y in zip(b.column("gu").to_pylist(), b.column("gv").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

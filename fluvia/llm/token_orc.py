@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, new_path, slices
+from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, memo, new_path, slices
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
@@ -137,6 +137,7 @@ def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
     """One for each Python worker."""
     if (path, most) not in _encoders:
         _encoders[path, most] = WordEncoder(path, most)
+    _encoders[path, most].known = memo(f"byte pairs {path}")
     return _encoders[path, most]
 
 

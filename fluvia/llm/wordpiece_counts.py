@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import slices, texts
+from fluvia.llm.common import memo, slices, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
-MOST_WORDS = 500_000
+MOST_WORDS = 300_000
 _counters: dict[tuple, "PieceCounter"] = {}
 
 
@@ -115,6 +115,7 @@ def counter(path: str) -> PieceCounter:
     """One for each Python worker."""
     if path not in _counters:
         _counters[path] = PieceCounter(*vocabulary(path))
+    _counters[path].known = memo(f"wordpiece {path}")
     return _counters[path]
 
 
