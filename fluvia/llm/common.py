@@ -68,17 +68,62 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """``batch`` in consecutive parts of about ``limit`` bytes in ``column``; one row at least."""
-    if not batch.num_rows:
-        return
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
-    start = 0
-    while start < batch.num_rows:
-        base = ends[start - 1] if start else 0
-        stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+#: Rows that Spark hands to a Python worker at once: texts can be long, so that its own 10,000 may not fit.
+BATCH_ROWS = 2000
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches of BATCH_ROWS rows at most (a setting of the session); use with ``transform``."""
+    spark = df.sparkSession
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in order, in parts of about ``limit`` bytes in ``column``: small batches are
+    put together, large ones are cut; a part has one row at least."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            base = ends[start - 1] if start else 0
+            stop = int(np.searchsorted(ends, base + limit - size, side="right"))
+            if stop == start and not held:
+                stop = start + 1
+            if stop > start:
+                held.append(batch.slice(start, stop - start))
+                size += int(ends[stop - 1] - base)
+            start = stop
+            if start < batch.num_rows or size >= limit:
+                yield joined(held)
+                held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def merged(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """Small batches of numbers put together to about ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            yield joined(held)
+            held, size = [], 0
+    if held:
+        yield joined(held)
+
+
+def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.concat_batches(parts)
 
 
 def texts(array: pa.Array) -> list[str]:
@@ -91,18 +136,6 @@ def raw(array: pa.Array) -> list[bytes]:
     return pc.fill_null(array.cast(pa.large_binary() if pa.types.is_large_string(array.type) else pa.binary()), b"").to_pylist()
 
 
-def per_batch(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str, column: str) -> DataFrame:
-    """``mapInArrow`` over parts of bounded size; ``make`` runs once in each task and gives the function for a part."""
-
-    def run(batches):
-        f = make()
-        for batch in batches:
-            for part in slices(batch, column):
-                yield f(part)
-
-    return df.mapInArrow(run, schema)
-
-
 def lower_ascii(col):
     """``col`` with A-Z lower-cased and nothing else."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -139,7 +172,7 @@ class Bloom:
                 np.bitwise_or.at(value, inverse, np.uint64(1) << (at & np.uint64(63)))
                 yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(value.view(np.int64))], ["word", "value"])
 
-        found = keys.select(key_hash.cast("bigint").alias("h")).mapInArrow(words, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+        found = keys.select(key_hash.cast("bigint").alias("h")).transform(in_arrow, words, "word bigint, value bigint").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
         array = np.zeros(bits >> 6, np.uint64)
         array[found.column("word").to_numpy()] = found.column("value").to_numpy().view(np.uint64)
         self.bits, self.shared = bits, spark.sparkContext.broadcast(array.tobytes())

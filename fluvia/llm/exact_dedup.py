@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, lower_ascii, raw, slices, stored, tester
+from fluvia.llm.common import Bloom, in_arrow, lower_ascii, raw, slices, stored, tester
 
 #: Code points of the text that the second step hashes.
 PREFIX = 64
@@ -44,17 +44,16 @@ def exact_groups(documents: DataFrame, digest_all: bool = False) -> DataFrame:
 
     def hashed(batches):
         test = tester(bits, shared)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                lowered = [t.lower() for t in raw(part.column("text"))]
-                pair = np.fromiter((_pair_hash(t) for t in lowered), np.int64, len(lowered))
-                alive = test(pair)
-                sha = [hashlib.sha256(t).digest() if digest_all or a else None for t, a in zip(lowered, alive, strict=True)]
-                length = pa.array([len(t) for t in lowered], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), length, pa.array(alive), pa.array(sha, pa.binary())], ["doc_id", "len", "alive", "sha"])
+        for part in slices(batches, "text"):
+            lowered = [t.lower() for t in raw(part.column("text"))]
+            pair = np.fromiter((_pair_hash(t) for t in lowered), np.int64, len(lowered))
+            alive = test(pair)
+            sha = [hashlib.sha256(t).digest() if digest_all or a else None for t, a in zip(lowered, alive, strict=True)]
+            length = pa.array([len(t) for t in lowered], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), length, pa.array(alive), pa.array(sha, pa.binary())], ["doc_id", "len", "alive", "sha"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    full = documents.select("doc_id", "text").mapInArrow(hashed, f"doc_id {id_type}, len bigint, alive boolean, sha binary")
+    full = documents.select("doc_id", "text").transform(in_arrow, hashed, f"doc_id {id_type}, len bigint, alive boolean, sha binary")
     full = stored(full.withColumn("row", F.monotonically_increasing_id()), "full-hashes")
     groups = full.where("alive").groupBy("len", "sha").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1")
     groups = stored(groups, "groups")  # read back, so that the join has an exchange on either side and a large group can be split

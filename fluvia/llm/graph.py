@@ -7,12 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import stored
+from fluvia.llm.common import in_arrow, merged, stored
 
 
 def _contract(batches):
     """Links of one Arrow batch as stars: each node with the smallest node that it reaches within the batch."""
-    for b in batches:
+    for b in merged(batches):
         u, v = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
         nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
         a, c = at[: len(u)], at[len(u) :]
@@ -43,7 +43,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     Null ends and loops are ignored; repeated links count once; without links the result is empty.
     """
     a, b = links.columns
-    e = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u != v").mapInArrow(_contract, "u bigint, v bigint")
+    e = links.select(F.col(a).cast("bigint").alias("u"), F.col(b).cast("bigint").alias("v")).where("u != v").transform(in_arrow, _contract, "u bigint, v bigint")
     e = stored(e.distinct(), "links")
     seen = None
     while True:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, raw, slices, stored
+from fluvia.llm.common import Bloom, in_arrow, merged, raw, slices, stored
 
 #: Shortest key, in code points, and fewest documents of a repeated line.
 MIN_CHARS = 20
@@ -34,23 +34,22 @@ def line_keys(text: bytes, min_chars: int = MIN_CHARS) -> tuple[int, list[tuple[
 
 def _keyed(documents: DataFrame, min_chars: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                rows, at, hashes, found = [], [], [], []
-                body = raw(part.column("text"))
-                for i, text in enumerate(body):
-                    n, keys = line_keys(text, min_chars)
-                    at += [k for k, _ in keys]
-                    found += [h for _, h in keys]
-                    rows += [i] * len(keys)
-                    hashes.append((n, xxhash.xxh64_intdigest(text, 42)))
-                rows = np.array(rows, np.int64)
-                n_lines, text_hash = (np.array([h[k] for h in hashes], d) for k, d in ((0, np.int64), (1, np.uint64)))
-                key = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
-                ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[:, 0], key[:, 1], ids[rows], text_hash.view(np.int64)[rows], n_lines[rows].astype(np.int32), np.array(at, np.int32))], ["hi", "lo", "doc", "text_hash", "n_lines", "pos"])
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "hi bigint, lo bigint, doc bigint, text_hash bigint, n_lines int, pos int")
+        for part in slices(batches, "text"):
+            rows, at, hashes, found = [], [], [], []
+            body = raw(part.column("text"))
+            for i, text in enumerate(body):
+                n, keys = line_keys(text, min_chars)
+                at += [k for k, _ in keys]
+                found += [h for _, h in keys]
+                rows += [i] * len(keys)
+                hashes.append((n, xxhash.xxh64_intdigest(text, 42)))
+            rows = np.array(rows, np.int64)
+            n_lines, text_hash = (np.array([h[k] for h in hashes], d) for k, d in ((0, np.int64), (1, np.uint64)))
+            key = np.frombuffer(b"".join(found), ">u8").astype(np.uint64).view(np.int64).reshape(-1, 2)
+            ids = part.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[:, 0], key[:, 1], ids[rows], text_hash.view(np.int64)[rows], n_lines[rows].astype(np.int32), np.array(at, np.int32))], ["hi", "lo", "doc", "text_hash", "n_lines", "pos"])
+
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").transform(in_arrow, run, "hi bigint, lo bigint, doc bigint, text_hash bigint, n_lines int, pos int")
 
 
 DROP, OPEN, SUMMARY = 0, 1, 2
@@ -118,9 +117,7 @@ def _stream(min_docs: int):
 
     def run(batches):
         state = _Range(min_docs)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in merged(batches):
             rows = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
             hi, lo, doc = rows[:3]
             starts = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
@@ -160,7 +157,7 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     keyed = stored(_keyed(documents, min_chars), "line-keys")
     ordered = keyed.repartitionByRange("hi", "lo", F.desc("doc")).sortWithinPartitions("hi", "lo", F.desc("doc"), "pos")
     schema = "kind int, hi bigint, lo bigint, doc bigint, text_hash bigint, n_lines int, pos int"
-    seen = stored(ordered.mapInArrow(_stream(min_docs), schema), "line-decisions")
+    seen = stored(ordered.transform(in_arrow, _stream(min_docs), schema), "line-decisions")
     shared = seen.where(F.col("kind") == SUMMARY).groupBy("hi", "lo").agg(F.sum("text_hash").alias("docs"), F.max("doc").alias("top")).where(F.col("docs") >= min_docs)
     late = seen.where(F.col("kind") == OPEN).join(F.broadcast(shared), ["hi", "lo"]).where("doc != top")
     columns = ["doc", "text_hash", "n_lines", "pos"]
@@ -177,7 +174,7 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
                 gone.append(len(positions))
             yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("text_hash"), b.column("n_lines"), pa.array(gone, pa.int32()), pa.array(maps, pa.binary())], ["doc_id", "text_hash", "n_lines", "n_dropped", "bitmap"])
 
-    packed = gathered.mapInArrow(pack, "doc_id bigint, text_hash bigint, n_lines int, n_dropped int, bitmap binary")
+    packed = gathered.transform(in_arrow, pack, "doc_id bigint, text_hash bigint, n_lines int, n_dropped int, bitmap binary")
     return packed.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
 
 
@@ -210,11 +207,10 @@ def dedup_lines(documents: DataFrame, **options) -> DataFrame:
     marked, names = with_bitmaps(documents, **options), documents.columns
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                body = part.column("text").to_pylist()
-                kept = [t if b is None or t is None else apply_bitmap(t.encode(), b)[0].decode() for t, b in zip(body, part.column("fl_bitmap").to_pylist(), strict=True)]
-                columns = [pa.array(kept, pa.string()) if c == "text" else part.column(c) for c in names]
-                yield pa.RecordBatch.from_arrays(columns, names)
-
-    return marked.mapInArrow(run, documents.schema)
+        for part in slices(batches, "text"):
+            body = part.column("text").to_pylist()
+            kept = [t if b is None or t is None else apply_bitmap(t.encode(), b)[0].decode() for t, b in zip(body, part.column("fl_bitmap").to_pylist(), strict=True)]
+            columns = [pa.array(kept, pa.string()) if c == "text" else part.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return marked.transform(in_arrow, run, documents.schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.llm import exact_dedup, line_dedup, mixing, sentencepiece_viterbi, simhash, suffix_repetition, token_orc, toxicity, warc_index, wordpiece_counts
-from fluvia.llm.common import raw, slices, table
+from fluvia.llm.common import in_arrow, raw, slices, table
 
 
 def tokenizer_file(name: str) -> str:
@@ -41,13 +41,12 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = line_dedup.with_bitmaps(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                got = [line_dedup.apply_bitmap(t, b) for t, b in zip(raw(part.column("text")), part.column("fl_bitmap").to_pylist(), strict=True)]
-                columns = [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
+        for part in slices(batches, "text"):
+            got = [line_dedup.apply_bitmap(t, b) for t, b in zip(raw(part.column("text")), part.column("fl_bitmap").to_pylist(), strict=True)]
+            columns = [pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got], pa.string())]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *columns], ["doc_id", "n_lines", "n_dropped", "kept_sha256"])
 
-    return marked.mapInArrow(run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
+    return marked.transform(in_arrow, run, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import id_bytes, id_lists, memo, slices, texts
+from fluvia.llm.common import id_bytes, id_lists, in_arrow, memo, slices, texts
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
@@ -147,7 +147,7 @@ def codec(path: str) -> Codec:
 def _mapped(rows: DataFrame, source: str, name: str, kind: str, make):
     columns = [c for c in rows.columns if c != name]
     fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), f"`{name}` {kind}"])
-    return rows.select(columns).mapInArrow(make(columns), fields)
+    return rows.select(columns).transform(in_arrow, make(columns), fields)
 
 
 def encode(rows: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -160,9 +160,8 @@ def encode(rows: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     def make(columns):
         def run(batches):
             c = codec(model_path)
-            for batch in batches:
-                for part in slices(batch, text):
-                    yield pa.RecordBatch.from_arrays([*part.columns, id_lists([c.encode(t) for t in texts(part.column(text))])], [*columns, ids])
+            for part in slices(batches, text):
+                yield pa.RecordBatch.from_arrays([*part.columns, id_lists([c.encode(t) for t in texts(part.column(text))])], [*columns, ids])
 
         return run
 
@@ -201,18 +200,17 @@ def coded(rows: DataFrame, model_path: str, outputs: tuple = tuple(OUTPUTS), tex
 
     def run(batches):
         c = codec(model_path)
-        for batch in batches:
-            for part in slices(batch, text):
-                bodies = texts(part.column(text))
-                ids = [c.encode(t) for t in bodies]
-                decoded = [c.decode(v) for v in ids] if {"decoded", "round_trip"} & {*outputs} else []
-                own = {
-                    "ids": lambda ids=ids: id_lists(ids),
-                    "n_tokens": lambda ids=ids: pa.array([len(v) // 4 for v in ids], pa.int64()),
-                    "ids_crc32": lambda ids=ids: pa.array([zlib.crc32(v) for v in ids], pa.int64()),
-                    "decoded": lambda decoded=decoded: pa.array(decoded, pa.string()),
-                    "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
-                }
-                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(own[k]() for k in outputs)], [*columns, *outputs])
-
-    return rows.select(*columns, text).mapInArrow(run, fields)
+        for part in slices(batches, text):
+            bodies = texts(part.column(text))
+            ids = [c.encode(t) for t in bodies]
+            decoded = [c.decode(v) for v in ids] if {"decoded", "round_trip"} & {*outputs} else []
+            own = {
+                "ids": lambda ids=ids: id_lists(ids),
+                "n_tokens": lambda ids=ids: pa.array([len(v) // 4 for v in ids], pa.int64()),
+                "ids_crc32": lambda ids=ids: pa.array([zlib.crc32(v) for v in ids], pa.int64()),
+                "decoded": lambda decoded=decoded: pa.array(decoded, pa.string()),
+                "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
+            }
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(own[k]() for k in outputs)], [*columns, *outputs])
+
+    return rows.select(*columns, text).transform(in_arrow, run, fields)

@@ -7,10 +7,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, memo, raw, slices, stored
+from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, slices, stored
 from fluvia.llm.graph import connected_components
 
 SEED = 42
@@ -54,16 +54,15 @@ def fingerprints(documents: DataFrame, size: int = 3) -> DataFrame:
 
     def run(batches):
         memo(None)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                fps, content = [], []
-                for text in raw(part.column("text")):
-                    h = hashes(text, size)
-                    fps.append(fingerprint(h))
-                    content.append(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content))], ["doc_id", "fp", "content"])
+        for part in slices(batches, "text"):
+            fps, content = [], []
+            for text in raw(part.column("text")):
+                h = hashes(text, size)
+                fps.append(fingerprint(h))
+                content.append(xxhash.xxh64_intdigest(np.unique(h).tobytes(), SEED))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content))], ["doc_id", "fp", "content"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id bigint, fp bigint, content bigint")
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint")
 
 
 class Segments:
@@ -142,7 +141,7 @@ def _run_links(radius: int, most: int | None):
     def run(batches):
         held = [np.zeros(0, np.int64)] * 3
         hot = None
-        for batch in batches:
+        for batch in merged(batches):
             new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
             if not len(new[0]):
                 continue
@@ -204,8 +203,8 @@ def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: i
                 rows, keys = segments.entries(fp[s : s + 2000].view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[s : s + 2000][rows]), pa.array(rep[s : s + 2000][rows])], ["key", "fp", "rep"])
 
-    keyed = nodes.select("fp", "rep").mapInArrow(entered, "key bigint, fp bigint, rep bigint")
-    found = stored(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_run_links(radius, most_in_run), schema), "near-links")
+    keyed = nodes.select("fp", "rep").transform(in_arrow, entered, "key bigint, fp bigint, rep bigint")
+    found = stored(keyed.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius, most_in_run), schema), "near-links")
 
     def longer(batches):
         for b in batches:
@@ -228,8 +227,8 @@ def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: i
                     out[2].append(rep[pick])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["key", "fp", "rep"])
 
-    hot = found.where("kind = 1").select("key", "fp", "u").mapInArrow(longer, "key bigint, fp bigint, rep bigint")
-    again = hot.repartition("key").sortWithinPartitions("key").mapInArrow(_run_links(radius, None), schema)
+    hot = found.where("kind = 1").select("key", "fp", "u").transform(in_arrow, longer, "key bigint, fp bigint, rep bigint")
+    again = hot.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius, None), schema)
     return found.where("kind = 0").select("u", "v").union(again.select("u", "v")).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -265,18 +264,17 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
 
     def sets(batches):
         memo(None)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([np.unique(hashes(t, size)).tobytes() for t in raw(part.column("text"))], pa.binary())], ["doc", "grams"])
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), pa.array([np.unique(hashes(t, size)).tobytes() for t in raw(part.column("text"))], pa.binary())], ["doc", "grams"])
 
     some = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").where(bloom.may_hold(F.xxhash64("doc_id")))
-    grams = some.mapInArrow(sets, "doc bigint, grams binary").groupBy("doc").agg(F.max("grams").alias("grams"))
+    grams = some.transform(in_arrow, sets, "doc bigint, grams binary").groupBy("doc").agg(F.max("grams").alias("grams"))
     grams = stored(grams, "link-shingles")
     both = links.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
 
     def similar(batches):
         memo(None)
-        for b in (part for batch in batches for part in slices(batch, "gu", 1 << 20)):
+        for b in slices(batches, "gu", 1 << 20):
             keep = []
             for x, y in zip(b.column("gu").to_pylist(), b.column("gv").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -284,7 +282,7 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
                 keep.append(common >= similarity * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
-    return both.select("u", "v", "gu", "gv").mapInArrow(similar, "u bigint, v bigint")
+    return both.select("u", "v", "gu", "gv").transform(in_arrow, similar, "u bigint, v bigint")
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
@@ -311,5 +309,5 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     bloom = Bloom(odd, F.xxhash64("fl_id"))
     marked = documents.withColumn("fl_maybe", F.coalesce(bloom.may_hold(F.xxhash64(documents_id)) & F.col("doc_id").isNotNull(), F.lit(False)))
     some = marked.where("fl_maybe").join(odd, documents_id == F.col("fl_id"), "left").where("fl_id is null or fl_heads")
-    once = some.where("fl_id is null").select(documents.columns).union(some.where("fl_id is not null").dropDuplicates(["doc_id"]).select(documents.columns))
-    return marked.where("not fl_maybe").select(documents.columns).union(once)
+    once = some.withColumn("fl_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("fl_row = 1")
+    return marked.where("not fl_maybe").select(documents.columns).union(once.select(documents.columns))

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import slices, texts
+from fluvia.llm.common import in_arrow, slices, texts
 
 #: Base rule.
 MIN_WORDS = 50
@@ -152,13 +152,12 @@ def repetition(documents: DataFrame) -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest", "n_repeats"]
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                got = measure(texts(part.column("text")))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[k]) for k in names)], ["doc_id", *names])
+        for part in slices(batches, "text"):
+            got = measure(texts(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[k]) for k in names)], ["doc_id", *names])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    out = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, " + ", ".join(f"{k} bigint" for k in names))
+    out = documents.select("doc_id", "text").transform(in_arrow, run, f"doc_id {id_type}, " + ", ".join(f"{k} bigint" for k in names))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     passed = (F.col("n_covered") <= MAX_COVERED * F.col("n_words")) & ((F.col("longest") < MIN_REPEAT) | (F.col("longest") <= MAX_LONGEST * F.col("n_words")))
     return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & passed)

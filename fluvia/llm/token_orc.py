@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, memo, new_path, slices
+from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, in_arrow, memo, new_path, slices
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
@@ -157,17 +157,16 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, out: str | None =
     def run(batches):
         encode = encoder(tokenizer_path).encode
         end, start, part_id = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
-        for batch in batches:
-            for part in slices(batch, "text", 2 * SLICE_BYTES):
-                ids = [v + end for v in encode(part.column("text"))]
-                n = np.fromiter((len(v) // 4 for v in ids), np.int64, len(ids))
-                starts = start + np.cumsum(n) - n
-                start += int(n.sum())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(np.full(len(ids), part_id, np.int32)), pa.array(starts), id_lists(ids)], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
+        for part in slices(batches, "text", 2 * SLICE_BYTES):
+            ids = [v + end for v in encode(part.column("text"))]
+            n = np.fromiter((len(v) // 4 for v in ids), np.int64, len(ids))
+            starts = start + np.cumsum(n) - n
+            start += int(n.sum())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(np.full(len(ids), part_id, np.int32)), pa.array(starts), id_lists(ids)], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
 
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    ordered.mapInArrow(run, f"doc_id {id_type}, n_tokens bigint, part int, start_in_part bigint, ids array<int>").write.options(**ORC_OPTIONS).orc(out)
+    ordered.transform(in_arrow, run, f"doc_id {id_type}, n_tokens bigint, part int, start_in_part bigint, ids array<int>").write.options(**ORC_OPTIONS).orc(out)
     return out
 
 
@@ -197,4 +196,4 @@ def ids_crc32(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), crc], [*keep, "ids_crc32"])
 
     fields = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep)
-    return rows.select(*keep, ids).mapInArrow(run, f"{fields}, ids_crc32 bigint")
+    return rows.select(*keep, ids).transform(in_arrow, run, f"{fields}, ids_crc32 bigint")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import slices, texts
+from fluvia.llm.common import in_arrow, slices, texts
 
 #: At most so many labelled rows are used to fit, taken in the order of a hash of doc_id.
 MOST_LABELLED = 20_000
@@ -172,11 +172,10 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
     some = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int"))
 
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), part.column("doc_id").cast(pa.int64()), pa.array([features(t) for t in texts(part.column("text"))], pa.list_(pa.float64()))], ["toxic", "fold", "doc_id", "x"])
+        for part in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), part.column("doc_id").cast(pa.int64()), pa.array([features(t) for t in texts(part.column("text"))], pa.list_(pa.float64()))], ["toxic", "fold", "doc_id", "x"])
 
-    got = some.mapInArrow(run, "toxic int, fold int, doc_id bigint, x array<double>").toArrow().sort_by("doc_id")
+    got = some.transform(in_arrow, run, "toxic int, fold int, doc_id bigint, x array<double>").toArrow().sort_by("doc_id")
     y = got.column("toxic").to_numpy().astype(float)
     fold = got.column("fold").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))

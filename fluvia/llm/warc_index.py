@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import new_path, stored
+from fluvia.llm.common import in_arrow, new_path, stored
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 100
@@ -151,7 +151,7 @@ def capture_runs(spark, archives: str) -> DataFrame:
                 types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(columns, types, strict=True)), pa.array(np.full(len(rows), number, np.int64)), pa.array(np.arange(len(rows), dtype=np.int32))], _RUN)
 
-    return files.mapInArrow(run, RUN_SCHEMA)
+    return files.transform(in_arrow, run, RUN_SCHEMA)
 
 
 class LoserTree:
@@ -217,7 +217,7 @@ def merge_runs(runs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(place, place + len(rows)))], [*_RUN[:11], "part", "place"])
             place += len(rows)
 
-    return ranged.mapInArrow(run, RUN_SCHEMA.rsplit(", ", 2)[0] + ", part int, place bigint")
+    return ranged.transform(in_arrow, run, RUN_SCHEMA.rsplit(", ", 2)[0] + ", part int, place bigint")
 
 
 def archive_index(pages: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import memo, slices, texts
+from fluvia.llm.common import in_arrow, memo, slices, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
 MOST_WORDS = 300_000
@@ -128,10 +128,9 @@ def token_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
 
     def run(batches):
         counts = counter(vocabulary_path).counts
-        for batch in batches:
-            for part in slices(batch, "text"):
-                got = np.array([counts(t) for t in texts(part.column("text"))], np.int64).reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[:, k]) for k in range(3))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
+        for part in slices(batches, "text"):
+            got = np.array([counts(t) for t in texts(part.column("text"))], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(got[:, k]) for k in range(3))], ["doc_id", "n_words", "n_tokens", "n_unknown"])
 
     id_type = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {id_type}, n_words bigint, n_tokens bigint, n_unknown bigint")
+    return documents.select("doc_id", "text").transform(in_arrow, run, f"doc_id {id_type}, n_words bigint, n_tokens bigint, n_unknown bigint")
