@@ -1,0 +1,7 @@
+"""Explicit schemas of the records that are read and written."""
+
+from __future__ import annotations
+
+RISK = "forecast_month string, division string, district string, upazila string, `union` string, gid_union string, erosion_ha double, buildings_osm int, accretion_ha double, net_land_change_ha double, households_est int, persons_est int, osm_completeness_assumed double, osm_buildings_per_km2 double, osm_measured_km2 double, osm_mapping string, division_bn string, district_bn string, upazila_bn string, union_bn string"
+SCENE = "tile string, month string, item_id string, platform string, instrument string, collection string, `index` string, datetime string, cloud_cover double, valid_fraction double"
+BUILDING = "osm_id bigint, osm_type string, building string, lon double, lat double"
