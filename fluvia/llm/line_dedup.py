@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, in_arrow, merged, raw, slices, stored
+from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, slices, stored
 
 #: Shortest key, in code points, and fewest documents of a repeated line.
 MIN_CHARS = 20
@@ -34,6 +34,7 @@ def line_keys(text: bytes, min_chars: int = MIN_CHARS) -> tuple[int, list[tuple[
 
 def _keyed(documents: DataFrame, min_chars: int) -> DataFrame:
     def run(batches):
+        memo(None)
         for part in slices(batches, "text"):
             rows, at, hashes, found = [], [], [], []
             body = raw(part.column("text"))
@@ -188,8 +189,8 @@ def apply_bitmap(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def with_bitmaps(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the column fl_bitmap, null where every line stays.
+def split_by_bitmaps(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``documents`` that may lose lines, with the column fl_bitmap (null: every line stays), and those that surely don't.
 
     Only rows that a Bloom filter of the bitmaps' keys lets through are shuffled to be joined.
     """
@@ -198,19 +199,24 @@ def with_bitmaps(documents: DataFrame, **options) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce(documents["text"], F.lit("")))
     marked = documents.withColumn("fl_text_hash", text_hash).withColumn("fl_maybe", bloom.may_hold(F.xxhash64(F.col("doc_id").cast("bigint"), F.col("fl_text_hash"))))
     joined = marked.where("fl_maybe").join(bitmaps, F.col("doc_id").cast("bigint").eqNullSafe(F.col("fl_doc")) & (F.col("fl_text_hash") == F.col("fl_hash")), "left")
-    whole = marked.where("not fl_maybe").withColumn("fl_bitmap", F.lit(None).cast("binary"))
-    return joined.select(*documents.columns, "fl_bitmap").union(whole.select(*documents.columns, "fl_bitmap"))
+    return joined.select(*documents.columns, "fl_bitmap"), marked.where("not fl_maybe").select(documents.columns)
+
+
+def with_bitmaps(documents: DataFrame, **options) -> DataFrame:
+    """``documents`` with the column fl_bitmap, null where every line stays."""
+    some, whole = split_by_bitmaps(documents, **options)
+    return some.union(whole.withColumn("fl_bitmap", F.lit(None).cast("binary")))
 
 
 def dedup_lines(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the repeated lines gone; a null text stays null unless it had lines (it has none)."""
-    marked, names = with_bitmaps(documents, **options), documents.columns
+    """``documents`` with the repeated lines gone; a null text stays null."""
+    names = documents.columns
+    some, whole = split_by_bitmaps(documents, **options)
 
     def run(batches):
         for part in slices(batches, "text"):
             body = part.column("text").to_pylist()
             kept = [t if b is None or t is None else apply_bitmap(t.encode(), b)[0].decode() for t, b in zip(body, part.column("fl_bitmap").to_pylist(), strict=True)]
-            columns = [pa.array(kept, pa.string()) if c == "text" else part.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else part.column(c) for c in names], names)
 
-    return marked.transform(in_arrow, run, documents.schema)
+    return some.transform(in_arrow, run, documents.schema).union(whole)

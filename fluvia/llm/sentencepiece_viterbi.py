@@ -18,7 +18,6 @@ UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a Python worker remembers, and the longest of them.
 MOST_CHUNKS = 200_000
 LONGEST_KNOWN = 64
-_codecs: dict[str, "Codec"] = {}
 
 
 class Codec:
@@ -138,10 +137,10 @@ class Codec:
 
 def codec(path: str) -> Codec:
     """One for each Python worker."""
-    if path not in _codecs:
-        _codecs[path] = Codec.from_file(path)
-    _codecs[path].known = memo(f"sentencepiece {path}")
-    return _codecs[path]
+    held = memo(f"sentencepiece {path}")
+    if "codec" not in held:
+        held["codec"] = Codec.from_file(path)
+    return held["codec"]
 
 
 def _mapped(rows: DataFrame, source: str, name: str, kind: str, make):

@@ -23,7 +23,6 @@ MOST_WORDS = 600_000
 ORC_OPTIONS = {"compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
-_encoders: dict[tuple[str, int], "WordEncoder"] = {}
 
 
 class WordEncoder:
@@ -135,10 +134,10 @@ class WordEncoder:
 
 def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
     """One for each Python worker."""
-    if (path, most) not in _encoders:
-        _encoders[path, most] = WordEncoder(path, most)
-    _encoders[path, most].known = memo(f"byte pairs {path}")
-    return _encoders[path, most]
+    held = memo(f"byte pairs {path} {most}")
+    if "encoder" not in held:
+        held["encoder"] = WordEncoder(path, most)
+    return held["encoder"]
 
 
 def write_token_orc(documents: DataFrame, tokenizer_path: str, out: str | None = None, end_id: int = END_ID) -> str:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import in_arrow, slices, texts
+from fluvia.llm.common import in_arrow, memo, slices, texts
 
 #: At most so many labelled rows are used to fit, taken in the order of a hash of doc_id.
 MOST_LABELLED = 20_000
@@ -172,6 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
     some = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id").withColumn("fold", (F.crc32(F.col("doc_id").cast("string")) % 5).cast("int"))
 
     def run(batches):
+        memo(None)
         for part in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([part.column("toxic"), part.column("fold"), part.column("doc_id").cast(pa.int64()), pa.array([features(t) for t in texts(part.column("text"))], pa.list_(pa.float64()))], ["toxic", "fold", "doc_id", "x"])
 
@@ -194,6 +195,7 @@ def with_score(documents: DataFrame, model: Trees, name: str = "fl_score") -> Da
 
     @F.pandas_udf("double")
     def score(body: pd.Series) -> pd.Series:
+        memo(None)
         return pd.Series(shared.value.score(np.array([features(t or "") for t in body], float).reshape(-1, len(FEATURES))))
 
     return documents.withColumn(name, score("text"))

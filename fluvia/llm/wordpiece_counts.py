@@ -13,7 +13,6 @@ from fluvia.llm.common import in_arrow, memo, slices, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
 MOST_WORDS = 300_000
-_counters: dict[tuple, "PieceCounter"] = {}
 
 
 def vocabulary(path: str) -> tuple[set[str], set[str]]:
@@ -113,10 +112,10 @@ class PieceCounter:
 
 def counter(path: str) -> PieceCounter:
     """One for each Python worker."""
-    if path not in _counters:
-        _counters[path] = PieceCounter(*vocabulary(path))
-    _counters[path].known = memo(f"wordpiece {path}")
-    return _counters[path]
+    held = memo(f"wordpiece {path}")
+    if "counter" not in held:
+        held["counter"] = PieceCounter(*vocabulary(path))
+    return held["counter"]
 
 
 def token_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
