@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of one string column that a Python worker handles at a time.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: A Bloom filter never has more bits (32 MB), whatever the data.
 MAX_BLOOM_BITS = 1 << 28
 
@@ -68,6 +70,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidy() -> None:
+    """Gives what a task has freed back to the system, as idle workers stay."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 #: Rows that Spark hands to a Python worker at once: texts can be long, so that its own 10,000 may not fit.
 BATCH_ROWS = 2000
 
@@ -105,6 +116,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
                 held, size = [], 0
     if held:
         yield joined(held)
+    held = []
+    tidy()
 
 
 def merged(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa.RecordBatch]:
@@ -120,6 +133,8 @@ def merged(batches: Iterator[pa.RecordBatch], rows: int = 50_000) -> Iterator[pa
             held, size = [], 0
     if held:
         yield joined(held)
+    held = []
+    tidy()
 
 
 def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:

@@ -16,7 +16,7 @@ MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
 UNKNOWN_PENALTY = 10.0
 #: Chunks whose ids a Python worker remembers, and the longest of them.
-MOST_CHUNKS = 200_000
+MOST_CHUNKS = 120_000
 LONGEST_KNOWN = 64
 
 

@@ -201,9 +201,9 @@ def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: i
     def entered(batches):
         for b in batches:
             fp, rep = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("fp", "rep"))
-            for s in range(0, len(fp), 2000):
-                rows, keys = segments.entries(fp[s : s + 2000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[s : s + 2000][rows]), pa.array(rep[s : s + 2000][rows])], ["key", "fp", "rep"])
+            for s in range(0, len(fp), 400):
+                rows, keys = segments.entries(fp[s : s + 400].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[s : s + 400][rows]), pa.array(rep[s : s + 400][rows])], ["key", "fp", "rep"])
 
     keyed = nodes.select("fp", "rep").transform(in_arrow, entered, "key bigint, fp bigint, rep bigint")
     found = stored(keyed.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius, most_in_run), schema), "near-links")

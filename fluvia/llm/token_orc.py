@@ -156,7 +156,7 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, out: str | None =
     def run(batches):
         encode = encoder(tokenizer_path).encode
         end, start, part_id = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
-        for part in slices(batches, "text", 2 * SLICE_BYTES):
+        for part in slices(batches, "text", 4 * SLICE_BYTES):
             ids = [v + end for v in encode(part.column("text"))]
             n = np.fromiter((len(v) // 4 for v in ids), np.int64, len(ids))
             starts = start + np.cumsum(n) - n

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import in_arrow, memo, slices, texts
+from fluvia.llm.common import in_arrow, memo, slices, texts, tidy
 
 #: At most so many labelled rows are used to fit, taken in the order of a hash of doc_id.
 MOST_LABELLED = 20_000
@@ -196,6 +196,7 @@ def with_score(documents: DataFrame, model: Trees, name: str = "fl_score") -> Da
     @F.pandas_udf("double")
     def score(body: pd.Series) -> pd.Series:
         memo(None)
+        tidy()
         return pd.Series(shared.value.score(np.array([features(t or "") for t in body], float).reshape(-1, len(FEATURES))))
 
     return documents.withColumn(name, score("text"))
