@@ -81,14 +81,20 @@ def tidy() -> None:
 
 #: Rows that Spark hands to a Python worker at once: texts can be long, so that its own 10,000 may not fit.
 BATCH_ROWS = 2000
+#: Bytes of such a batch, if it has more than one row: on both sides a batch is held whole.
+BATCH_BYTES = 4 << 20
 
 
 def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """``mapInArrow`` with batches of BATCH_ROWS rows at most (a setting of the session); use with ``transform``."""
+    """``mapInArrow`` with batches of BATCH_ROWS rows and about BATCH_BYTES at most (settings of the session);
+    use with ``transform``."""
     spark = df.sparkSession
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    conf, bytes_of = spark.conf, spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    rows, size = (f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes"))
+    if not 0 < int(conf.get(rows)) <= BATCH_ROWS:
+        conf.set(rows, str(BATCH_ROWS))
+    if not 0 < bytes_of(conf.get(size)) <= BATCH_BYTES:
+        conf.set(size, f"{BATCH_BYTES}b")
     return df.mapInArrow(run, schema)
 
 

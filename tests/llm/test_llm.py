@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from fluvia.llm import exact_dedup, line_dedup, mixing, queries, sentencepiece_viterbi, simhash, suffix_repetition, token_orc, toxicity, warc_index, wordpiece_counts  # noqa: E402
-from fluvia.llm.common import Bloom, slices  # noqa: E402
+from fluvia.llm.common import BATCH_BYTES, Bloom, in_arrow, slices  # noqa: E402
 from fluvia.llm.graph import connected_components  # noqa: E402
 
 PIECES, BYTE_PAIRS = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
@@ -409,3 +409,13 @@ def test_pipeline_stages(spark):
 def test_queries_are_registered():
     assert [n.split("_")[0] for n in queries.queries()][:10] == [f"op{k}" for k in range(1, 11)] and "pipeline" in queries.queries()
     assert set(queries.oracle_sql()) <= set(queries.queries())
+
+
+def test_arrow_batches_are_bounded(spark):
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    long = spark.range(0, 100, 1, 1).select("id", F.repeat(F.lit("x"), 1 << 18).alias("text"))
+    got = long.transform(in_arrow, run, "n bigint, size bigint").collect()
+    assert sum(r.n for r in got) == 100 and max(r.size for r in got) <= BATCH_BYTES + (1 << 19)
