@@ -152,3 +152,27 @@ def bengali_number(value: Column, decimals: int) -> Column:
 
 def roughly(n: Column, step: float) -> Column:
     return F.floor(n / step + 0.5) * step
+
+
+def match_hierarchy(units: DataFrame, levels: list[tuple[str, DataFrame]]) -> DataFrame:
+    """Each unit's names (one column for each level, from the top) matched level by level.
+
+    A level's candidates (parent, cand_id, cand, cand_bn) are those of the unit matched above; parent is
+    0 at the top. Below an unmatched level nothing matches. A name is matched once for each parent,
+    however many units carry it. Adds columns <level>_id and <level>_method.
+    """
+    out, above = units, F.lit(0)
+    for column, candidates in levels:
+        names = out.select(above.alias("parent"), F.col(column).alias("name")).distinct().select(F.struct("parent", "name").alias("id"), "parent", "name")
+        found = best_matches(names, candidates).select(F.col("parent").alias("fl_parent"), F.col("name").alias("fl_name"), F.col("cand_id").alias(f"{column}_id"), F.col("method").alias(f"{column}_method"))
+        out = out.join(found, above.eqNullSafe(F.col("fl_parent")) & F.col(column).eqNullSafe(F.col("fl_name")), "left").drop("fl_parent", "fl_name")
+        above = F.col(f"{column}_id")
+    return out
+
+
+def markdown_table(rows: DataFrame, cells: list[Column], names: list[str], order: list[str]) -> DataFrame:
+    """One row with a Markdown table: head, rule, rows in order. For tables of a page; null cells are a dash."""
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c, F.lit("—")) for c in cells)), F.lit(" |"))
+    body = rows.select(F.struct(*order, line.alias("fl_line")).alias("x")).agg(F.array_sort(F.collect_list("x")).alias("x"))
+    head = [F.lit(f"| {' | '.join(names)} |"), F.lit("|" + "---|" * len(names))]
+    return body.select(F.array_join(F.concat(F.array(*head), F.transform("x", lambda x: x.fl_line)), "\n").alias("document"))

@@ -97,3 +97,13 @@ def density(counts: DataFrame, least: float = DEFAULTS["min_area_km2"], low: flo
     """Density of n over area, where enough area was measured, and its band."""
     d = F.when(F.coalesce("area_km2", F.lit(0.0)) >= least, F.coalesce("n", F.lit(0)) / F.col("area_km2"))
     return counts.withColumn("density", F.round(d, 6)).withColumn("mapping", F.when(F.col("density").isNull(), "not measured").when(F.col("density") < low, "low").when(F.col("density") < high, "medium").otherwise("high"))
+
+
+def intersection(zones: DataFrame, units: DataFrame) -> DataFrame:
+    """Zone cells inside units, one row for each pair; cells outside every unit go."""
+    return zones.join(units, ["r", "c"])
+
+
+def answered_cells(asked: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells asked for, once each, and whether they were answered: those make up the coverage."""
+    return asked.select(keys).distinct().join(answered.select(*keys, F.lit(True).alias("answered")).distinct(), keys, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))

@@ -86,3 +86,10 @@ def with_f1(counts: DataFrame) -> DataFrame:
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return counts.withColumn("iou", F.round(F.try_divide(tp.cast("double"), tp + fp + fn), 6)).withColumn("precision", F.round(ratio(tp, tp + fp), 6)).withColumn("recall", F.round(ratio(tp, tp + fn), 6)).withColumn("f1", F.round(ratio(2 * tp, 2 * tp + fp + fn), 6))
+
+
+def error_area(rows: DataFrame, keys: list[str], cut: float, cell_ha: float) -> DataFrame:
+    """Hectares of change that the forecast (prob above the cut) hits, invents and misses against truth (0 or 1)."""
+    p, t = F.col("prob") > cut, F.col("truth") == 1
+    ha = lambda which, name: F.round(F.count_if(which) * cell_ha, 6).alias(name)
+    return rows.groupBy(*keys).agg(ha(p & t, "hit_ha"), ha(p & ~t, "false_ha"), ha(~p & t, "missed_ha"))

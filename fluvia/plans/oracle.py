@@ -33,6 +33,13 @@ def _latin() -> str:
     return s
 
 
+
+def _squeezed(s: str) -> str:
+    for letter in "bdgklmnrt" * 2:
+        s = f"replace({s}, '{letter * 2}', '{letter}')"
+    return s
+
+
 ORACLE_SQL = {
     "risk_table": f"WITH {RK} SELECT * FROM rk",
     "risk_enriched": f"WITH {RK} SELECT gid_union, r_name AS region, erosion_ha, net_land_change_ha, persons_est FROM rk LEFT JOIN region ON district = r_regionkey",
@@ -99,4 +106,14 @@ ORACLE_SQL = {
     "attention_scores": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q_id, v.vec_id, list_inner_product(v.e, q.e) / 8 AS s FROM e v, e q WHERE q.vec_id < 3), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY q_id)) AS x FROM s) SELECT q_id, vec_id, round(x / sum(x) OVER (PARTITION BY q_id), 6) AS weight FROM x",
     "cube_rollup": f"WITH {RK}, p AS (SELECT district, CASE s WHEN 'F' THEN 'erosion' ELSE 'accretion' END AS kind FROM pc) SELECT district, kind, count(*) AS n, grouping(district, kind)::INT AS level FROM p GROUP BY CUBE (district, kind)",
     "asof_prev": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events",
+    "value_counts": "WITH b AS (SELECT CASE WHEN o_totalprice / 5000 >= 50 THEN 'very high' WHEN o_totalprice / 5000 >= 20 THEN 'high' WHEN o_totalprice / 5000 >= 5 THEN 'moderate' ELSE 'low' END AS k FROM orders), n AS (SELECT k, count(*) AS n FROM b GROUP BY 1) SELECT '{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}' AS counts FROM n",
+    "state_roundtrip": "SELECT n_name, n_name AS district, CASE WHEN n_nationkey % 2 = 0 THEN 'char alga' ELSE '' END AS query, [0, 10, 100, 500][n_nationkey % 4 + 1]::INT AS min_erosion, CASE WHEN n_nationkey % 3 = 0 THEN 'union' ELSE 'erosion_ha' END AS sort, CASE WHEN n_nationkey % 5 = 0 THEN 'asc' ELSE 'desc' END AS dir FROM nation",
+    "coverage_cells": f"WITH {SUP}, b AS (SELECT floor(round(lon / 0.1, 6)) AS i0, greatest(floor(round(lon / 0.1, 6)), ceil(round((lon + 0.13) / 0.1, 6)) - 1) AS i1, floor(round(lat / 0.1, 6)) AS j0, greatest(floor(round(lat / 0.1, 6)), ceil(round((lat + 0.08) / 0.1, 6)) - 1) AS j1 FROM pl) SELECT DISTINCT i::INT AS i, j::INT AS j, (i * 7 + j) % 5 <> 0 AS answered FROM b, range(800, 1000) x(i), range(200, 300) y(j) WHERE i BETWEEN i0 AND i1 AND j BETWEEN j0 AND j1",
+    "overlay_intersection": f"WITH {OV} SELECT zone, unit, count(*) AS n_cells, round(count(*) * 1.44, 6)::DOUBLE AS area_ha FROM ov WHERE unit IS NOT NULL GROUP BY ALL",
+    "error_area": f"WITH {SD}, n AS (SELECT r % 2 AS half, {COUNTS} FROM sd GROUP BY 1) SELECT half, round(tp * 1.44, 6)::DOUBLE AS hit_ha, round(fp * 1.44, 6)::DOUBLE AS false_ha, round(fn * 1.44, 6)::DOUBLE AS missed_ha FROM n",
+    "bengali_skeleton": f"SELECT p_name, {_squeezed("regexp_replace(p_name, '[^bdgklmnrt]', '', 'g')")} AS key FROM (SELECT DISTINCT p_name FROM part)",
+    "clean_names": "SELECT n_nationkey, n_name AS name, true AS bengali, false AS latin_is FROM nation",
+    "markdown_tables": "WITH n AS (SELECT quality, count(*) AS n, count(*) FILTER (toxic = 1) AS toxic FROM labels GROUP BY 1) SELECT '| quality | n | toxic |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || coalesce(quality::VARCHAR, '—') || ' | ' || n || ' | ' || toxic || ' |', chr(10) ORDER BY quality NULLS FIRST) AS document FROM n",
+    "linear_head": "SELECT vec_id, round(1 / (1 + exp(-(list_inner_product(embedding::DOUBLE[], [(k % 7 - 3) / 10::DOUBLE FOR k IN range(64)]) + 0.25))), 6) AS prob FROM embeddings",
+    "approx_distinct": "SELECT DISTINCT event_type, true AS close FROM events",
 }

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fluvia.functions import raster, text
+from fluvia.functions import raster, text, vectors
 from fluvia.operators import frames, risk, series, spatial, thresholds
 from fluvia.plans.oracle import ORACLE_SQL as ORACLE_SQL
 
@@ -386,11 +386,15 @@ def mapping_density(spark, d):
     return spatial.density(counted).select("s_suppkey", F.round("area_km2", 6).alias("area_km2"), "density", "mapping")
 
 
-def overlap(spark, d) -> DataFrame:
+def overlap_sides(spark, d) -> tuple[DataFrame, DataFrame]:
     zones = masks(spark, d).where("m = 1").select(F.col("f").alias("zone"), "r", "c")
     units = spark.range(SIDE * SIDE).select(F.floor(F.col("id") / SIDE).cast("int").alias("r"), (F.col("id") % SIDE).cast("int").alias("c"))
     both = units.where("r < 9").withColumn("unit", F.lit("a")).union(units.where("r > 6 and r < 14").withColumn("unit", F.lit("b")))
-    return spatial.identity(zones, both)
+    return zones, both
+
+
+def overlap(spark, d) -> DataFrame:
+    return spatial.identity(*overlap_sides(spark, d))
 
 
 @query
@@ -463,7 +467,7 @@ def hash_keys(spark, d):
 def attention_scores(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
     q = v.where("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("e").alias("q"))
-    dot = F.aggregate(F.zip_with("e", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) / 8.0
+    dot = vectors.dot(F.col("e"), F.col("q")) / 8.0
     w = Window.partitionBy("q_id")
     scores = v.crossJoin(F.broadcast(q)).select("q_id", "vec_id", dot.alias("s")).withColumn("x", F.exp(F.col("s") - F.max("s").over(w)))
     return scores.select("q_id", "vec_id", F.round(F.col("x") / F.sum("x").over(w), 6).alias("weight"))
@@ -488,3 +492,72 @@ def stream_composite(spark, d):
     from fluvia.streaming.composite import run_to_end
 
     return run_to_end(spark, f"{d}/events.parquet")
+
+
+@query
+def value_counts(spark, d):
+    return risk.value_counts(table(spark, d, "orders"), risk.severity(F.col("o_totalprice") / 5000))
+
+
+@query
+def state_roundtrip(spark, d):
+    parsed = risk.parse_states(state_query_strings(spark, d).select(F.col("district").alias("n_name"), "search"))
+    return parsed.select("n_name", "district", "query", "min_erosion", "sort", "dir")
+
+
+@query
+def coverage_cells(spark, d):
+    asked = lattice_cells(spark, d).select("i", "j")
+    return spatial.answered_cells(asked, asked.where("(i * 7 + j) % 5 != 0"), ["i", "j"])
+
+
+@query
+def overlay_intersection(spark, d):
+    zones, units = overlap_sides(spark, d)
+    return spatial.zone_pieces(spatial.intersection(zones, units), 1.44)
+
+
+@query
+def error_area(spark, d):
+    return thresholds.error_area(scored(spark, d).withColumn("half", F.col("r") % 2), ["half"], 0.5, 1.44)
+
+
+@query
+def bengali_skeleton(spark, d):
+    name = F.translate(F.col("p_name"), "bdgklmnrt", "বদগকলমনরত")
+    return table(spark, d, "part").select("p_name").distinct().select("p_name", text.bengali_key(name).alias("key"))
+
+
+@query
+def clean_names(spark, d):
+    name = F.concat((F.col("n_nationkey") + 1).cast("string"), F.lit(" নং "), "n_name", F.lit(" ইউনিয়ন পরিষদ, x"))
+    return table(spark, d, "nation").select("n_nationkey", text.clean_unit_name(name).alias("name"), text.is_bengali_name(F.lit("নদী")).alias("bengali"), text.is_bengali_name(F.col("n_name")).alias("latin_is"))
+
+
+@query
+def hierarchy_match(spark, d):
+    """Rows only: the similarity is not in SQL."""
+    units = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("district"), F.col("p_name").alias("unit"))
+    schema = "parent int, cand_id int, cand string, cand_bn string"
+    districts = spark.createDataFrame([(0, 1, "Economy", "ইকনমি"), (0, 2, "Small", "সমল")], schema)
+    within = spark.createDataFrame([(1, 11, "red widgit", "রেদ উইদগিত"), (1, 12, "smol rang", "স্মল রিং"), (2, 13, "blu bolt", "ব্লু বল্ত")], schema)
+    return text.match_hierarchy(units, [("district", districts), ("unit", within)])
+
+
+@query
+def markdown_tables(spark, d):
+    rows = table(spark, d, "labels").groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.col("toxic") == 1).alias("toxic"))
+    return text.markdown_table(rows, [F.col(c).cast("string") for c in ("quality", "n", "toxic")], ["quality", "n", "toxic"], ["quality"])
+
+
+@query
+def linear_head(spark, d):
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.round(vectors.linear_head(e, [(k % 7 - 3) / 10 for k in range(64)], 0.25), 6).alias("prob"))
+
+
+@query
+def approx_distinct(spark, d):
+    """Extension: a sketch of distinct users; true where it is within a tenth of the exact number."""
+    n = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("a"), F.count_distinct("user_id").alias("n"))
+    return n.select("event_type", (F.abs(F.col("a") - F.col("n")) <= F.col("n") * 0.1).alias("close"))

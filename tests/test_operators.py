@@ -150,3 +150,31 @@ def test_registered_sql_agrees(spark):
         want = con.execute(registry.ORACLE_SQL[name]).df()[list(got.columns)]
         key = lambda rows: sorted(tuple("-" if v != v or v is None else round(float(v), 5) if isinstance(v, int | float) else str(v) for v in r) for r in rows.itertuples(index=False))
         assert key(got) == key(want), name
+
+
+def test_states_of_a_table_are_parsed_like_one(spark):
+    given = ["", None, "?q=a%20b&min=10", "district=X&sort=none&dir=up&min=11", "min=x&q=1&q=2", "sort=union&dir=asc&district=%E0%A6%95&min=1e2"]
+    rows = risk.parse_states(spark.createDataFrame([(s,) for s in given], "search string")).collect()
+    for r in rows:
+        want = risk.parse_state(r.search or "")
+        assert (r.district, r["query"], r.min_erosion, r.sort, r.dir) == (want["district"], want["query"], want["minErosion"], want["sort"], want["dir"]), r.search
+
+
+def test_hierarchy_matches_only_under_the_parent(spark):
+    schema = "parent int, cand_id int, cand string, cand_bn string"
+    top = spark.createDataFrame([(0, 1, "Rangpur", "রংপুর"), (0, 2, "Bogra", "বগরা")], schema)
+    low = spark.createDataFrame([(1, 11, "Kamarpur", "কামারপুর"), (2, 12, "Sonatala", "সোনাতলা")], schema)
+    units = spark.createDataFrame([(1, "Rangpur", "Kamarpur"), (2, "Bogra", "Kamarpur"), (3, "Elsewhere", "Kamarpur"), (4, None, "Sonatala"), (5, "Bogra", "Sonatala"), (6, "Rangpur", "Kamarpur")], "n int, district string, unit string")
+    got = {r.n: (r.district_id, r.unit_id) for r in text.match_hierarchy(units, [("district", top), ("unit", low)]).collect()}
+    assert got == {1: (1, 11), 2: (2, None), 3: (None, None), 4: (None, None), 5: (2, 12), 6: (1, 11)}
+
+
+def test_markdown_table_marks_missing(spark):
+    rows = spark.createDataFrame([(2, None), (1, "x")], "k int, v string")
+    got = text.markdown_table(rows, [F.col("k").cast("string"), F.col("v")], ["k", "v"], ["k"]).first().document
+    assert got == "| k | v |\n|---|---|\n| 1 | x |\n| 2 | — |"
+
+
+def test_answered_cells_are_unique(spark):
+    asked = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "i int, j int")
+    assert sorted(map(tuple, spatial.answered_cells(asked, asked.where("i = 1"), ["i", "j"]).collect())) == [(1, 1, True), (2, 1, False)]
