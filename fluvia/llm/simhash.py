@@ -16,6 +16,13 @@ from fluvia.llm.graph import connected_components
 SEED = 42
 #: Fingerprints that share a table key and are linked in memory at once; more get longer keys first.
 MOST_IN_RUN = 4096
+#: Further keys of a text for near copies: BANDS keys of MINIMA minima each. Two texts at Jaccard similarity j
+#: have none in common with a chance of (1 - j ** MINIMA) ** BANDS: 3e-6 at 0.8.
+BANDS, MINIMA = 24, 4
+#: Texts of a block; groups with more are compared block by block, in different tasks.
+BLOCK = 512
+_XOR, _ODD = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * MINIMA, 1), np.uint64)
+_ODD |= np.uint64(1)
 
 
 def shingles(text: bytes, size: int) -> list[bytes]:
@@ -45,26 +52,44 @@ def fingerprint(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big")
 
 
+def bands(once: np.ndarray) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of the smallest hash under MINIMA orders; none of an empty set."""
+    if not len(once):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * MINIMA, np.iinfo(np.uint64).max)
+    for start in range(0, len(once), 512):
+        low = np.minimum(low, ((once[start : start + 512] ^ _XOR) * _ODD).min(axis=1))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for part in low.reshape(BANDS, MINIMA).T:
+        key = (key ^ part) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key
+
+
 def fingerprints(documents: DataFrame, size: int = 3, distinct: bool = False) -> DataFrame:
     """Rows (doc_id, fp, content) for each document; fp: the fingerprint's bits as a bigint; content: a
     hash of the sorted set of shingle hashes, equal for texts with the same shingles.
 
-    With ``distinct`` a shingle counts once however often a text repeats it, as in a Jaccard similarity.
-    A null text counts as empty: fingerprint zero.
+    With ``distinct`` a shingle counts once however often a text repeats it, as in a Jaccard similarity,
+    and the rows have the text's ``bands`` too. A null text counts as empty: fingerprint zero.
     """
 
     def run(batches):
         memo(None)
         for part in slices(batches, "text"):
-            fps, content = [], []
+            fps, content, keys = [], [], []
             for text in raw(part.column("text")):
                 h = hashes(text, size)
                 once = np.unique(h)
+                if distinct:
+                    keys.append(bands(once).tobytes())
                 fps.append(fingerprint(once if distinct else h))
                 content.append(xxhash.xxh64_intdigest(once.tobytes(), SEED))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content))], ["doc_id", "fp", "content"])
+            more = [pa.array(keys, pa.binary())] if distinct else []
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)), *more], names)
 
-    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint")
+    names = ["doc_id", "fp", "content", *(["bands"] if distinct else [])]
+    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint" + (", bands binary" if distinct else ""))
 
 
 class Segments:
@@ -259,11 +284,27 @@ def near_classes(documents: DataFrame, size: int = 3, radius: int = 3) -> DataFr
     return prints.join(nodes, F.col("fp") == F.col("n_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity: float) -> DataFrame:
-    """Those of ``links`` (u, v: doc_ids) whose texts' sets of shingles have that Jaccard similarity at least."""
-    ends = stored(links.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "link-ends")
-    bloom = Bloom(ends, F.xxhash64("node"))
+def key_groups(nodes: DataFrame) -> DataFrame:
+    """Rows (key, node, low, n) of nodes (content, bands) for each key that ``n`` > 1 nodes share; low: the
+    key's smallest node. Of keys with the same nodes one is kept."""
+
+    def entered(batches):
+        for b in batches:
+            node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            keys = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(node, [len(x) for x in keys]))], ["key", "node"])
+
+    keyed = stored(nodes.select("content", "bands").transform(in_arrow, entered, "key bigint, node bigint"), "keys")
+    h = F.xxhash64("node")
+    sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(h).alias("x"), F.sum(h % (1 << 31)).alias("y")).where("n > 1")
+    some = stored(sized.groupBy("n", "low", "x", "y").agg(F.min("key").alias("key")).select("key", "low", "n"), "shared-keys")
+    return stored(keyed.join(some, "key").select("key", "node", "low", "n"), "key-groups")
 
+
+def shingle_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
+    """Rows (node, grams) for the texts of ``ids`` (one column of doc_ids) at least; grams: the sorted hashes
+    of the text's shingles, node: their hash, as ``content`` in :func:`fingerprints`."""
+    bloom = Bloom(ids, F.xxhash64(ids.columns[0]))
     bits, shared = bloom.bits, bloom.shared
 
     def sets(batches):
@@ -271,11 +312,16 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
         test = tester(bits, shared)
         for part in slices(batches, "text"):
             part = part.filter(pa.array(test(part.column("h").to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([np.unique(hashes(t, size)).tobytes() for t in raw(part.column("text"))], pa.binary())], ["doc", "grams"])
+            grams = [np.unique(hashes(t, size)).tobytes() for t in raw(part.column("text"))]
+            node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in grams], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(grams, pa.binary())], ["node", "grams"])
 
     some = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
-    grams = some.transform(in_arrow, sets, "doc bigint, grams binary").groupBy("doc").agg(F.max("grams").alias("grams"))
-    grams = stored(grams, "link-shingles")
+    return stored(some.transform(in_arrow, sets, "node bigint, grams binary").groupBy("node").agg(F.max("grams").alias("grams")), "shingle-sets")
+
+
+def verified_links(links: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``links`` (u, v: nodes) whose sets of shingles have that Jaccard similarity at least."""
     both = links.join(grams.toDF("u", "gu"), "u").join(grams.toDF("v", "gv"), "v")
 
     def similar(batches):
@@ -291,26 +337,101 @@ def verified_links(documents: DataFrame, links: DataFrame, size: int, similarity
     return both.select("u", "v", "gu", "gv").transform(in_arrow, similar, "u bigint, v bigint")
 
 
+def group_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links between nodes at the similarity that join all labels that any pair of these nodes joins.
+
+    Each node outside the commonest label is compared with all nodes of other labels, so a pair is left
+    out only if its ends are joined already.
+    """
+    _, at, times = np.unique(label, return_inverse=True, return_counts=True)
+    if len(times) < 2:
+        return []
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(size)
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    root = at.copy()
+    out = []
+    for i in np.flatnonzero(at != times.argmax()):
+        if (root == root[i]).all():
+            break
+        mine = ids[ends[i] - size[i] : ends[i]]
+        mark[mine] = True
+        common = np.diff(np.append(0, np.cumsum(mark[ids])[ends - 1]))
+        mark[mine] = False
+        near = np.flatnonzero((root != root[i]) & (common >= similarity * (size + size[i] - common)))
+        for j in near[np.unique(root[near], return_index=True)[1]]:
+            out.append((int(node[i]), int(node[j])))
+            root[root == root[j]] = root[i]
+    return out
+
+
+def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) at the similarity between nodes that share a key of ``groups`` and are in different
+    components of ``parts`` (node, component): with them, every such pair is in one component.
+
+    Keys whose nodes are all in one component are done, and so are keys of two nodes, whose only pair
+    was compared. The nodes of the others are dealt to blocks, and each two blocks are a task's work.
+    """
+    placed = stored(groups.where("n > 2").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label")), "placed")
+    still = stored(placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "open-keys")
+    last = F.ceil(F.col("n") / block).cast("int") - 1
+    mine = F.pmod(F.xxhash64("node", "key"), last + 1).cast("int")
+    other = F.explode(F.when(last == 0, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), last), lambda k: k != F.col("mine"))))
+    dealt = placed.join(still, "key").withColumn("mine", mine).withColumn("other", other).select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "label")
+    rows = dealt.join(grams, "node").select("task", "node", "label", "grams")
+
+    def run(batches):
+        memo(None)
+        held = None
+
+        def found(rows):
+            links = group_links(rows.column(1).to_numpy(), rows.column(2).to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(3)], similarity) if rows.num_rows > 1 else []
+            u, v = np.array(links, np.int64).reshape(-1, 2).T
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+        for batch in slices(batches, "grams"):
+            batch = batch if held is None else pa.concat_batches([held, batch])
+            task = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist()]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                yield found(batch.slice(a, b - a))
+            held = batch.slice(cuts[-1])
+        if held is not None:
+            yield found(held)
+
+    return rows.repartition("task").sortWithinPartitions("task").transform(in_arrow, run, "u bigint, v bigint")
+
+
 def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
     """``documents`` with one row of each group of near copies, that with the smallest doc_id.
 
-    Candidates are pairs of fingerprints over ``size`` words within ``radius`` bits, found by their
-    parts (see :data:`FIFTHS`); a candidate is a link if the exact Jaccard similarity of the sets of
-    shingles is ``similarity`` at least; groups are connected components of links. Texts with equal
-    sets of shingles are one node. So no text below the similarity goes; of pairs just above it, those
-    whose fingerprints differ in more bits than the radius are missed (see the README for a measured
-    share).
+    Candidates are pairs of texts that share one of their :func:`bands`, and pairs of fingerprints over
+    ``size`` words within ``radius`` bits, found by their parts (see :data:`FIFTHS`); a candidate is a
+    link if the exact Jaccard similarity of the sets of shingles is ``similarity`` at least; groups are
+    connected components of links. Few links join most texts of a key first; then all pairs of a key
+    that are still in different components are compared. Texts with equal sets of shingles are one
+    node. So no text below the similarity goes; a pair at 0.8 shares no key with a chance of 3e-6 (see
+    the README for measured shares).
 
     Rows with a null doc_id stay. Of rows repeated with one doc_id one stays. Texts without words
     (null, empty, blanks) are copies of each other. An empty table gives an empty result.
     """
     documents_id = F.col("doc_id").cast("bigint")
     prints = stored(fingerprints(documents, size, distinct=True).where("doc_id is not null"), "fingerprints")
-    nodes = stored(prints.groupBy("fp", "content").agg(F.min("doc_id").alias("rep")), "nodes")
-    links = stored(near_links(nodes, radius, FIFTHS), "candidates")
-    parts = connected_components(verified_links(documents, links, size, similarity))
-    heads = nodes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), F.col("content").alias("n_content"), F.coalesce("component", "rep").alias("head"))
-    placed = prints.join(heads, (F.col("fp") == F.col("n_fp")) & (F.col("content") == F.col("n_content")))
+    nodes = stored(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "nodes")
+    groups = key_groups(nodes)
+    stars = groups.where("node != low").select(F.col("low").alias("u"), F.col("node").alias("v"))
+    links = stored(near_links(nodes.select("fp", F.col("content").alias("rep")), radius, FIFTHS).union(stars).distinct(), "candidates")
+    ends = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
+    grams = shingle_sets(documents, stored(nodes.join(ends, "content", "left_semi").select("rep"), "link-ends"), size)
+    first = stored(verified_links(links, grams, similarity), "verified")
+    more = stored(missed_links(groups, connected_components(first), grams, similarity), "missed")
+    parts = stored(connected_components(first.union(more)), "parts")
+    joined = nodes.join(parts, F.col("content") == F.col("node"), "left").select(F.col("content").alias("n_content"), "rep", F.coalesce("component", "content").alias("part"))
+    least = joined.groupBy("part").agg(F.min("rep").alias("head"))
+    heads = joined.join(least, "part").select("n_content", "head")
+    placed = prints.select("doc_id", "content").join(heads, F.col("content") == F.col("n_content"))
     # An id that occurs once and heads its group needs no shuffle of its text.
     counted = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("head")).cast("int")).alias("heads"))
     odd = stored(counted.where("n > 1 or heads = 0").select(F.col("doc_id").alias("fl_id"), (F.col("heads") == 1).alias("fl_heads")), "dropped")

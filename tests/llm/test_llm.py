@@ -267,6 +267,54 @@ def test_wider_segments_find_all_within_eight_bits():
         assert {*keys.tolist()} & {*others.tolist()}
 
 
+def near_groups(spark, bodies, similarity=0.8):
+    """What a brute force over all pairs keeps, and what the operator keeps."""
+    sets = [frozenset(simhash.shingles(t.encode(), 5)) for t in bodies]
+    head = list(range(len(bodies)))
+    for a, b in combinations(range(len(bodies)), 2):
+        common = len(sets[a] & sets[b])
+        if common >= similarity * (len(sets[a]) + len(sets[b]) - common) and head[a] != head[b]:
+            x, y = sorted((head[a], head[b]))
+            head = [x if h == y else h for h in head]
+    kept = simhash.drop_near_duplicates(docs(spark, list(enumerate(bodies)))).select("doc_id").collect()
+    return set(head), {r.doc_id for r in kept}
+
+
+def variants(rng, n, words, changed):
+    """Texts that differ from one text of ``words`` words in ``changed`` words each."""
+    base = [f"w{rng.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for _ in range(n):
+        w = list(base)
+        for k in rng.sample(range(words), changed):
+            w[k] = f"x{rng.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_every_pair_of_a_group_of_variants_is_compared(spark):
+    """Variants lie about the similarity: links between them are rejected and found by chance."""
+    rng = random.Random(12)
+    bodies = [t for words, changed, n in ((200, 3, 250), (120, 2, 200), (100, 2, 150)) for t in variants(rng, n, words, changed)]
+    want, got = near_groups(spark, bodies)
+    assert 30 < len(want) < len(bodies) - 30
+    assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 500])
+def test_missed_links_join_what_all_pairs_join(spark, block):
+    rng = random.Random(13)
+    nodes = [(i, np.unique(np.array([rng.randrange(14) for _ in range(12)], np.uint64))) for i in range(60)]
+    groups = spark.createDataFrame([(k, i, 0, len(range(k, 60, 2))) for k in (0, 1) for i in range(k, 60, 2)], "key bigint, node bigint, low bigint, n bigint")
+    grams = spark.createDataFrame([(i, g.tobytes()) for i, g in nodes], "node bigint, grams binary")
+    parts = spark.createDataFrame([], "node bigint, component bigint")
+    links = {(min(r), max(r)) for r in simhash.missed_links(groups, parts, grams, 0.8, block).collect()}
+    near = {(i, j) for (i, x), (j, y) in combinations(nodes, 2) if (j - i) % 2 == 0 and len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))}
+    assert links and links <= near
+    roots = lambda pairs: {r.node: r.component for r in connected_components(spark.createDataFrame(sorted(pairs), "u bigint, v bigint")).collect()}
+    assert roots(links) == roots(near)
+
+
 def test_fingerprint_and_classes(spark):
     assert simhash.fingerprint(simhash.hashes(b"", 3)) == 0
     one = simhash.hashes(b"One two", 3)
