@@ -20,6 +20,16 @@ def spread(cells: DataFrame, keys: list[str], value: str, steps: list[tuple[int,
     return cells.select(*keys, "r", "c", F.col(value).alias("value"), sent).select(*keys, (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "value", "s.i", "s.j")
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """Rows of a round written to the shared folder when one is set, so that a lost executor costs one round."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
+    return rows.checkpoint()
+
+
 def dilate(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Cells of the frame within k steps of a cell that is on. cells: keys, r, c, m (0/1)."""
     near = spread(cells.where("m = 1"), keys, "m", ball(k)).select(*keys, "r", "c").distinct().withColumn("d", F.lit(1))
@@ -97,28 +107,21 @@ def weighted_bce(rows: DataFrame, keys: list[str], weight: float) -> DataFrame:
     return rows.where("valid").groupBy(*keys).agg(F.round(F.avg(loss), 6).alias("loss"))
 
 
-def components(cells: DataFrame, keys: list[str], rounds: int = 64) -> DataFrame:
+def components(cells: DataFrame, keys: list[str]) -> DataFrame:
     """8-connected components of cells: the smallest cell number of each, as ``zone``.
 
-    Labels go to neighbours and then jump to the label of the label, until none changes; each round is
-    written to the shared folder when one is set, so that a lost executor costs one round.
+    Each round hooks every zone to the smallest zone that any of its cells touches and then jumps to the
+    zone of that zone, until no zone changes.
     """
-    spark = cells.sparkSession
-    base = cells.select(*keys, "r", "c").distinct().withColumn("id", F.col("r") * 1_000_000 + F.col("c"))
-    state = base.withColumn("zone", F.col("id"))
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    for _ in range(rounds):
+    state = cells.select(*keys, "r", "c").distinct().withColumn("zone", F.col("r") * 1_000_000 + F.col("c"))
+    while True:
         low = spread(state, keys, "zone", SQUARE).groupBy(*keys, "r", "c").agg(F.min("value").alias("low"))
-        new = state.join(low, [*keys, "r", "c"]).select(*keys, "r", "c", "id", F.col("zone").alias("was"), F.least("zone", "low").alias("zone"))
-        jump = new.select(*keys, F.col("id").alias("zone"), F.col("zone").alias("next"))
-        new = new.join(jump, [*keys, "zone"]).select(*keys, "r", "c", "id", "was", F.col("next").alias("zone")).checkpoint()
+        hook = state.join(low, [*keys, "r", "c"]).groupBy(*keys, "zone").agg(F.min("low").alias("next"))
+        jump = hook.select(*keys, F.col("zone").alias("next"), F.col("next").alias("last"))
+        new = written(state.join(hook.join(jump, [*keys, "next"]), [*keys, "zone"]).select(*keys, "r", "c", F.col("zone").alias("was"), F.col("last").alias("zone")))
         state = new.drop("was")
         if new.where("zone != was").isEmpty():
-            break
-    return state.drop("id")
+            return state
 
 
 def hann(k, size: int):

@@ -68,6 +68,13 @@ def test_components_join_diagonals(spark):
     assert sorted(r["count"] for r in got) == [1, 2, 3]
 
 
+def test_components_join_long_arms(spark):
+    """Two arms of 200 cells that meet at the far end are one component."""
+    arms = [(1, r, c) for c in (0, 2) for r in range(200)] + [(1, 200, 1)]
+    got = frames.components(spark.createDataFrame(arms, "f int, r int, c int"), ["f"]).groupBy("zone").count().collect()
+    assert [tuple(r) for r in got] == [(0, 401)]
+
+
 def test_erosion_takes_outside_as_on(spark):
     full = {(r, c) for r in range(8) for c in range(8)}
     assert frames.erode(mask(spark, full), ["f"], 2).where("e = 0").isEmpty()
