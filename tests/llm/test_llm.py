@@ -315,6 +315,27 @@ def test_missed_links_join_what_all_pairs_join(spark, block):
     assert roots(links) == roots(near)
 
 
+def test_pairs_are_found_from_the_similarity_on(spark):
+    """300 pairs at 0.8 to 0.83, where one fingerprint finds half."""
+    rng = random.Random(14)
+    bodies = []
+    while len(bodies) < 600:
+        two = variants(rng, 2, 60 + len(bodies) // 2, 0)
+        w = two[1].split()
+        sets = [frozenset(simhash.shingles(two[0].encode(), 5))] * 2
+        while True:
+            w[rng.randrange(len(w))] = f"y{rng.randrange(10**6)}"
+            new = frozenset(simhash.shingles(" ".join(w).encode(), 5))
+            if len(sets[0] & new) < 0.8 * len(sets[0] | new):
+                break
+            sets[1] = new
+            two[1] = " ".join(w)
+        if len(sets[0] & sets[1]) < 0.83 * len(sets[0] | sets[1]):
+            bodies += two
+    want, got = near_groups(spark, bodies)
+    assert len(want) == 300 and got == want
+
+
 def test_fingerprint_and_classes(spark):
     assert simhash.fingerprint(simhash.hashes(b"", 3)) == 0
     one = simhash.hashes(b"One two", 3)
