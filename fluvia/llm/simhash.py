@@ -5,6 +5,7 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -414,7 +415,8 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     node. So no text below the similarity goes; a pair at 0.8 shares no key with a chance of 3e-6 (see
     the README for measured shares).
 
-    Rows with a null doc_id stay. Of rows repeated with one doc_id one stays. Texts without words
+    Rows with a null doc_id stay. Rows with one doc_id and equal sets of shingles are repeats, of which
+    one stays; with other texts they are rows like any others. Texts without words
     (null, empty, blanks) are copies of each other. An empty table gives an empty result.
     """
     documents_id = F.col("doc_id").cast("bigint")
@@ -429,14 +431,30 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     more = stored(missed_links(groups, connected_components(first), grams, similarity), "missed")
     parts = stored(connected_components(first.union(more)), "parts")
     joined = nodes.join(parts, F.col("content") == F.col("node"), "left").select(F.col("content").alias("n_content"), "rep", F.coalesce("component", "content").alias("part"))
-    least = joined.groupBy("part").agg(F.min("rep").alias("head"))
+    least = joined.groupBy("part").agg(F.min(F.struct("rep", "n_content")).alias("head"))
     heads = joined.join(least, "part").select("n_content", "head")
-    placed = prints.select("doc_id", "content").join(heads, F.col("content") == F.col("n_content"))
+    is_head = (F.col("doc_id") == F.col("head.rep")) & (F.col("content") == F.col("head.n_content"))
+    placed = stored(prints.select("doc_id", "content").join(heads, F.col("content") == F.col("n_content")).select("doc_id", "content", is_head.alias("heads")), "placed")
     # An id that occurs once and heads its group needs no shuffle of its text.
-    counted = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max((F.col("doc_id") == F.col("head")).cast("int")).alias("heads"))
-    odd = stored(counted.where("n > 1 or heads = 0").select(F.col("doc_id").alias("fl_id"), (F.col("heads") == 1).alias("fl_heads")), "dropped")
+    counted = placed.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("heads").alias("fl_heads"))
+    odd = stored(counted.where("n > 1 or not fl_heads").select(F.col("doc_id").alias("fl_id"), "fl_heads"), "dropped")
     bloom = Bloom(odd, F.xxhash64("fl_id"))
     marked = documents.withColumn("fl_maybe", F.coalesce(bloom.may_hold(F.xxhash64(documents_id)) & F.col("doc_id").isNotNull(), F.lit(False)))
     some = marked.where("fl_maybe").join(odd, documents_id == F.col("fl_id"), "left").where("fl_id is null or fl_heads")
-    once = some.withColumn("fl_row", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where("fl_row = 1")
-    return marked.where("not fl_maybe").select(documents.columns).union(once.select(documents.columns))
+    # Of the rows of a repeated id, those go whose own text heads no group.
+    chosen = placed.where("heads").select(F.col("doc_id").alias("h_id"), F.col("content").alias("h_content")).distinct()
+    again = some.where("fl_id is not null").withColumn("fl_content", _content(size)(F.col("text")))
+    again = again.join(chosen, (F.col("fl_id") == F.col("h_id")) & (F.col("fl_content") == F.col("h_content")), "left_semi")
+    once = again.withColumn("fl_row", F.row_number().over(Window.partitionBy("fl_id", "fl_content").orderBy(F.xxhash64("text")))).where("fl_row = 1")
+    return marked.where("not fl_maybe").select(documents.columns).union(some.where("fl_id is null").select(documents.columns)).union(once.select(documents.columns))
+
+
+def _content(size: int):
+    """The ``content`` of a text as in :func:`fingerprints`, as a function of columns."""
+
+    @F.pandas_udf("bigint")
+    def content(text: pd.Series) -> pd.Series:
+        digest = [xxhash.xxh64_intdigest(np.unique(hashes((t or "").encode(), size)).tobytes(), SEED) for t in text]
+        return pd.Series(np.array(digest, np.uint64).view(np.int64))
+
+    return content

@@ -336,6 +336,13 @@ def test_pairs_are_found_from_the_similarity_on(spark):
     assert len(want) == 300 and got == want
 
 
+def test_repeated_ids_with_other_texts_stay(spark):
+    one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, one), (1, two), (1, two.upper()), (2, two), (3, three), (3, one + " more"), (4, three)]
+    got = simhash.drop_near_duplicates(docs(spark, rows)).collect()
+    assert sorted((r.doc_id, r.text.lower()) for r in got) == [(1, one), (1, two), (3, three)]
+
+
 def test_fingerprint_and_classes(spark):
     assert simhash.fingerprint(simhash.hashes(b"", 3)) == 0
     one = simhash.hashes(b"One two", 3)
