@@ -62,6 +62,15 @@ def test_displacement_is_shift_times_resolution(spark):
     assert frames.displacement(edge(2), edge(5), ["k"], 30.0, 16).first().metres == 90.0
 
 
+def test_displacement_has_no_bound(spark):
+    """Nearest cells beyond the reach, one of them hidden by a farther cell in a nearer block."""
+    a, b = [(0, 0), (15, 15), (40, 7)], [(31, 31), (32, 15), (300, 4)]
+    rows = lambda cells: spark.createDataFrame([(1, *p) for p in cells] + ([(2, 0, 0)] if cells is a else []), "k int, r int, c int")
+    mean = lambda x, y: sum(min(((p - r) ** 2 + (q - s) ** 2) ** 0.5 for r, s in y) for p, q in x) / len(x)
+    got = frames.displacement(rows(a), rows(b), ["k"], 30.0, 16).collect()
+    assert [(r.k, r.metres) for r in got] == [(1, pytest.approx((mean(a, b) + mean(b, a)) / 2 * 30, abs=1e-3))]
+
+
 def test_components_join_diagonals(spark):
     cells = {(0, 0), (1, 1), (2, 2), (5, 5), (5, 6), (7, 0)}
     got = frames.components(mask(spark, cells).where("m = 1"), ["f"]).groupBy("zone").count().collect()
