@@ -70,6 +70,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _safe_names(df: DataFrame, used: tuple[str, ...]) -> list[str]:
+    columns = df.columns
+    return [c if c in used and columns.index(c) == k else f"x{k}" for k, c in enumerate(columns)]
+
+
+def safe(df: DataFrame, *used: str) -> DataFrame:
+    """``df`` with the columns ``used`` under their own names and all others as x0, x1 and so on, by position:
+    no name of the caller's, however it is spelled, can meet one that an operator makes. A name of
+    ``used`` that two columns have means the first; names that differ in case are different ones."""
+    return df.toDF(*_safe_names(df, used))
+
+
+def restored(df: DataFrame, like: DataFrame, *used: str) -> DataFrame:
+    """The columns of ``like`` from what was made of ``safe(like, *used)``, under their own names again."""
+    return df.select(*_safe_names(like, used)).toDF(*like.columns)
+
+
 def tidy() -> None:
     """Gives what a task has freed back to the system, as idle workers stay."""
     pa.default_memory_pool().release_unused()
@@ -158,8 +175,8 @@ def raw(array: pa.Array) -> list[bytes]:
 
 
 def lower_ascii(col):
-    """``col`` with A-Z lower-cased and nothing else."""
-    return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    """``col`` with A-Z lower-cased and nothing else; plain lower-casing is the same for ASCII texts, and quicker."""
+    return F.when(F.octet_length(col) == F.char_length(col), F.lower(col)).otherwise(F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def _positions(h: np.ndarray, bits: int, hashes: int = 4) -> list[np.ndarray]:
@@ -173,13 +190,16 @@ class Bloom:
     """A Bloom filter over the 64-bit hashes of a DataFrame's rows, held in 32 MB at most.
 
     It only ever saves work: what it lets through is checked exactly afterwards, so a full filter
-    costs time, never rows.
+    costs time, never rows. With more than 67 million keys there is none, and every row is let through.
     """
 
     def __init__(self, keys: DataFrame, key_hash, max_bits: int = MAX_BLOOM_BITS):
         """``key_hash``: a bigint column of ``keys``, such as ``F.xxhash64(...)``."""
         spark = keys.sparkSession
         n = keys.count()
+        self.bits, self.shared = 0, None
+        if 4 * n > max_bits:
+            return  # so many keys would set nearly all bits: everything is let through, at no cost
         bits = 1 << 16
         while bits < 12 * n and bits < max_bits:
             bits *= 2
@@ -205,6 +225,8 @@ class Bloom:
     def may_hold(self, key_hash):
         """A boolean column: false only for rows that the keys surely lack. Only the hash goes to Python."""
         bits, shared = self.bits, self.shared
+        if not bits:
+            return F.lit(True)
 
         @F.pandas_udf("boolean")
         def may_hold(h: pd.Series) -> pd.Series:
@@ -214,6 +236,8 @@ class Bloom:
 
 
 def tester(bits: int, shared) -> Callable[[np.ndarray], np.ndarray]:
+    if not bits:
+        return lambda h: np.ones(len(h), bool)
     array = np.frombuffer(shared.value, np.uint64)
 
     def test(h: np.ndarray) -> np.ndarray:
