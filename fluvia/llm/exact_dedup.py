@@ -2,85 +2,65 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, in_arrow, lower_ascii, raw, slices, stored, tester
+from fluvia.llm.common import lower_ascii, safe, stored
 
 #: Code points of the text that the second step hashes.
 PREFIX = 64
+#: What one step tells the next is a set of numbers below this, so a broadcast of at most so many rows
+#: (of 4 bytes each) whatever the data. Beyond some millions of groups it lets more rows through, none less.
+BUCKETS = 1 << 20
+
+
+def _survivors(groups: DataFrame, key: Column, name: str) -> DataFrame:
+    """The buckets of the keys that occur twice, to be broadcast."""
+    return F.broadcast(stored(groups.where("n > 1").select(_bucket(key).alias(name)).distinct(), name))
+
+
+def _bucket(key: Column) -> Column:
+    return F.pmod(key, F.lit(BUCKETS)).cast("int")
 
 
 def exact_groups(documents: DataFrame, digest_all: bool = False) -> DataFrame:
     """Groups of rows whose text is identical after lower-casing A-Z.
 
-    1. count rows for each byte length; 2. among lengths that occur twice, count rows for each
+    1. count rows for each byte length; 2. of rows whose length occurs twice, count rows for each
     (length, hash of the first 64 code points); 3. hash in full only the texts whose pair occurs
-    twice, and group by that hash. The counts are combined before the shuffle, so that a length or a
-    text of very many rows costs one row for each task; a Bloom filter of bounded size carries the
-    surviving pairs to the scan of step 3. The last join is on the full hash and can be split when a
-    group is large.
+    twice, and group by that hash. Each step takes from the one before a broadcast set of at most
+    2^20 buckets of the keys that survived, so rows are told apart where they are read: no text
+    is shuffled, and a row that a bucket lets through by chance is alone after step 3. Counts are
+    combined before the shuffle, so that a length or a text of very many rows costs one row for each
+    task; the last join is on the full hash and can be split when a group is large.
 
     Returns a row for each input row: doc_id, keep_id, group_size, kept, text_sha256 (null for a text
     that step 2 showed to be alone, unless ``digest_all``).
 
     Null texts count as empty; empty texts are equal. Of equal texts the largest doc_id stays (a null
     id is smallest); of rows repeated with the same id, exactly one stays. An empty table gives an
-    empty result. Other columns are ignored.
+    empty result. Other columns, whatever their names, are ignored.
     """
-    spark = documents.sparkSession
+    documents = safe(documents, "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    sized = documents.select(F.octet_length(text).cast("bigint").alias("len"), F.xxhash64(lower_ascii(F.substring(text, 1, PREFIX))).alias("prefix"))
-    pairs = sized.groupBy("len", "prefix").agg(F.count("*").alias("n"))
-    lengths = sized.groupBy("len").agg(F.count("*").alias("of_length")).where("of_length > 1").select("len")
-    pairs = stored(pairs.join(lengths, "len", "left_semi").where("n > 1").select("len", "prefix"), "prefix-groups")
-    bloom = Bloom(pairs, F.xxhash64("len", "prefix"))
-    bits, shared = bloom.bits, bloom.shared
-
-    def hashed(batches):
-        test = tester(bits, shared)
-        for part in slices(batches, "text"):
-            lowered = [t.lower() for t in raw(part.column("text"))]
-            pair = np.fromiter((_pair_hash(t) for t in lowered), np.int64, len(lowered))
-            alive = test(pair)
-            sha = [hashlib.sha256(t).digest() if digest_all or a else None for t, a in zip(lowered, alive, strict=True)]
-            length = pa.array([len(t) for t in lowered], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), length, pa.array(alive), pa.array(sha, pa.binary())], ["doc_id", "len", "alive", "sha"])
-
-    id_type = documents.schema["doc_id"].dataType.simpleString()
-    full = documents.select("doc_id", "text").transform(in_arrow, hashed, f"doc_id {id_type}, len bigint, alive boolean, sha binary")
+    sized = documents.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("len"))
+    lengths = _survivors(sized.groupBy("len").agg(F.count("*").alias("n")), F.col("len"), "length_bucket")
+    prefix = F.xxhash64(lower_ascii(F.substring("text", 1, PREFIX)))
+    pairs = sized.select("len", _bucket(F.col("len")).alias("at"), "text").join(lengths, F.col("at") == F.col("length_bucket"), "left_semi").select("len", prefix.alias("prefix"))
+    pairs = _survivors(pairs.groupBy("len", "prefix").agg(F.count("*").alias("n")), F.xxhash64("len", "prefix"), "pair_bucket")
+    alive = F.col("pair_bucket").isNotNull()
+    digest = F.sha2(lower_ascii(F.col("text")), 256)
+    full = sized.withColumn("at", _bucket(F.xxhash64("len", prefix))).join(pairs, F.col("at") == F.col("pair_bucket"), "left")
+    full = full.select("doc_id", "len", alive.alias("alive"), (digest if digest_all else F.when(alive, digest)).alias("sha"))
     full = stored(full.withColumn("row", F.monotonically_increasing_id()), "full-hashes")
     groups = full.where("alive").groupBy("len", "sha").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row")).alias("top")).where("n > 1")
-    groups = stored(groups, "groups")  # read back, so that the join has an exchange on either side and a large group can be split
-    out = full.join(groups.withColumnRenamed("len", "g_len").withColumnRenamed("sha", "g_sha"), (F.col("len") == F.col("g_len")) & (F.col("sha") == F.col("g_sha")), "left")
+    groups = stored(groups.select(F.col("len").alias("g_len"), F.col("sha").alias("g_sha"), "n", "top"), "groups")  # read back, so that the join has an exchange on either side and a large group can be split
+    out = full.join(groups, (F.col("len") == F.col("g_len")) & (F.col("sha") == F.col("g_sha")), "left")
     alone = F.col("n").isNull()
     return out.select(
         "doc_id",
         F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("bigint").alias("group_size"),
         (alone | (F.col("top.row") == F.col("row"))).alias("kept"),
-        F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("sha").alias("text_sha256"),
     )
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def _pair_hash(lowered: bytes) -> int:
-    """What Spark's xxhash64(len, prefix) gives for the lower-cased text."""
-    prefix = xxhash.xxh64_intdigest(lowered[: 4 * PREFIX].decode("utf-8", "ignore")[:PREFIX].encode(), 42)
-    return _signed(_hash_long(prefix, _hash_long(len(lowered), 42)))
-
-
-_M = (1 << 64) - 1
-
-
-def _hash_long(value: int, seed: int) -> int:
-    """XXH64 of a 64-bit integer."""
-    return xxhash.xxh64_intdigest((value & _M).to_bytes(8, "little"), seed & _M)
