@@ -4,19 +4,22 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import in_arrow, new_path, stored
+from fluvia.llm.common import in_arrow, new_path, raw, safe, slices, stored
 
 #: Payloads of fewer bytes are always written in full.
 MIN_REVISIT_BYTES = 100
-#: Payload bytes for each archive, about.
+#: Bytes of an archive, about; a single record may be larger.
 ARCHIVE_BYTES = 8 << 20
+EMPTY_MEMBER = zlib.compressobj(6, zlib.DEFLATED, 31).flush()
 #: Index rows for each merge task, about.
 MERGE_ROWS = 100_000
 #: Captures are one second apart from here on, by page_id (pages carry no time of their own).
@@ -25,88 +28,130 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 CRLF = "\r\n"
 
 
-def payloads(pages: DataFrame) -> DataFrame:
-    """Rows page_id, digest, n_bytes, refers_to for each page, refers_to set for revisits.
+def _header(kind: str, page: str, url: str, date: str, digest: str, more: list[str], length: int) -> bytes:
+    fields = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(page, digest)}", f"WARC-Target-URI: {url}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha256:{digest}"]
+    fields += [*more, f"X-Page-Id: {page}", "Content-Type: application/http;msgtype=response", f"Content-Length: {length}"]
+    return (CRLF.join(fields) + CRLF * 2).encode()
 
-    Of pages with equal payloads of at least 100 bytes the smallest page_id is the response and the
-    others revisit it. The smallest id of a payload is found by an aggregation that is combined before
-    the shuffle; the join back is on the digest and can be split where one payload has very many pages.
-    """
-    body = F.coalesce("html", F.lit(""))
-    known = pages.select("page_id", F.sha2(body, 256).alias("digest"), F.octet_length(body).cast("bigint").alias("n_bytes"))
-    known = stored(known, "payloads")
-    first = known.where((F.col("n_bytes") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first_id")
-    first = stored(first, "responses")  # read back, so that the join has an exchange on either side and a large group can be split
-    out = known.join(first, F.col("digest") == F.col("f_digest"), "left")
-    return out.select("page_id", "digest", "n_bytes", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")).alias("refers_to"))
+
+def _record_id(page: str, digest: str) -> str:
+    return f"<urn:uuid:{uuid.UUID(hashlib.md5(f'{page}|{digest}'.encode()).hexdigest())}>"
+
+
+def _http(n_bytes: int) -> bytes:
+    return f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: {n_bytes}{CRLF * 2}".encode()
+
+
+def _member(record: bytes) -> bytes:
+    """A record as a gzip member of its own. Its last byte is 0: the highest byte of a member's size field
+    is, below 16 MB; a larger record is followed by an empty member."""
+    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = pack.compress(record + b"\r\n\r\n") + pack.flush()
+    return out if out[-1] == 0 else out + EMPTY_MEMBER
+
+
+def response_record(page: str, url: str, date: str, digest: str, payload: bytes) -> bytes:
+    http = _http(len(payload))
+    return b"".join((_header("response", page, url, date, digest, [], len(http) + len(payload)), http, payload))
+
+
+def revisit_record(page: str, url: str, date: str, digest: str, n_bytes: int, refers_to: int) -> bytes:
+    http = _http(n_bytes)
+    more = [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(str(refers_to), digest)}", f"X-Refers-To-Page: {refers_to}"]
+    return _header("revisit", page, url, date, digest, more, len(http)) + http
+
+
+def responses(pages: DataFrame) -> DataFrame:
+    """Rows page_id, url, date, digest, n_bytes, member for each page: what its index needs, and its payload
+    as the compressed response record. The only step that reads payloads; it hashes each once."""
+    url = F.regexp_replace(F.coalesce("url", F.lit("urn:fluvia:none")), "[\\x00-\\x20]", "%20")
+    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), url.alias("url"), date.alias("date"), F.coalesce("html", F.lit("")).alias("html"))
+
+    def run(batches):
+        for part in slices(batches, "html"):
+            digests, sizes, members = [], [], []
+            for page, address, at, payload in zip(part.column("page_id").to_pylist(), part.column("url").to_pylist(), part.column("date").to_pylist(), raw(part.column("html")), strict=True):
+                digest = hashlib.sha256(payload).hexdigest()
+                digests.append(digest)
+                sizes.append(len(payload))
+                members.append(_member(response_record("-" if page is None else str(page), address, at, digest, payload)))
+            yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), part.column("date"), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(members, pa.binary())], ["page_id", "url", "date", "digest", "n_bytes", "member"])
+
+    return rows.transform(in_arrow, run, "page_id bigint, url string, date string, digest string, n_bytes bigint, member binary")
 
 
 def write_archives(pages: DataFrame, out: str | None = None) -> str:
     """Writes WARC 1.1 files with a record for each page and returns their folder.
 
-    A record is one string and the two line breaks after it are the writer's line separator, so the
-    files are plain WARC, compressed as a whole with gzip: the index's offsets count bytes of the
-    uncompressed archive. Pages are dealt out by page_id into archives of about equal payload.
+    Each record is a gzip member of its own, so that the index's offsets can be sought in the file. A
+    member's last byte, 0, is the line separator that the writer puts there. Archives have about
+    ARCHIVE_BYTES; one record may be larger. Of pages with equal payloads of at least 100 bytes the smallest page_id is the
+    response and the others revisit it: the smallest id of a payload is found by an aggregation that
+    is combined before the shuffle; the join back is on the digest and can be split where one payload
+    has very many pages. Only compressed records are shuffled.
 
     A null html is an empty payload; null urls become ``urn:fluvia:none``; a null page_id is written as
     ``-`` and is always a response. Rows repeated with one page_id and payload all have that id's type.
-    An empty table gives no record.
+    An empty table gives no record. Other columns, whatever their names, are ignored.
     """
-    spark = pages.sparkSession
-    out = out or new_path(spark, "warc")
-    known = stored(payloads(pages), "revisits")
-    total = known.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(1, -(-total // ARCHIVE_BYTES))
-    refers = known.where("refers_to is not null").select(F.col("page_id").alias("r_page"), F.col("digest").alias("r_digest"), "refers_to").distinct()
-    body = F.coalesce("html", F.lit(""))
-    url = F.regexp_replace(F.coalesce("url", F.lit("urn:fluvia:none")), "[\\x00-\\x20]", "%20")
-    whole = pages.select("page_id", url.alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
-    whole = whole.repartition(n, "page_id", "digest").join(refers.repartition(n, "r_page", "r_digest"), (F.col("page_id") == F.col("r_page")) & (F.col("digest") == F.col("r_digest")), "left")
-    length = F.octet_length("body")
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("-"))
-    uuid = lambda of: F.regexp_replace(F.md5(of), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
-    record_id = lambda of: F.concat(F.lit("<urn:uuid:"), uuid(F.concat_ws("|", of, "digest")), F.lit(">"))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), length.cast("string"), F.lit(CRLF * 2))
-    revisit = F.col("refers_to").isNotNull()
-    content = F.when(revisit, http).otherwise(F.concat(http, "body"))
-    date = F.date_format(F.timestamp_seconds(F.lit(FIRST_CAPTURE) + F.pmod(F.coalesce(F.col("page_id").cast("bigint"), F.lit(0)), F.lit(10**9))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    header = F.concat_ws(
-        CRLF,
-        F.lit("WARC/1.1"),
-        F.concat(F.lit("WARC-Type: "), F.when(revisit, "revisit").otherwise("response")),
-        F.concat(F.lit("WARC-Record-ID: "), record_id(page)),
-        F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-Date: "), date),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(revisit, F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}{CRLF}WARC-Refers-To: "), record_id(F.col("refers_to").cast("string")), F.lit(f"{CRLF}X-Refers-To-Page: "), F.col("refers_to").cast("string"))),
-        F.concat(F.lit("X-Page-Id: "), page),
-        F.lit("Content-Type: application/http;msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length(content).cast("string")),
-    )
-    whole.select(F.concat(header, F.lit(CRLF * 2), content).alias("value")).write.option("lineSep", CRLF * 2).option("compression", "gzip").text(out)
+    out = out or new_path(pages.sparkSession, "warc")
+    known = stored(responses(safe(pages, "page_id", "url", "html")), "responses")
+    first = known.where((F.col("n_bytes") >= MIN_REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first_id")
+    first = stored(first, "first-pages")  # read back, so that the join has an exchange on either side and a large group can be split
+    typed = known.join(first, F.col("digest") == F.col("f_digest"), "left").withColumn("refers_to", F.when(F.col("page_id") != F.col("first_id"), F.col("first_id")))
+    typed = typed.select("page_id", "url", "date", "digest", "n_bytes", "refers_to", F.when(F.col("refers_to").isNull(), F.col("member")).alias("member"))
+
+    def run(batches):
+        archive, size = 0, 0
+        for part in slices(batches, "member"):
+            numbers, values = [], []
+            for page, url, date, digest, n_bytes, refers_to, member in zip(*(part.column(k).to_pylist() for k in range(7)), strict=True):
+                value = member if refers_to is None else _member(revisit_record(str(page), url, date, digest, n_bytes, refers_to))
+                if size and size + len(value) > ARCHIVE_BYTES:
+                    archive, size = archive + 1, 0
+                size += len(value)
+                numbers.append(archive)
+                values.append(value[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(values, pa.binary())], ["archive", "value"])
+
+    members = typed.transform(in_arrow, run, "archive int, value binary").select("archive", F.col("value").cast("string").alias("value"))
+    members.write.partitionBy("archive").option("lineSep", "\0").text(out)
     return out
 
 
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
 
 
-def parse_archive(content: bytes):
-    """(offset, length, header fields, HTTP fields, payload) for each record of an uncompressed WARC file."""
+def parse_record(record: bytes) -> tuple[dict, dict, bytes]:
+    """Header fields, HTTP fields and payload of one WARC record."""
+    stop = record.index(b"\r\n\r\n")
+    if not record.startswith(b"WARC/"):
+        raise ValueError("no WARC record")
+    fields = {k.decode(): v.decode() for k, v in _FIELD.findall(record, record.index(b"\n") + 1, stop)}
+    block = record[stop + 4 : stop + 4 + int(fields["Content-Length"])]
+    if record[stop + 4 + len(block) :] != b"\r\n\r\n":
+        raise ValueError("the record doesn't end where its length says")
+    split = block.index(b"\r\n\r\n")
+    return fields, {k.decode(): v.decode() for k, v in _FIELD.findall(block, block.index(b"\n") + 1, split + 2)}, block[split + 4 :]
+
+
+def archive_records(content):
+    """(offset, length, record) for each gzip member of an archive, one decompressed at a time."""
+    content = memoryview(content)
     at = 0
     while at < len(content):
-        stop = content.index(b"\r\n\r\n", at)
-        if not content.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        fields = {k.decode(): v.decode() for k, v in _FIELD.findall(content, content.index(b"\n", at) + 1, stop)}
-        begin = stop + 4
-        end = begin + int(fields["Content-Length"])
-        block = content[begin:end]
-        if content[end : end + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't end where its length says")
-        split = block.index(b"\r\n\r\n")
-        http = {k.decode(): v.decode() for k, v in _FIELD.findall(block, block.index(b"\n") + 1, split + 2)}
-        yield at, end + 4 - at, fields, http, block[split + 4 :]
-        at = end + 4
+        unpack, parts, pos = zlib.decompressobj(31), [], at
+        while not unpack.eof:
+            if pos >= len(content):
+                raise ValueError(f"the member at byte {at} has no end")
+            piece = content[pos : pos + 65_536]
+            parts.append(unpack.decompress(piece))
+            pos += len(piece)
+        pos -= len(unpack.unused_data)
+        if record := b"".join(parts):
+            yield at, pos - at, record
+        at = pos
 
 
 def url_key(url: str) -> str:
@@ -134,10 +179,11 @@ def capture_runs(spark, archives: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                name = path.rsplit("/", 1)[-1]
+                name = "/".join(path.rsplit("/", 2)[-2:])
                 number = int.from_bytes(hashlib.sha256(name.encode()).digest()[:8], "little", signed=True)
                 rows = []
-                for offset, length, warc, http, payload in parse_archive(zlib.decompress(content.as_py(), 31)):
+                for offset, length, record in archive_records(content.as_buffer()):
+                    warc, http, payload = parse_record(record)
                     digest = warc["WARC-Payload-Digest"].removeprefix("sha256:")
                     kind = warc["WARC-Type"]
                     if kind == "response" and (hashlib.sha256(payload).hexdigest() != digest or len(payload) != int(http["Content-Length"])):
@@ -195,7 +241,8 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 
     Ranges of the order go to tasks, with the page in the range's key so that a URL of very many
     captures spreads over several; each task merges its stretches of the runs with a loser tree. The
-    columns part and place give the global order; a stretch in a task is bounded by MERGE_ROWS, about.
+    columns part and place give the global order; a task's range has MERGE_ROWS, about, held as Arrow
+    columns, of which keys are taken out a few hundred at a time.
     """
     n = max(1, -(-runs.count() // MERGE_ROWS), runs.sparkSession.sparkContext.defaultParallelism)
     ranged = runs.repartitionByRange(n, "url_key", "capture", F.col("page_id").asc_nulls_last(), "payload_digest", "archive", "offset")
@@ -203,19 +250,25 @@ def merge_runs(runs: DataFrame) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        stretches: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                stretches.setdefault(row[11], []).append(row)
-        for rows in stretches.values():
-            if any(a[12] > b[12] for a, b in zip(rows, rows[1:], strict=False)):  # blocks of one run may arrive in another order
-                rows.sort(key=lambda r: r[12])
-        merged, place, part = iter(LoserTree(list(stretches.values()), _order)), 0, TaskContext.get().partitionId()
-        while rows := [r for _, r in zip(range(5000), merged, strict=False)]:
-            columns = list(zip(*rows, strict=True))
-            own = [pa.array(columns[k], t) for k, t in zip((0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.full(len(rows), part, np.int32)), pa.array(np.arange(place, place + len(rows)))], [*_RUN[:11], "part", "place"])
-            place += len(rows)
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        number, seq = (rows.column(c).to_numpy() for c in ("run", "seq"))
+        order = np.lexsort((seq, number))  # blocks of one run may arrive in another order
+        rows = rows.select(_RUN[:11])
+
+        def keyed(at: np.ndarray):
+            for s in range(0, len(at), 256):
+                some = rows.take(pa.array(at[s : s + 256]))
+                yield from zip(map(_order, zip(*(c.to_pylist() for c in some.columns), strict=True)), at[s : s + 256].tolist(), strict=True)
+
+        stretches = np.split(order, np.flatnonzero(np.diff(number[order])) + 1)
+        merged, place, part = iter(LoserTree([keyed(x) for x in stretches], lambda x: x[0])), 0, TaskContext.get().partitionId()
+        while at := [i for _, i in islice(merged, 5000)]:
+            own = rows.take(pa.array(at)).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*own.columns, pa.array(np.full(len(at), part, np.int32)), pa.array(np.arange(place, place + len(at)))], [*_RUN[:11], "part", "place"])
+            place += len(at)
 
     return ranged.transform(in_arrow, run, RUN_SCHEMA.rsplit(", ", 2)[0] + ", part int, place bigint")
 
