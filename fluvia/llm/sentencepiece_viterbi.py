@@ -8,9 +8,10 @@ from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import id_bytes, id_lists, in_arrow, memo, slices, texts
+from fluvia.llm.common import id_bytes, in_arrow, memo, safe, slices, texts
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
@@ -25,51 +26,65 @@ class Codec:
 
     The encoding is the segmentation with the highest sum of scores; of equal sums, the one whose last
     piece is longest, and so on from the end. Characters in no piece become their bytes' pieces, or
-    the unknown piece if the model has none.
+    the unknown piece if the model has none. For a model of the unigram kind these are its ids; for
+    one of the merge kind they are ids of its pieces, but not the ones its merges lead to.
     """
 
     def __init__(self, pieces: list[tuple[str, float, int]], bytes_: dict[int, int], unknown: int, size: int):
         """pieces: (piece, score, id); bytes_: id of each byte's piece; size: number of ids."""
-        self.bytes, self.unknown = bytes_, unknown
-        self.next: list[dict[str, int]] = [{}]
+        self.bytes, self.unknown, self.size = bytes_, unknown, size
+        nexts: list[dict[str, int]] = [{}]
         ends: dict[int, tuple[int, float, int]] = {}
         for piece, score, i in pieces:
             at = 0
             for c in piece:
-                if c not in self.next[at]:
-                    self.next[at][c] = len(self.next)
-                    self.next.append({})
-                at = self.next[at][c]
+                if c not in nexts[at]:
+                    nexts[at][c] = len(nexts)
+                    nexts.append({})
+                at = nexts[at][c]
             ends[at] = (len(piece), score, i)
-        self.fail = [0] * len(self.next)
-        #: For each node the pieces that end there, longest first: its own, then its output link's.
-        self.out: list[tuple] = [()] * len(self.next)
+        n = len(nexts)
+        fail, link = [0] * n, [0] * n
         queue = deque([0])
         while queue:
             parent = queue.popleft()
-            for c, child in self.next[parent].items():
+            for c, child in nexts[parent].items():
                 queue.append(child)
                 if parent:
-                    at = self.fail[parent]
-                    while at and c not in self.next[at]:
-                        at = self.fail[at]
-                    self.fail[child] = self.next[at].get(c, 0)
-                own = (ends[child],) if child in ends else ()
-                self.out[child] = own + self.out[self.fail[child]]
+                    at = fail[parent]
+                    while at and c not in nexts[at]:
+                        at = fail[at]
+                    fail[child] = nexts[at].get(c, 0)
+                link[child] = fail[child] if fail[child] in ends else link[fail[child]]
+        letters = {c: k for k, c in enumerate(sorted({c for p, _, _ in pieces for c in p}), 1)}
+        #: Number of a code point, 0 for those in no piece; edges as sorted numbers node * letters + letter.
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        self.letters = len(letters) + 1
+        edges = sorted((node * self.letters + letters[c], child) for node, of in enumerate(nexts) for c, child in of.items())
+        self.edge, self.child = (np.array([e[k] for e in edges] + [x], np.int64) for k, x in ((0, np.iinfo(np.int64).max), (1, 0)))
+        #: For each node: where matching goes on; the next node on that way at which a piece ends (0: none);
+        #: length (0: none), score and id of the piece that ends at the node itself.
+        self.fail, self.link = np.array(fail), np.array(link)
+        self.length, self.id = (np.array([ends.get(k, (0, 0.0, 0))[x] for k in range(n)]) for x in (0, 2))
+        self.score = np.array([ends.get(k, (0, 0.0, 0))[1] for k in range(n)])
         self.unknown_score = min((s for _, s, _ in pieces), default=0.0) - UNKNOWN_PENALTY
-        letters = {c for p, _, _ in pieces for c in p}
         # No piece has the mark after another character, so none crosses from a word into the next
         # one's mark, and none has a line break: the best segmentation is that of the chunks.
-        whole = any(MARK in p.lstrip(MARK) for p, _, _ in pieces) or "\n" in letters
-        self.chunks = re.compile(".+" if whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", re.DOTALL).findall
-        self.known: dict[str, bytes] = {}
-        self.text = [b""] * size
+        self.whole = any(MARK in p.lstrip(MARK) for p, _, _ in pieces) or "\n" in letters
+        self.chunks = re.compile(".+" if self.whole else f"{MARK}*[^{MARK}\n]+|{MARK}+|\n", re.DOTALL).findall
+        text = [b""] * size
         for p, _, i in pieces:
-            self.text[i] = p.replace(MARK, " ").encode()
+            text[i] = p.replace(MARK, " ").encode()
         for b, i in bytes_.items():
-            self.text[i] = bytes([b])
+            text[i] = bytes([b])
         if unknown >= 0:
-            self.text[unknown] = " ⁇ ".encode()
+            text[unknown] = " ⁇ ".encode()
+        self.text_size = np.fromiter(map(len, text), np.int64, size)
+        self.text_start, self.text = np.cumsum(self.text_size) - self.text_size, np.frombuffer(b"".join(text), np.uint8)
+        #: What is remembered of chunks: their number, and for each number where its ids are in the pool.
+        self.known: dict[str, int] = {}
+        self.pool, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     @classmethod
     def from_file(cls, path: str) -> Codec:
@@ -84,55 +99,160 @@ class Codec:
                 pieces.append((m.id_to_piece(i), m.get_score(i), i))
         return cls(pieces, bytes_, m.unk_id(), m.get_piece_size())
 
-    def segment(self, chunk: str) -> list[int]:
-        """Ids of one chunk: a single pass that relaxes, at each position, the pieces that end there."""
-        n = len(chunk)
-        best, back = [0.0] * (n + 1), [(0, -1)] * (n + 1)
-        at, nexts, fail, out = 0, self.next, self.fail, self.out
-        for j, c in enumerate(chunk, 1):
-            while at and c not in nexts[at]:
-                at = fail[at]
-            at = nexts[at].get(c, 0)
-            score, pick = float("-inf"), None
-            single = False
-            for length, s, i in out[at]:
-                total = best[j - length] + s
-                single = single or length == 1
-                if total > score:
-                    score, pick = total, (length, i)
-            if not single and best[j - 1] + self.unknown_score > score:
-                score, pick = best[j - 1] + self.unknown_score, (1, -1)
-            best[j], back[j] = score, pick
-        ids: list[int] = []
-        j = n
-        while j:
-            length, i = back[j]
-            if i < 0:
-                own = [self.bytes.get(b, self.unknown) for b in chunk[j - 1 : j].encode()] if self.bytes else [self.unknown]
-                ids += own[::-1]
-            else:
-                ids.append(i)
-            j -= length
-        return ids[::-1]
-
-    def _chunk(self, chunk: str) -> bytes:
-        ids = np.array(self.segment(chunk), "<u4").tobytes()
-        if len(self.known) < MOST_CHUNKS and len(chunk) <= LONGEST_KNOWN:
-            self.known[chunk] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """Ids of a whole text as little-endian 32-bit integers; a mark is put in front, blanks become marks."""
-        if not text:
-            return b""
-        known, own = self.known, self._chunk
-        return b"".join([known[c] if c in known else own(c) for c in self.chunks(MARK + text.replace(" ", MARK))])
-
-    def decode(self, ids: bytes) -> str:
-        """The text of ids, without the blank that encoding put in front; bytes that are no UTF-8 become U+FFFD."""
-        piece = self.text
-        out = b"".join([piece[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-        return out[1:] if out.startswith(" ") else out
+    def _goto(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The nodes that the automaton goes to from ``node`` on reading ``letter``."""
+        out = np.zeros(len(node), np.int64)
+        rest, node = np.arange(len(node)), node.copy()
+        while len(rest):
+            key = node * self.letters + letter[rest]
+            at = np.searchsorted(self.edge, key)
+            found = self.edge[at] == key
+            out[rest[found]] = self.child[at[found]]
+            more = ~found & (node > 0)
+            rest, node = rest[more], self.fail[node[more]]
+        return out
+
+    def segment(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks, one after the other, and their number for each chunk.
+
+        One pass over the characters, with all chunks side by side: the automaton moves by one character
+        in each, then the pieces that end there, its own and those its output links lead to, relax the
+        best score of the position.
+        """
+        if not chunks:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(-size, kind="stable")
+        size = size[order]
+        chars = np.frombuffer("".join([chunks[i] for i in order.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4")
+        first = np.cumsum(size) - size
+        base = first + np.arange(len(size))  # positions 0 to size of each chunk
+        total = len(chars) + len(size)
+        best, back, piece = np.zeros(total), np.zeros(total, np.int64), np.zeros(total, np.int64)
+        letter = self.letter[chars]
+        node = np.zeros(len(size), np.int64)
+        still = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+        for j in range(int(size[0])):
+            n = int(still[j])  # chunks that go on to here, the longest first
+            node = self._goto(node[:n], letter[first[:n] + j])
+            at = base[:n] + j + 1
+            score, pick, length = np.full(n, -np.inf), np.full(n, -1), np.ones(n, np.int64)
+            alone = np.zeros(n, bool)
+            out = np.where(self.length[node] > 0, node, self.link[node])
+            rest = np.flatnonzero(out)
+            out = out[rest]
+            while len(rest):
+                long = self.length[out]
+                sums = best[at[rest] - long] + self.score[out]
+                better = sums > score[rest]
+                to = rest[better]
+                score[to], pick[to], length[to] = sums[better], self.id[out[better]], long[better]
+                alone[rest[long == 1]] = True
+                out = self.link[out]
+                rest, out = rest[out > 0], out[out > 0]
+            sums = best[at - 1] + self.unknown_score
+            other = ~alone & (sums > score)
+            score[other], pick[other], length[other] = sums[other], -1, 1
+            best[at], back[at], piece[at] = score, length, pick
+        # Back from the ends: the pieces' positions, of all chunks in one array each round.
+        rounds, rest, at = [], np.arange(len(size)), size.copy()
+        while len(rest):
+            here = base[rest] + at
+            code = piece[here]
+            odd = code < 0
+            code[odd] = self.size + chars[first[rest[odd]] + at[odd] - 1]
+            rounds.append((rest, code))
+            at = at - back[here]
+            rest, at = rest[at > 0], at[at > 0]
+        which = np.concatenate([r for r, _ in rounds])[::-1]
+        code = np.concatenate([c for _, c in rounds])[::-1]
+        by = np.argsort(order[which], kind="stable")
+        which, code = order[which][by], code[by]
+        other, number = np.unique(code[code >= self.size], return_inverse=True)
+        own = [([self.bytes.get(b, self.unknown) for b in chr(c - self.size).encode("utf-8", "replace")] if self.bytes else [self.unknown]) for c in other.tolist()]
+        pool = np.append(np.arange(self.size, dtype="<u4"), np.array([i for x in own for i in x], "<u4"))
+        length = np.append(np.ones(self.size, np.int64), np.array([len(x) for x in own], np.int64))
+        code[code >= self.size] = self.size + number
+        return gathered(pool, np.cumsum(length) - length, length, code), np.bincount(which, length[code], len(chunks)).astype(np.int64)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Segments chunks that aren't known; those beyond what is remembered are forgotten after use."""
+        ids, n = zip(*(self.segment(part) for part in ([c for c in chunks if len(c) <= LONGEST_KNOWN], [c for c in chunks if len(c) > LONGEST_KNOWN])), strict=True)
+        chunks = sorted(chunks, key=lambda c: len(c) > LONGEST_KNOWN)
+        start = len(self.known)
+        self.known.update(zip(chunks, range(start, start + len(chunks)), strict=True))
+        self.pool = np.concatenate([self.pool, *ids])
+        self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(np.concatenate(n)))
+        keep = min(max(0, MOST_CHUNKS - start), len(n[0]))
+        self.forget = chunks[keep:]
+
+    def _forget(self) -> None:
+        for c in self.forget:
+            del self.known[c]
+        self.ends = self.ends[: len(self.known) + 1]
+        self.pool = self.pool[: self.ends[-1]].copy()
+
+    def encode(self, bodies) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (a column or a list), one after the other, and their number for each; null counts
+        as empty. A mark is put in front of a text, blanks become marks.
+
+        Texts are cut at blanks and before line breaks on whole columns, and each distinct word, with its
+        mark, is segmented once. A text with marks of its own, or with blanks beside each other, is cut into
+        chunks by itself.
+        """
+        bodies = pc.fill_null(bodies if isinstance(bodies, pa.Array) else pa.array(bodies, pa.string()), "")
+        lists = pc.split_pattern(pc.replace_substring(bodies, "\n", " \n"), " ")
+        offsets = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py() if len(bodies) else np.zeros(1, np.int64)
+        words = lists.flatten().dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        distinct = words.dictionary.to_pylist()
+        units = [w if w[:1] == "\n" else MARK + w for w in distinct]
+        # An empty word is a mark of its own at a text's end or before a line break only.
+        marked = np.array([MARK in w for w in distinct], bool)
+        empty = np.array([w == "" for w in distinct], bool)
+        broken = np.array([w[:1] == "\n" for w in distinct], bool)
+        odd_word = marked[code]
+        last = np.zeros(len(code), bool)
+        last[offsets[1:] - 1] = True
+        odd_word |= empty[code] & ~last & ~np.append(broken[code][1:], False)
+        odd = np.logical_or.reduceat(odd_word, offsets[:-1]) if len(bodies) else np.zeros(0, bool)
+        odd |= self.whole | (pc.binary_length(bodies).to_numpy(zero_copy_only=False) == 0)
+        parts = {i: self.chunks(MARK + t.replace(" ", MARK)) if t else [] for i, t in zip(np.flatnonzero(odd).tolist(), bodies.filter(pa.array(odd)).to_pylist(), strict=True)}
+        if odd.all():
+            units, code = [], code[:0]
+        known = self.known
+        self._learn([u for u in {*units, *(c for p in parts.values() for c in p)} if u not in known])
+        code = np.fromiter(map(known.__getitem__, units), np.int64, len(units))[code]
+        if parts:
+            own = {i: np.fromiter(map(known.__getitem__, p), np.int64, len(p)) for i, p in parts.items()}
+            split = [own[i] if i in own else code[a:b] for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))]
+            code, offsets = np.concatenate(split), np.append(0, np.cumsum([len(x) for x in split]))
+        size = np.diff(self.ends)
+        ids = gathered(self.pool, self.ends[:-1], size, code)
+        total = np.append(0, np.cumsum(size[code]))[offsets]
+        self._forget()
+        return ids, np.diff(total)
+
+    def decode(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
+        """The texts of ids, ``n`` for each text, without the blank that encoding put in front; bytes that are no
+        UTF-8 become U+FFFD."""
+        ids = ids.astype(np.int64)
+        flat = gathered(self.text, self.text_start, self.text_size, ids).tobytes()
+        ends = np.append(0, np.cumsum(self.text_size[ids]))[np.append(0, np.cumsum(n))].tolist()
+        out = [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
+        return [t[1:] if t.startswith(" ") else t for t in out]
+
+
+def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """The runs ``pool[start[c] : start[c] + size[c]]`` of all ``code``, one after the other."""
+    n = size[code]
+    total = np.cumsum(n)
+    return pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+
+
+def id_lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """A list<int32> array of ``n`` ids for each row."""
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat.astype("<i4")))
 
 
 def codec(path: str) -> Codec:
@@ -143,12 +263,6 @@ def codec(path: str) -> Codec:
     return held["codec"]
 
 
-def _mapped(rows: DataFrame, source: str, name: str, kind: str, make):
-    columns = [c for c in rows.columns if c != name]
-    fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), f"`{name}` {kind}"])
-    return rows.select(columns).transform(in_arrow, make(columns), fields)
-
-
 def encode(rows: DataFrame, model_path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``rows`` with a column ``ids`` of piece ids of the whole text; a column of that name is replaced.
 
@@ -156,31 +270,41 @@ def encode(rows: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     as a blank. Repeated rows give repeated results; an empty table gives none.
     """
 
-    def make(columns):
-        def run(batches):
-            c = codec(model_path)
-            for part in slices(batches, text):
-                yield pa.RecordBatch.from_arrays([*part.columns, id_lists([c.encode(t) for t in texts(part.column(text))])], [*columns, ids])
+    rows_ = safe(rows, text)
 
-        return run
+    def run(batches):
+        c = codec(model_path)
+        for part in slices(batches, text):
+            flat, n = c.encode(part.column(text))
+            yield pa.RecordBatch.from_arrays([*part.columns, id_lists(flat, n)], names)
 
-    return _mapped(rows, text, ids, "array<int>", make)
+    kept = [k for k, c in enumerate(rows.columns) if c != ids]
+    inner = rows_.select(*(rows_.columns[k] for k in kept))
+    names = [*inner.columns, "own"]
+    return inner.transform(in_arrow, run, _fields(inner, "own array<int>")).toDF(*(rows.columns[k] for k in kept), ids)
 
 
 def decode(rows: DataFrame, model_path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """``rows`` with a column ``text`` decoded from ``ids``; null or no ids give an empty text."""
+    """``rows`` with a column ``text`` decoded from ``ids``; null or no ids give an empty text. A column of that name is replaced."""
+
+    def run(batches):
+        c = codec(model_path)
+        for batch in batches:
+            for s in range(0, batch.num_rows, 500):
+                part = batch.slice(s, 500)
+                values = [np.frombuffer(v, "<u4") for v in id_bytes(part.column(ids))]
+                flat = np.concatenate(values) if values else np.zeros(0, "<u4")
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(c.decode(flat, np.array([len(v) for v in values], np.int64)), pa.string())], names)
 
-    def make(columns):
-        def run(batches):
-            c = codec(model_path)
-            for batch in batches:
-                for s in range(0, batch.num_rows, 500):
-                    part = batch.slice(s, 500)
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.decode(v) for v in id_bytes(part.column(ids))], pa.string())], [*columns, text])
+    kept = [k for k, c in enumerate(rows.columns) if c != text]
+    inner = safe(rows, ids)
+    inner = inner.select(*(inner.columns[k] for k in kept))
+    names = [*inner.columns, "own"]
+    return inner.transform(in_arrow, run, _fields(inner, "own string")).toDF(*(rows.columns[k] for k in kept), text)
 
-        return run
 
-    return _mapped(rows, ids, text, "string", make)
+def _fields(rows: DataFrame, *more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), *more])
 
 
 #: What :func:`coded` can give, with its type.
@@ -194,22 +318,26 @@ def coded(rows: DataFrame, model_path: str, outputs: tuple = tuple(OUTPUTS), tex
 
     Columns of the outputs' names are replaced; nulls are as in :func:`encode`.
     """
-    columns = [c for c in rows.columns if c != text and c not in outputs]
-    fields = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns), *(f"{c} {OUTPUTS[c]}" for c in outputs)])
+    kept = [k for k, c in enumerate(rows.columns) if c != text and c not in outputs]
+    inner = safe(rows, text)
+    columns = [inner.columns[k] for k in kept]
+    own = [f"own{k}" for k in range(len(outputs))]
 
     def run(batches):
         c = codec(model_path)
         for part in slices(batches, text):
             bodies = texts(part.column(text))
-            ids = [c.encode(t) for t in bodies]
-            decoded = [c.decode(v) for v in ids] if {"decoded", "round_trip"} & {*outputs} else []
-            own = {
-                "ids": lambda ids=ids: id_lists(ids),
-                "n_tokens": lambda ids=ids: pa.array([len(v) // 4 for v in ids], pa.int64()),
-                "ids_crc32": lambda ids=ids: pa.array([zlib.crc32(v) for v in ids], pa.int64()),
+            flat, n = c.encode(part.column(text))
+            decoded = c.decode(flat, n) if {"decoded", "round_trip"} & {*outputs} else []
+            made = {
+                "ids": lambda flat=flat, n=n: id_lists(flat, n),
+                "n_tokens": lambda n=n: pa.array(n, pa.int64()),
+                "ids_crc32": lambda flat=flat, n=n: pa.array([zlib.crc32(x) for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else [], pa.int64()),
                 "decoded": lambda decoded=decoded: pa.array(decoded, pa.string()),
                 "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
             }
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(own[k]() for k in outputs)], [*columns, *outputs])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(made[k]() for k in outputs)], [*columns, *own])
 
-    return rows.select(*columns, text).transform(in_arrow, run, fields)
+    inner = inner.select(*columns, text)
+    fields = _fields(inner.select(*columns), *(f"{o} {OUTPUTS[k]}" for o, k in zip(own, outputs, strict=True)))
+    return inner.transform(in_arrow, run, fields).toDF(*(rows.columns[k] for k in kept), *outputs)
