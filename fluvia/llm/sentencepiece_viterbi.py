@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import id_bytes, in_arrow, memo, safe, slices, texts
+from fluvia.llm.common import gathered, id_bytes, id_lists, in_arrow, memo, safe, slices, texts
 
 MARK = "▁"
 #: An unknown character scores so much less than the worst piece.
@@ -243,18 +243,6 @@ class Codec:
         return [t[1:] if t.startswith(" ") else t for t in out]
 
 
-def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """The runs ``pool[start[c] : start[c] + size[c]]`` of all ``code``, one after the other."""
-    n = size[code]
-    total = np.cumsum(n)
-    return pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
-
-
-def id_lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:
-    """A list<int32> array of ``n`` ids for each row."""
-    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)).astype(np.int32)), pa.array(flat.astype("<i4")))
-
-
 def codec(path: str) -> Codec:
     """One for each Python worker."""
     held = memo(f"sentencepiece {path}")

@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
 from itertools import islice
 
 import numpy as np
@@ -15,11 +14,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import SLICE_BYTES, id_bytes, id_lists, in_arrow, memo, new_path, slices
+from fluvia.llm.common import SLICE_BYTES, gathered, id_bytes, id_lists, in_arrow, memo, new_path, safe, slices
 
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
 MOST_WORDS = 600_000
+#: Longer words aren't remembered, in characters.
+LONGEST_KNOWN = 48
+#: New words that go to the library as one text.
+TOGETHER = 256
 ORC_OPTIONS = {"compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
 
 _OTHER_SPACE = re.compile(r"[^\S \n]").search
@@ -42,94 +45,138 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        #: Ids by word: of " the" for "the", of "\nthe" for "\nthe"; False if the text has to be encoded whole.
-        self.known: dict[str, bytes | bool] = {}
-        self.marks: dict[str, bytes] = {}
-        self.line_break = self._library(["\n"])[0]
+        #: Numbers of words: of " the" for "the", of "\nthe" for "\nthe"; -1 if the text has to be encoded whole.
+        self.known: dict[str, int] = {}
+        #: The ids of word k are pool[ends[k] : ends[k + 1]].
+        self.pool, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.marks: dict[str, np.ndarray] = {}
+        self.begins = {" ": self._begins(" "), "\n": self._begins("\n")}
+
+    def _begins(self, blank: str) -> np.ndarray:
+        """Which ids begin with a blank or line break."""
+        first = self.tokenizer.id_to_token(self.tokenizer.encode(blank, add_special_tokens=False).ids[0])[0]
+        out = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        out[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith(first)]] = True
+        return out
+
+    def _library(self, parts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
+
+    def _words(self, words: list[str], blank: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, each with ``blank`` before it, one after the other, and their number for each.
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)] if parts else []
+        Hundreds of words go to the library as one text; a word starts at the id that has its blank.
+        """
+        flat, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        groups = [words[k : k + TOGETHER] for k in range(0, len(words), TOGETHER)]
+        for group, ids in zip(groups, self._library([blank + blank.join(g) for g in groups]), strict=True):
+            starts = np.flatnonzero(self.begins[blank][ids])
+            if len(starts) == len(group) and not starts[0]:
+                size.append(np.diff(np.append(starts, len(ids))))
+                flat.append(ids)
+            else:
+                own = self._library([blank + w for w in group])
+                size.append(np.fromiter(map(len, own), np.int64, len(own)))
+                flat += own
+        return np.concatenate(flat), np.concatenate(size)
 
     def _plain(self, body: str) -> bool:
         return body.split() == [body] and not any(s in body for s in self.special)
 
-    def _learn(self, missing: list[str]) -> list[bytes | bool]:
-        """Ids of words that aren't known yet; they are remembered while there is room."""
-        known, marks = self.known, self.marks
-        cores: list[str | None] = []  # of each word that can be encoded: the word without the marks at its end
+    def _core(self, w: str, odd: bool) -> str | None:
+        """A word without the marks at its end; None if it can't be encoded by itself."""
+        if w.isalnum():
+            return w
+        if odd and not self._plain(w[1:] if w[:1] == "\n" else w):
+            return None
+        core = w.rstrip(".,;:!?")
+        while core and not core[-1].isalnum():
+            core = core[:-1]
+        return core or w
+
+    def _learn(self, missing: list[str]) -> None:
+        """Adds the ids of words that aren't known; :meth:`_forget` takes back those beyond what is remembered."""
+        known = self.known
         blob = " ".join(missing)
-        odd = _OTHER_SPACE(blob) or "" in missing or "\n" in missing or any(s in blob for s in self.special)
-        for w in missing:
-            if w.isalnum():
-                cores.append(w)
-            elif odd and not self._plain(w[1:] if w[:1] == "\n" else w):
-                cores.append(None)
-            else:
-                core = w.rstrip(".,;:!?")
-                while core and not core[-1].isalnum():
-                    core = core[:-1]
-                cores.append(core or w)
+        odd = bool(_OTHER_SPACE(blob) or "" in missing or "\n" in missing or any(s in blob for s in self.special))
+        cores = [self._core(w, odd) for w in missing]
         new = [c for c in {*cores} if c is not None and c not in known]
-        ids = dict(zip(new, self._library([c[1:] if c[0] == "\n" else " " + c for c in new]), strict=True))
-        for c in new:
-            if c[0] == "\n":
-                ids[c] = self.line_break + ids[c]
-        tails = [t for t in {w[len(c) :] for w, c in zip(missing, cores, strict=True) if c} if t and t not in marks]
-        ends = marks | dict(zip(tails, self._library(tails), strict=True)) if tails else marks
-        if len(marks) < self.most // 100:
-            self.marks = ends
-        out = []
-        for w, c in zip(missing, cores, strict=True):
-            if c is None:
-                out.append(False)
-            else:
-                own = ids[c] if c in ids else known[c]
-                out.append(own if len(w) == len(c) else own + ends[w[len(c) :]])
-        for words in (ids.items(), zip(missing, out, strict=True)):
-            room = self.most - len(known)
-            if room > 0:
-                known.update(islice(words, room))
-        return out
-
-    def encode(self, bodies: pa.Array) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit integers; null counts as empty.
+        plain, broken = [c for c in new if c[0] != "\n"], [c for c in new if c[0] == "\n"]
+        parts = [self._words(plain, " "), self._words([c[1:] for c in broken], "\n")]
+        new = plain + broken
+        at = len(self.ends) - 1
+        numbers = dict(zip(new, range(at, at + len(new)), strict=True))
+        pool = np.concatenate([self.pool, *(ids for ids, _ in parts)])
+        size = np.concatenate([np.diff(self.ends), *(n for _, n in parts)])
+        # Words with marks at their ends: the ids of the word, then those of the marks.
+        pairs = [(w, c) for w, c in zip(missing, cores, strict=True) if c is not None and len(w) != len(c)]
+        tails = [t for t in {w[len(c) :] for w, c in pairs} if t not in self.marks]
+        marks = self.marks | dict(zip(tails, self._library(tails), strict=True)) if tails else self.marks
+        if len(marks) <= self.most // 100:
+            self.marks = {t: v for t, v in marks.items() if len(t) <= LONGEST_KNOWN}
+        used = {t: len(size) + k for k, t in enumerate({w[len(c) :] for w, c in pairs})}
+        both = np.concatenate([pool, *(marks[t] for t in used)])
+        sizes = np.append(size, np.array([len(marks[t]) for t in used], np.int64))
+        code = np.array([x for w, c in pairs for x in (numbers[c] if c in numbers else known[c], used[w[len(c) :]])], np.int64)
+        self.pool = np.concatenate([pool, gathered(both, np.cumsum(sizes) - sizes, sizes, code)])
+        self.ends = np.append(0, np.cumsum(np.append(size, sizes[code].reshape(-1, 2).sum(axis=1))))
+        numbers |= dict(zip((w for w, _ in pairs), range(len(size), len(size) + len(pairs)), strict=True))
+        self.fresh = numbers | {w: -1 for w, c in zip(missing, cores, strict=True) if c is None}
+        known.update(self.fresh)
+
+    def _forget(self) -> None:
+        """Leaves the shorter of the new words, while there is room for them, and the ids that they need."""
+        keep = min(len(self.fresh), max(0, self.most - len(self.known) + len(self.fresh)))
+        stay = dict(islice(((w, k) for w, k in self.fresh.items() if len(w) <= LONGEST_KNOWN), keep))
+        for w in self.fresh.keys() - stay.keys():
+            del self.known[w]
+        if len(stay) < len(self.fresh):
+            first = min((k for k in self.fresh.values() if k >= 0), default=len(self.ends) - 1)
+            code = np.fromiter((k for k in stay.values() if k >= 0), np.int64)
+            size = np.diff(self.ends)
+            ids = gathered(self.pool, self.ends[:-1], size, code)
+            self.known.update(zip((w for w, k in stay.items() if k >= 0), range(first, first + len(code)), strict=True))
+            self.pool = np.concatenate([self.pool[: self.ends[first]], ids])
+            self.ends = np.append(self.ends[: first + 1], self.ends[first] + np.cumsum(size[code]))
+        self.fresh = {}
+
+    def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and their number for each; null counts as empty.
 
         Each distinct word of the texts is looked up once; the rest is done on whole columns.
         """
         bodies = pc.fill_null(bodies, "")
+        if not len(bodies):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lists = pc.split_pattern(pc.replace_substring(bodies, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten().dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         distinct = words.dictionary.to_pylist()
-        ids = list(map(self.known.get, distinct))
-        at = [i for i, v in enumerate(ids) if v is None]
-        for i, v in zip(at, self._learn([distinct[i] for i in at]), strict=True):
-            ids[i] = v
+        known = self.known
+        self._learn([w for w in distinct if w not in known])
+        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[code]
         # A text's first word has no blank before it.
-        first = {distinct[c]: 0 for c in code[offsets[:-1]].tolist()} if len(bodies) else {}
-        plain = [w for w in first if self._plain(w)]
-        own = dict(zip(plain, self._library(plain), strict=True))
-        first = {w: len(distinct) + k for k, w in enumerate(first)}
-        ids += [b"" if w == "" else own.get(w, False) for w in first]
-        code[offsets[:-1]] = [first[distinct[c]] for c in code[offsets[:-1]].tolist()]
-        odd = np.zeros(len(ids), bool)
-        for i in [i for i, v in enumerate(ids) if v is False]:
-            odd[i], ids[i] = True, b""
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
-        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
-        n = size[code]
-        total = np.cumsum(n)
-        flat = pool[np.repeat((start[code] - (total - n)).astype(np.int32), n) + np.arange(total[-1] if len(total) else 0, dtype=np.int32)].tobytes()
-        ends = np.append(0, total)[offsets] * 4
-        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+        heads = code[offsets[:-1]]
+        first = [w for w in {distinct[c] for c in heads.tolist()} if self._plain(w)]
+        own = self._library(first)
+        size = np.append(np.diff(self.ends), np.fromiter(map(len, own), np.int64, len(own)))
+        pool = np.concatenate([self.pool, *own])
+        place = {w: len(self.ends) - 1 + k for k, w in enumerate(first)} | {"": -2}
+        number[offsets[:-1]] = [place.get(distinct[c], -1) for c in heads.tolist()]
         # An empty first word before others is a blank at the text's start.
-        whole = np.logical_or.reduceat(odd[code], offsets[:-1]) if len(bodies) else np.zeros(0, bool)
-        whole |= (np.diff(offsets) > 1) & (size[code[offsets[:-1]]] == 0) if len(bodies) else whole
-        whole = np.flatnonzero(whole)
-        for i, v in zip(whole.tolist(), self._library(bodies.take(pa.array(whole)).to_pylist()), strict=True):
-            out[i] = v
-        return out
+        whole = np.logical_or.reduceat(number == -1, offsets[:-1]) | ((np.diff(offsets) > 1) & (number[offsets[:-1]] == -2))
+        size, start = np.append(size, [0, 0]), np.append(np.cumsum(size) - size, [0, 0])  # -1 and -2: no ids
+        ids = gathered(pool, start, size, number)
+        n = np.diff(np.append(0, np.cumsum(size[number]))[offsets])
+        self._forget()
+        if whole.any():
+            at = np.flatnonzero(whole)
+            parts = np.split(ids, np.cumsum(n)[:-1])
+            for i, v in zip(at.tolist(), self._library(bodies.take(pa.array(at)).to_pylist()), strict=True):
+                parts[i] = v
+            ids, n = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return ids, n
 
 
 def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
@@ -149,20 +196,22 @@ def write_token_orc(documents: DataFrame, tokenizer_path: str, out: str | None =
     run-length encoded by the format.
 
     A null or empty text has the end id only. A null doc_id comes first. Rows repeated with one id
-    stay rows of their own, in the order of their texts. An empty table gives no rows.
+    stay rows of their own, in the order of their texts. An empty table gives no rows. Other columns,
+    whatever their names, are ignored.
     """
     out = out or new_path(documents.sparkSession, "token-orc")
 
     def run(batches):
         encode = encoder(tokenizer_path).encode
-        end, start, part_id = np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
-        for part in slices(batches, "text", 4 * SLICE_BYTES):
-            ids = [v + end for v in encode(part.column("text"))]
-            n = np.fromiter((len(v) // 4 for v in ids), np.int64, len(ids))
+        start, part_id = 0, TaskContext.get().partitionId()
+        for part in slices(batches, "text", 2 * SLICE_BYTES):
+            ids, n = encode(part.column("text"))
+            ids, n = np.insert(ids, np.cumsum(n), end_id), n + 1
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(np.full(len(ids), part_id, np.int32)), pa.array(starts), id_lists(ids)], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(np.full(len(n), part_id, np.int32)), pa.array(starts), id_lists(ids, n)], ["doc_id", "n_tokens", "part", "start_in_part", "ids"])
 
+    documents = safe(documents, "doc_id", "text")
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     id_type = documents.schema["doc_id"].dataType.simpleString()
     ordered.transform(in_arrow, run, f"doc_id {id_type}, n_tokens bigint, part int, start_in_part bigint, ids array<int>").write.options(**ORC_OPTIONS).orc(out)
@@ -173,7 +222,8 @@ def read_token_orc(spark, path: str) -> DataFrame:
     """Rows doc_id, start, n_tokens, ids of a folder of :func:`write_token_orc`.
 
     start is the number of ids of all documents before: what comes before in the same file, plus the
-    totals of the files before, of which there is one number for each file.
+    totals of the files before, of which there is one number for each file. Nulls, empty texts and
+    repeated rows come back as they were written; a folder without rows gives none.
     """
     schema = spark.read.orc(path).schema
     rows = spark.read.schema(schema).orc(path)
@@ -187,7 +237,8 @@ def read_token_orc(spark, path: str) -> DataFrame:
 
 
 def ids_crc32(rows: DataFrame, keep: list[str], ids: str = "ids") -> DataFrame:
-    """The columns ``keep`` and ids_crc32: the CRC-32 of the ids as little-endian 32-bit integers."""
+    """The columns ``keep`` and ids_crc32: the CRC-32 of the ids as little-endian 32-bit integers; of no ids, or
+    null, it is 0. Repeated rows give repeated results; an empty table gives none."""
 
     def run(batches):
         for b in batches:
