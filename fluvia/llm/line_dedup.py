@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, slices, stored
+from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, restored, safe, slices, stored
 
 #: Shortest key, in code points, and fewest documents of a repeated line.
 MIN_CHARS = 20
@@ -155,7 +155,7 @@ def keep_bitmaps(documents: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
     A null or empty text is one empty line, which is never long enough. A null doc_id counts as the
     smallest. Rows repeated with one id count as one document. An empty table gives no rows.
     """
-    keyed = stored(_keyed(documents, min_chars), "line-keys")
+    keyed = stored(_keyed(safe(documents, "doc_id", "text"), min_chars), "line-keys")
     ordered = keyed.repartitionByRange("hi", "lo", F.desc("doc")).sortWithinPartitions("hi", "lo", F.desc("doc"), "pos")
     schema = "kind int, hi bigint, lo bigint, doc bigint, text_hash bigint, n_lines int, pos int"
     seen = stored(ordered.transform(in_arrow, _stream(min_docs), schema), "line-decisions")
@@ -189,8 +189,8 @@ def apply_bitmap(text: bytes, bitmap: bytes | None) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def split_by_bitmaps(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
-    """``documents`` that may lose lines, with the column fl_bitmap (null: every line stays), and those that surely don't.
+def _split(documents: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """``documents`` (safe names) that may lose lines, with the column fl_bitmap (null: every line stays), and those that surely don't.
 
     Only rows that a Bloom filter of the bitmaps' keys lets through are shuffled to be joined.
     """
@@ -203,15 +203,17 @@ def split_by_bitmaps(documents: DataFrame, **options) -> tuple[DataFrame, DataFr
 
 
 def with_bitmaps(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the column fl_bitmap, null where every line stays."""
-    some, whole = split_by_bitmaps(documents, **options)
-    return some.union(whole.withColumn("fl_bitmap", F.lit(None).cast("binary")))
+    """``documents`` with fl_bitmap as their last column, null where every line stays; see :func:`keep_bitmaps`."""
+    some, whole = _split(safe(documents, "doc_id", "text"), **options)
+    return some.union(whole.withColumn("fl_bitmap", F.lit(None).cast("binary"))).toDF(*documents.columns, "fl_bitmap")
 
 
 def dedup_lines(documents: DataFrame, **options) -> DataFrame:
-    """``documents`` with the repeated lines gone; a null text stays null."""
-    names = documents.columns
-    some, whole = split_by_bitmaps(documents, **options)
+    """``documents`` with the repeated lines gone, as :func:`keep_bitmaps` says; a null text stays null. Other
+    columns stay as they are, whatever their names."""
+    rows = safe(documents, "doc_id", "text")
+    names = rows.columns
+    some, whole = _split(rows, **options)
 
     def run(batches):
         for part in slices(batches, "text"):
@@ -219,4 +221,4 @@ def dedup_lines(documents: DataFrame, **options) -> DataFrame:
             kept = [t if b is None or t is None else apply_bitmap(t.encode(), b)[0].decode() for t, b in zip(body, part.column("fl_bitmap").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == "text" else part.column(c) for c in names], names)
 
-    return some.transform(in_arrow, run, documents.schema).union(whole)
+    return restored(some.transform(in_arrow, run, rows.schema).union(whole), documents, "doc_id", "text")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, slices, stored, tester
+from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, restored, safe, slices, stored, tester
 from fluvia.llm.graph import connected_components
 
 SEED = 42
@@ -90,7 +90,7 @@ def fingerprints(documents: DataFrame, size: int = 3, distinct: bool = False) ->
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)), *more], names)
 
     names = ["doc_id", "fp", "content", *(["bands"] if distinct else [])]
-    return documents.select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint" + (", bands binary" if distinct else ""))
+    return safe(documents, "doc_id", "text").select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint" + (", bands binary" if distinct else ""))
 
 
 class Segments:
@@ -417,8 +417,10 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
 
     Rows with a null doc_id stay. Rows with one doc_id and equal sets of shingles are repeats, of which
     one stays; with other texts they are rows like any others. Texts without words
-    (null, empty, blanks) are copies of each other. An empty table gives an empty result.
+    (null, empty, blanks) are copies of each other. An empty table gives an empty result. Other columns
+    stay as they are, whatever their names.
     """
+    given, documents = documents, safe(documents, "doc_id", "text")
     documents_id = F.col("doc_id").cast("bigint")
     prints = stored(fingerprints(documents, size, distinct=True).where("doc_id is not null"), "fingerprints")
     nodes = stored(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "nodes")
@@ -446,7 +448,8 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     again = some.where("fl_id is not null").withColumn("fl_content", _content(size)(F.col("text")))
     again = again.join(chosen, (F.col("fl_id") == F.col("h_id")) & (F.col("fl_content") == F.col("h_content")), "left_semi")
     once = again.withColumn("fl_row", F.row_number().over(Window.partitionBy("fl_id", "fl_content").orderBy(F.xxhash64("text")))).where("fl_row = 1")
-    return marked.where("not fl_maybe").select(documents.columns).union(some.where("fl_id is null").select(documents.columns)).union(once.select(documents.columns))
+    kept = marked.where("not fl_maybe").select(documents.columns).union(some.where("fl_id is null").select(documents.columns)).union(once.select(documents.columns))
+    return restored(kept, given, "doc_id", "text")
 
 
 def _content(size: int):

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import in_arrow, slices, texts
+from fluvia.llm.common import in_arrow, safe, slices, texts
 
 #: Base rule.
 MIN_WORDS = 50
@@ -141,14 +141,16 @@ def repetition(documents: DataFrame) -> DataFrame:
     """Rows doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered, longest,
     n_repeats, base_failed, kept for each document.
 
-    Words are runs of characters other than ASCII white space. n_repeats counts the occurrences of
-    maximal repeats of MIN_REPEAT words or more, n_covered the words in their spans' union, longest is
+    Words are runs of characters other than ASCII white space. n_repeats counts the places
+    where a longest repeat of MIN_REPEAT words or more begins that isn't the rest of the one a word before, n_covered the words in their spans' union, longest is
     the longest repeat in words. A text is kept unless the base rule fails, n_covered exceeds
     MAX_COVERED of its words or longest exceeds MAX_LONGEST of them (and MIN_REPEAT).
 
     A null text counts as empty; a text without words fails the base rule. Very long texts are handled
-    whole. Repeated rows give repeated results; an empty table gives none.
+    whole. Repeated rows give repeated results; an empty table gives none. Other columns, whatever
+    their names, are ignored.
     """
+    documents = safe(documents, "doc_id", "text")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_covered", "longest", "n_repeats"]
 
     def run(batches):

@@ -9,10 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from fluvia.llm.common import in_arrow, memo, slices, texts
+from fluvia.llm.common import in_arrow, memo, safe, slices, texts
 
 WORD = re.compile(r"\w+|[^\w\s]")
-MOST_WORDS = 300_000
+#: Words whose counts a Python worker remembers, and the longest of them.
+MOST_WORDS, LONGEST_KNOWN = 300_000, 64
 
 
 def vocabulary(path: str) -> tuple[set[str], set[str]]:
@@ -101,7 +102,7 @@ class PieceCounter:
             n = known.get(w)
             if n is None:
                 n = self.count(w)
-                if len(known) < MOST_WORDS:
+                if len(known) < MOST_WORDS and len(w) <= LONGEST_KNOWN:
                     known[w] = n
             if n < 0:
                 unknown += 1
@@ -122,8 +123,10 @@ def token_counts(documents: DataFrame, vocabulary_path: str) -> DataFrame:
     """Rows doc_id, n_words, n_tokens, n_unknown for each document.
 
     Words are runs of letters, digits and underscores, and other visible characters one by one. A null
-    or empty text has none. Repeated rows give repeated results; an empty table gives none.
+    or empty text has none. Repeated rows give repeated results; an empty table gives none. Other
+    columns, whatever their names, are ignored.
     """
+    documents = safe(documents, "doc_id", "text")
 
     def run(batches):
         counts = counter(vocabulary_path).counts
