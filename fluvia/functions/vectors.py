@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -14,3 +14,19 @@ def dot(a: Column, b: Column) -> Column:
 def linear_head(vector: Column, weights: list[float], bias: float) -> Column:
     """A probability from a vector: the logistic function of its weighted sum and a bias."""
     return 1 / (1 + F.exp(-(dot(vector, F.array(*map(F.lit, weights))) + bias)))
+
+
+def softmax_weights(queries: DataFrame, vectors: DataFrame, scale: float, blocks: int = 8) -> DataFrame:
+    """Rows q_id, vec_id, weight: for each of ``queries`` (q_id, q) the softmax of its inner products with all
+    ``vectors`` (vec_id, e), over ``scale``.
+
+    A stated set of queries against all rows, in blocks: each vector meets a block of queries in a task, and
+    maximum and sum of a query are aggregated before the shuffle, so that no query's rows are in one task.
+    """
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)))
+    every = vectors.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    scores = every.join(dealt, "block").select("q_id", "vec_id", (dot(F.col("e"), F.col("q")) / scale).alias("s"))
+    most = scores.groupBy("q_id").agg(F.max("s").alias("most"))
+    parts = scores.join(most, "q_id").withColumn("x", F.exp(F.col("s") - F.col("most")))
+    total = parts.groupBy("q_id").agg(F.sum("x").alias("total"))
+    return parts.join(total, "q_id").select("q_id", "vec_id", (F.col("x") / F.col("total")).alias("weight"))

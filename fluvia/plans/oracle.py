@@ -7,7 +7,7 @@ MK = PX + ", ag AS (SELECT (t // 10)::INT AS f, r, c, (sum(round(v * 10000)::BIG
 RK = "pc AS (SELECT n_name AS gid_union, n_regionkey AS district, o_orderstatus AS s, o_totalprice / 10000 AS a FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('F', 'O')), rk AS (SELECT *, round(accretion_ha - erosion_ha, 4) AS net_land_change_ha, round_even(buildings_osm / 0.7, 0)::INT AS households_est, round_even(round_even(buildings_osm / 0.7, 0) * 4.5::DOUBLE, 0)::INT AS persons_est FROM (SELECT gid_union, district, round(coalesce(sum(a) FILTER (s = 'F'), 0), 4) AS erosion_ha, round(coalesce(sum(a) FILTER (s = 'O'), 0), 4) AS accretion_ha, count(*) FILTER (s = 'F')::INT AS buildings_osm FROM pc GROUP BY ALL))"
 UR = "ur AS (SELECT c_name AS gid_union, c_mktsegment AS \"union\", n_name AS district, c_acctbal AS erosion_ha, (c_custkey % 5)::INT AS buildings_osm, (c_custkey % 50)::INT AS households_est FROM customer JOIN nation ON c_nationkey = n_nationkey)"
 SC = "sc AS (SELECT l_orderkey, l_linenumber, strftime(l_shipdate, '%Y-%m') AS month, CASE WHEN l_quantity % 7 <> 0 THEN l_discount * 1000 END AS cloud FROM lineitem)"
-ST = PX + ", md AS (SELECT tile, r, t, median(v) AS v, count(v) AS n FROM px WHERE event_id % 3 = 0 GROUP BY ALL), st AS (SELECT k.tile, k.r, d.t::INT AS t, md.v, least(255, coalesce(n, 0))::INT AS n_obs FROM (SELECT DISTINCT tile, r FROM md) k CROSS JOIN range(30) d(t) LEFT JOIN md ON md.tile = k.tile AND md.r = k.r AND md.t = d.t), cv AS (SELECT tile, t, avg((v IS NOT NULL)::INT) AS observed FROM st GROUP BY ALL)"
+ST = PX + ", md AS (SELECT event_id // 4096 AS tile, r, c, t, median(v) AS v, count(v) AS n FROM px GROUP BY ALL), st AS (SELECT k.tile::INT AS tile, k.r, k.c, d.t::INT AS t, md.v, least(255, coalesce(n, 0))::INT AS n_obs FROM (SELECT DISTINCT tile, r, c FROM md) k CROSS JOIN (SELECT unnest(range(min(t), max(t) + 1)) AS t FROM px) d LEFT JOIN md ON md.tile = k.tile AND md.r = k.r AND md.c = k.c AND md.t = d.t), cv AS (SELECT tile, t, avg((v IS NOT NULL)::INT) AS observed FROM st GROUP BY ALL)"
 SW = ST + ", sw AS (SELECT tile, t AS t0, avg(observed) OVER (w ROWS BETWEEN 12 FOLLOWING AND 14 FOLLOWING) AS target_observed, count(*) OVER (w ROWS BETWEEN CURRENT ROW AND 14 FOLLOWING) AS n FROM cv WINDOW w AS (PARTITION BY tile ORDER BY t))"
 SD = MK + ", sd AS (SELECT a.r, a.c, a.m AS truth, sum(b.m) * 0.4::DOUBLE + a.r * 0.01::DOUBLE AS prob FROM mk a JOIN mk b ON a.r = b.r AND a.c = b.c AND b.f < 2 WHERE a.f = 2 GROUP BY a.r, a.c, a.m)"
 F1 = "round(CASE WHEN tp + fp + fn > 0 THEN tp / (tp + fp + fn)::DOUBLE END, 6) AS iou, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS \"precision\", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS recall, round(CASE WHEN tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS f1"
@@ -61,9 +61,9 @@ ORACLE_SQL = {
     "sensor_lookup": "WITH e AS (SELECT event_id % 10 AS p, event_id % 11 = 0 AS mss FROM events) SELECT CASE WHEN mss OR p IN (1, 2, 3) THEN 'NDWI' WHEN p IN (4, 5, 7, 8, 9) THEN 'MNDWI' END AS family, CASE WHEN mss OR p IN (1, 2, 3) THEN 'L1' WHEN p IN (4, 5, 7, 8, 9) THEN 'L2' END AS level, CASE WHEN mss OR p IN (1, 2, 3) THEN 60.0 WHEN p IN (4, 5, 7, 8, 9) THEN 30.0 END::DOUBLE AS native_m, count(*) AS n FROM e GROUP BY ALL",
     "monthly_median_composite": f"WITH {PX} SELECT tile, r, t, round(median(v), 6) AS v, count(v) AS n_obs FROM px GROUP BY ALL",
     "family_mode": f"WITH {PX}, n AS (SELECT tile, t, family, count(*) AS k FROM px GROUP BY ALL) SELECT tile, t, family FROM n QUALIFY row_number() OVER (PARTITION BY tile, t ORDER BY k DESC, family) = 1",
-    "calendar_stack": f"WITH {ST} SELECT tile, r, t, round(v, 6) AS v, n_obs FROM st",
-    "gap_fill": f"WITH {ST}, a AS (SELECT s.*, (SELECT max(t) FROM st b WHERE b.tile = s.tile AND b.r = s.r AND b.v IS NOT NULL AND b.t <= s.t) AS t0, (SELECT min(t) FROM st b WHERE b.tile = s.tile AND b.r = s.r AND b.v IS NOT NULL AND b.t >= s.t) AS t1 FROM st s), j AS (SELECT a.*, p.v AS v0, q.v AS v1 FROM a LEFT JOIN st p ON p.tile = a.tile AND p.r = a.r AND p.t = t0 LEFT JOIN st q ON q.tile = a.tile AND q.r = a.r AND q.t = t1), g AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN CASE WHEN t1 - t0 - 1 <= 2 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END WHEN t - t0 <= 2 THEN v0 WHEN t1 - t <= 2 THEN v1 END AS x FROM j) SELECT tile, r, t, round(x, 6) AS filled, v IS NULL AND x IS NOT NULL AS was_filled FROM g",
-    "temporal_smooth": f"WITH {ST} SELECT a.tile, a.r, a.t, round(median(b.v), 6) AS smoothed FROM st a JOIN st b ON a.tile = b.tile AND a.r = b.r AND abs(a.t - b.t) <= 1 GROUP BY ALL",
+    "calendar_stack": f"WITH {ST} SELECT tile, r, c, t, round(v, 6) AS v, n_obs FROM st",
+    "gap_fill": f"WITH {ST}, a AS (SELECT *, max(t) FILTER (v IS NOT NULL) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS t0, min(t) FILTER (v IS NOT NULL) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS t1 FROM st WINDOW w AS (PARTITION BY tile, r, c ORDER BY t)), j AS (SELECT a.*, p.v AS v0, q.v AS v1 FROM a LEFT JOIN st p ON p.tile = a.tile AND p.r = a.r AND p.c = a.c AND p.t = t0 LEFT JOIN st q ON q.tile = a.tile AND q.r = a.r AND q.c = a.c AND q.t = t1), g AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN t0 IS NOT NULL AND t1 IS NOT NULL THEN CASE WHEN t1 - t0 - 1 <= 2 THEN v0 + (v1 - v0) * (t - t0) / (t1 - t0) END WHEN t - t0 <= 2 THEN v0 WHEN t1 - t <= 2 THEN v1 END AS x FROM j) SELECT tile, r, c, t, round(x, 6) AS filled, v IS NULL AND x IS NOT NULL AS was_filled FROM g",
+    "temporal_smooth": f"WITH {ST} SELECT a.tile, a.r, a.c, a.t, round(median(b.v), 6) AS smoothed FROM st a JOIN st b ON a.tile = b.tile AND a.r = b.r AND a.c = b.c AND abs(a.t - b.t) <= 1 GROUP BY ALL",
     "median_filter_3x3": f"WITH {MK}, v AS (SELECT f, r, c, CASE WHEN m = 1 THEN ((r * 7 + c * 3) % 11)::DOUBLE END AS v FROM mk), fl AS (SELECT f, r, c, v, coalesce(v, median(v) OVER (PARTITION BY f)) AS x FROM v) SELECT a.f, a.r, a.c, CASE WHEN max(a.v) IS NOT NULL THEN round(median(b.x), 6) END AS smooth FROM fl a CROSS JOIN range(-1, 2) i(i) CROSS JOIN range(-1, 2) j(j) JOIN fl b ON b.f = a.f AND b.r = greatest(0, least(15, a.r + i)) AND b.c = greatest(0, least(15, a.c + j)) GROUP BY a.f, a.r, a.c",
     "land_mode": f"WITH {_hist(200)} SELECT family, round(lo + (bin + 0.5::DOUBLE) * w, 6) AS mode FROM h QUALIFY row_number() OVER (PARTITION BY family ORDER BY n DESC, bin) = 1",
     "otsu_threshold": f"WITH {_hist(256)}, c AS (SELECT *, lo + (bin + 0.5::DOUBLE) * w AS x FROM h), s AS (SELECT *, sum(n) OVER k AS w0, sum(n * x) OVER k AS s0, sum(n * x) OVER (PARTITION BY family) AS s FROM c WINDOW k AS (PARTITION BY family ORDER BY bin)), b AS (SELECT *, round(w0 * (total - w0) * power(s0 / w0 - (s - s0) / (total - w0), 2), 6) AS between_ FROM s WHERE w0 < total) SELECT family, round(x, 6) AS cut FROM b QUALIFY row_number() OVER (PARTITION BY family ORDER BY between_ DESC, bin) = 1",
@@ -76,7 +76,7 @@ ORACLE_SQL = {
     "class_balance": "SELECT round(coalesce(count(*) FILTER (toxic = 0) / nullif(count(*) FILTER (toxic = 1), 0), 1.0)::DOUBLE, 6) AS pos_weight FROM labels",
     "persistence_forecast": f"WITH {MK} SELECT r, c, h::INT AS h, m AS water, round(1 / (1 + exp(-8 * (2 * m - 1))), 6) AS prob FROM mk, range(1, 4) x(h) WHERE f = 2",
     "change_masks": f"WITH {MK} SELECT a.r, a.c, a.m = 0 AND b.m = 1 AS erosion, a.m = 1 AND b.m = 0 AS accretion FROM mk a JOIN mk b ON a.r = b.r AND a.c = b.c WHERE a.f = 0 AND b.f = 2",
-    "seasonal_reference": f"WITH {ST}, an AS (SELECT tile, max(t) FILTER (observed > 0.2) AS anchor, min(t) AS first FROM cv GROUP BY 1), x AS (SELECT st.tile, r, max((v > 0)::INT) FILTER (t = anchor - 9) AS seasonal, max((v > 0)::INT) FILTER (t = anchor) AS latest FROM st JOIN an ON st.tile = an.tile WHERE anchor - first >= 12 GROUP BY ALL) SELECT *, coalesce(seasonal, latest) AS reference FROM x",
+    "seasonal_reference": f"WITH {ST}, an AS (SELECT tile, max(t) FILTER (observed > 0.2) AS anchor, min(t) AS first FROM cv GROUP BY 1), x AS (SELECT st.tile, r, c, max((v > 0)::INT) FILTER (t = anchor - 9) AS seasonal, max((v > 0)::INT) FILTER (t = anchor) AS latest FROM st JOIN an ON st.tile = an.tile WHERE anchor - first >= 12 GROUP BY ALL) SELECT *, coalesce(seasonal, latest) AS reference FROM x",
     "change_components": f"WITH RECURSIVE {MK}, w AS (SELECT f, r, c, r * 1000000 + c AS id FROM mk WHERE m = 1), e AS (SELECT a.f, a.id AS a, b.id AS b FROM w a JOIN w b ON a.f = b.f AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1), x(f, id, z) AS (SELECT f, id, id FROM w UNION SELECT x.f, x.id, e.b FROM x JOIN e ON e.f = x.f AND e.a = x.z), l AS (SELECT f, id, min(z) AS zone FROM x GROUP BY ALL) SELECT f, zone, count(*) AS n_cells, round(count(*) * 1.44, 6)::DOUBLE AS area_ha FROM l GROUP BY ALL",
     "bank_band": f"WITH {MK}, x AS (SELECT a.f, a.r, a.c, max(b.m) AS d, min(b.m) AS e FROM mk a JOIN mk b ON a.f = b.f AND abs(a.r - b.r) + abs(a.c - b.c) <= 2 GROUP BY ALL) SELECT *, (d = 1 AND e = 0)::INT AS band FROM x",
     "boundary_pixels": f"WITH {ED} SELECT f, r, c FROM ed",
@@ -103,7 +103,7 @@ ORACLE_SQL = {
     "number_format": "SELECT s_suppkey, translate(format('{:,.2f}', s_acctbal), '0123456789', '০১২৩৪৫৬৭৮৯') AS bengali, floor(s_acctbal / 10.0 + 0.5) * 10.0::DOUBLE AS roughly FROM supplier",
     "manuscript_words": "SELECT lang, sum(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')))::BIGINT AS n_words FROM documents GROUP BY 1",
     "hash_keys": "SELECT doc_id, sha256(text) AS digest, substr(sha1(format('{:.6f}_{:.6f}', (doc_id % 7) / 10, (doc_id % 5) / 10)), 1, 16) AS cell FROM documents",
-    "attention_scores": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q_id, v.vec_id, list_inner_product(v.e, q.e) / 8 AS s FROM e v, e q WHERE q.vec_id < 3), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY q_id)) AS x FROM s) SELECT q_id, vec_id, round(x / sum(x) OVER (PARTITION BY q_id), 6) AS weight FROM x",
+    "attention_scores": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT q.vec_id AS q_id, v.vec_id, list_inner_product(v.e, q.e) / 8 AS s FROM e v, e q WHERE q.vec_id % 100 = 0), x AS (SELECT *, exp(s - max(s) OVER (PARTITION BY q_id)) AS x FROM s) SELECT q_id, vec_id, round(x / sum(x) OVER (PARTITION BY q_id), 6) AS weight FROM x",
     "cube_rollup": f"WITH {RK}, p AS (SELECT district, CASE s WHEN 'F' THEN 'erosion' ELSE 'accretion' END AS kind FROM pc) SELECT district, kind, count(*) AS n, grouping(district, kind)::INT AS level FROM p GROUP BY CUBE (district, kind)",
     "asof_prev": "SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev_id FROM events",
     "value_counts": "WITH b AS (SELECT CASE WHEN o_totalprice / 5000 >= 50 THEN 'very high' WHEN o_totalprice / 5000 >= 20 THEN 'high' WHEN o_totalprice / 5000 >= 5 THEN 'moderate' ELSE 'low' END AS k FROM orders), n AS (SELECT k, count(*) AS n FROM b GROUP BY 1) SELECT '{' || string_agg('\"' || k || '\":' || n, ',' ORDER BY k) || '}' AS counts FROM n",

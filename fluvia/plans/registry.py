@@ -177,9 +177,15 @@ def family_mode(spark, d):
     return pixels(spark, d).groupBy("tile", "t").agg(F.mode("family", True).alias("family"))
 
 
+CELL = ["tile", "r", "c"]
+
+
 def stack(spark, d) -> DataFrame:
-    thin = pixels(spark, d).where("event_id % 3 = 0")
-    return series.calendar_stack(series.composite(thin, ["tile", "r", "t"]), ["tile", "r"], 0, 29)
+    """The calendar of all events: a tile of 16 x 16 cells for each 4,096 of them, so that tiles grow with the
+    table and some cells of each month stay without a value."""
+    every = pixels(spark, d).withColumn("tile", F.floor(F.col("event_id") / 4096).cast("int"))
+    first, last = every.agg(F.min("t"), F.max("t")).first()
+    return series.calendar_stack(series.composite(every, [*CELL, "t"]), CELL, first, last)
 
 
 @query
@@ -189,12 +195,12 @@ def calendar_stack(spark, d):
 
 @query
 def gap_fill(spark, d):
-    return series.gap_fill(stack(spark, d), ["tile", "r"], 2).select("tile", "r", "t", F.round("filled", 6).alias("filled"), "was_filled")
+    return series.gap_fill(stack(spark, d), CELL, 2).select(*CELL, "t", F.round("filled", 6).alias("filled"), "was_filled")
 
 
 @query
 def temporal_smooth(spark, d):
-    return series.smooth(stack(spark, d), ["tile", "r"]).select("tile", "r", "t", F.round("smoothed", 6).alias("smoothed"))
+    return series.smooth(stack(spark, d), CELL).select(*CELL, "t", F.round("smoothed", 6).alias("smoothed"))
 
 
 @query
@@ -274,7 +280,7 @@ def change_masks(spark, d):
 def seasonal_reference(spark, d):
     rows = stack(spark, d).withColumn("water", (F.col("v") > 0).cast("int"))
     at = series.anchors(coverage(spark, d).withColumnRenamed("observed", "usable"), 0.2, 12)
-    return series.seasonal_reference(rows, at, ["tile", "r"], 3, 12)
+    return series.seasonal_reference(rows, at, CELL, 3, 12)
 
 
 @query
@@ -465,12 +471,10 @@ def hash_keys(spark, d):
 
 @query
 def attention_scores(spark, d):
+    """Softmax weights of all vectors for each query vector, the rows with an id divisible by 100."""
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("e"))
-    q = v.where("vec_id < 3").select(F.col("vec_id").alias("q_id"), F.col("e").alias("q"))
-    dot = vectors.dot(F.col("e"), F.col("q")) / 8.0
-    w = Window.partitionBy("q_id")
-    scores = v.crossJoin(F.broadcast(q)).select("q_id", "vec_id", dot.alias("s")).withColumn("x", F.exp(F.col("s") - F.max("s").over(w)))
-    return scores.select("q_id", "vec_id", F.round(F.col("x") / F.sum("x").over(w), 6).alias("weight"))
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("q_id"), F.col("e").alias("q"))
+    return vectors.softmax_weights(q, v, 8.0).select("q_id", "vec_id", F.round("weight", 6).alias("weight"))
 
 
 @query
