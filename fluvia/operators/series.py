@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.config import DEFAULTS
+from fluvia.operators.order import placed
 
 
 def search(scenes: DataFrame, most_cloud: float, keep_unknown: bool = True) -> DataFrame:
@@ -14,6 +15,22 @@ def search(scenes: DataFrame, most_cloud: float, keep_unknown: bool = True) -> D
     return scenes.where(F.col("cloud").isNull() | fits if keep_unknown else fits).where(F.col("month").isNotNull())
 
 
+def search_year(collections: list[DataFrame], box: tuple, year: int, most_cloud: float, keep_unknown: bool = True) -> DataFrame:
+    """Scenes (at, cloud, west, south, east, north) of all collections in a year that touch a box, below a cloud
+    cover, with their month; scenes whose time can't be read are dropped."""
+    every = collections[0]
+    for more in collections[1:]:
+        every = every.unionByName(more)
+    west, south, east, north = box
+    every = every.withColumn("month", F.date_format(F.expr("try_cast(at AS timestamp)"), "yyyy-MM")).where(F.col("month").startswith(f"{year:04d}-"))
+    return search(every.where((F.col("east") >= west) & (F.col("west") <= east) & (F.col("north") >= south) & (F.col("south") <= north)), most_cloud, keep_unknown)
+
+
+def usable_scenes(pixels: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
+    """The share of valid pixels of each scene, to four decimals; scenes without a valid pixel are dropped."""
+    return pixels.groupBy(*keys).agg(F.avg(F.col(value).isNotNull().cast("double")).alias("share")).where("share > 0").withColumn("share", F.round("share", 4))
+
+
 def least_cloudy(scenes: DataFrame, most: int, keys: list[str], tie: str) -> DataFrame:
     """The ``most`` least cloudy scenes of each group, a missing cover last, ties by ``tie``."""
     order = Window.partitionBy(*keys).orderBy(F.coalesce("cloud", F.lit(101.0)), tie)
@@ -79,13 +96,23 @@ def sliding_windows(coverage: DataFrame, span: int, targets: int, least: float,
 
 def even_subsample(windows: DataFrame, most: int, order: list[str]) -> DataFrame:
     """``most`` windows spread evenly: the k-th is number floor(k * n / most)."""
-    spec = Window.orderBy(*order)
-    numbered = windows.withColumn("i", F.row_number().over(spec) - 1).withColumn("n", F.count("*").over(Window.partitionBy()))
+    numbered = placed(windows.orderBy(*order)).withColumn("i", F.col("place").cast("bigint") - 1).drop("place")
+    numbered = numbered.join(F.broadcast(numbered.agg(F.count("*").alias("n"))), F.lit(True))
     # Row i is picked if some k has floor(k * n / most) = i.
     k = F.ceil(F.col("i") * most / F.col("n"))
     return numbered.where((F.col("n") <= most) | ((k < most) & (F.floor(k * F.col("n") / most) == F.col("i")))).drop("i", "n")
 
 
+def rows_without(series: DataFrame, key: str, value: str) -> DataFrame:
+    """Keys, such as years, whose values sum to 0."""
+    return series.groupBy(key).agg(F.sum(value).alias("total")).where("total = 0").select(key)
+
+
+def totals(pieces: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Sum and number of pieces, by tile and kind or other keys."""
+    return pieces.groupBy(*keys).agg(F.round(F.sum(value), 4).alias(value), F.count("*").alias("n"))
+
+
 def persistence(series: DataFrame, keys: list[str], steps: int = DEFAULTS["out_frames"], scale: float = DEFAULTS["logit_scale"]) -> DataFrame:
     """The last frame, repeated for each step ahead, as a probability."""
     last = series.groupBy(*keys).agg(F.max_by("water", "t").alias("water"), F.max("t").alias("t"))
