@@ -80,5 +80,11 @@ def shift_month(key: Column, offset: Column) -> Column:
     return month_key(month_number(key) + offset)
 
 
+def month_range(first: Column, last: Column) -> Column:
+    """All month keys from one to another, both included; none if the last is before the first."""
+    a, b = month_number(first), month_number(last)
+    return F.when(b >= a, F.transform(F.sequence(a, F.greatest(a, b)), month_key)).otherwise(F.array().cast("array<string>"))
+
+
 def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 #: Folds of a romanised name, in this order.
 DIGRAPHS = [("chh", "c"), ("ch", "c"), ("sh", "s"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("th", "t"), ("dh", "d"), ("ph", "f"), ("bh", "b"), ("rh", "r")]
-#: Sequences of a Bengali name, in this order (code points of marks spelled out).
+#: Sequences of a Bengali name, in this order.
 SEQUENCES = [("ক্ষ", "ক"), ("্য", ""), ("্ব", ""), ("ড়", "র"), ("ঢ়", "র"), ("য়", "")]
 #: Consonants.
 CONSONANTS = {
@@ -56,7 +56,7 @@ def latin_key(name: Column) -> Column:
     s = F.regexp_replace(F.regexp_replace(F.lower(spaced(name)), "\\(.*?\\)", " "), "[^a-z]", "")
     for pair, one in DIGRAPHS:
         s = F.replace(s, F.lit(pair), F.lit(one))
-    s = F.translate(s, "qzv", "kjb")
+    s = F.translate(s, "qzv", "kjb")  # fixed values
     return F.regexp_replace(F.regexp_replace(s, "[aeiouyw]", ""), "(.)\\1+", "$1")
 
 
@@ -154,13 +154,18 @@ def roughly(n: Column, step: float) -> Column:
     return F.floor(n / step + 0.5) * step
 
 
-def match_hierarchy(units: DataFrame, levels: list[tuple[str, DataFrame]]) -> DataFrame:
+def match_hierarchy(units: DataFrame, levels: list[tuple[str, DataFrame]], aliases: dict[str, str] | None = None) -> DataFrame:
     """Each unit's names (one column for each level, from the top) matched level by level.
 
     A level's candidates (parent, cand_id, cand, cand_bn) are those of the unit matched above; parent is
     0 at the top. Below an unmatched level nothing matches. A name is matched once for each parent,
-    however many units carry it. Adds columns <level>_id and <level>_method.
+    however many units carry it. ``aliases``: names that changed, as they are now. Adds columns <level>_id and <level>_method.
     """
+    if aliases:
+        now = F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))
+        given = [c for c, _ in levels]
+        out = match_hierarchy(units.select("*", *(F.coalesce(F.try_element_at(now, F.col(c)), F.col(c)).alias(f"fl_{c}") for c in given)), [(f"fl_{c}", x) for c, x in levels])
+        return out.withColumnsRenamed({f"fl_{c}_{k}": f"{c}_{k}" for c in given for k in ("id", "method")}).drop(*(f"fl_{c}" for c in given))
     out, above = units, F.lit(0)
     for column, candidates in levels:
         names = out.select(above.alias("parent"), F.col(column).alias("name")).distinct().select(F.struct("parent", "name").alias("id"), "parent", "name")
@@ -170,6 +175,21 @@ def match_hierarchy(units: DataFrame, levels: list[tuple[str, DataFrame]]) -> Da
     return out
 
 
+def paragraphs(lines: DataFrame, keys: list[str]) -> DataFrame:
+    """Lines (n, text) of documents put together to paragraphs, which blank lines part."""
+    order = Window.partitionBy(*keys).orderBy("n")
+    blank = F.trim(F.coalesce("text", F.lit(""))) == ""
+    part = lines.withColumn("paragraph", F.count_if(blank).over(order)).where(~blank)
+    out = part.groupBy(*keys, "paragraph").agg(F.array_sort(F.collect_list(F.struct("n", F.trim("text").alias("text")))).alias("x"))
+    return out.select(*keys, F.get("x", 0).n.alias("n"), F.array_join(F.transform("x", lambda t: t.text), " ").alias("text"))
+
+
+def word_count(markdown: Column) -> Column:
+    """Words of a Markdown text without images and syntax."""
+    bare = F.regexp_replace(F.regexp_replace(markdown, "!\\[.*?\\]\\(.*?\\)", " "), "[#*`|>_\\-]", " ")
+    return F.regexp_count(bare, F.lit("\\S+"))
+
+
 def markdown_table(rows: DataFrame, cells: list[Column], names: list[str], order: list[str]) -> DataFrame:
     """One row with a Markdown table: head, rule, rows in order. For tables of a page; null cells are a dash."""
     line = F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(c, F.lit("—")) for c in cells)), F.lit(" |"))
