@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from fluvia.storage import stored
+
+#: A cell's number is r * ROW + c: frames have fewer columns.
+ROW = 1_000_000
 CROSS = [(0, 1), (0, -1), (1, 0), (-1, 0)]
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
@@ -20,16 +27,6 @@ def spread(cells: DataFrame, keys: list[str], value: str, steps: list[tuple[int,
     return cells.select(*keys, "r", "c", F.col(value).alias("value"), sent).select(*keys, (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "value", "s.i", "s.j")
 
 
-def written(rows: DataFrame) -> DataFrame:
-    """Rows of a round written to the shared folder when one is set, so that a lost executor costs one round."""
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/checkpoints")
-    return rows.checkpoint()
-
-
 def dilate(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
     """Cells of the frame within k steps of a cell that is on. cells: keys, r, c, m (0/1)."""
     near = spread(cells.where("m = 1"), keys, "m", ball(k)).select(*keys, "r", "c").distinct().withColumn("d", F.lit(1))
@@ -70,7 +67,7 @@ def displacement(a: DataFrame, b: DataFrame, keys: list[str], resolution: float,
             block = lambda k, size=size: F.floor(F.col(k) / size)
             home = left.select(*keys, "r", "c", block("r").alias("br"), block("c").alias("bc"))
             round_ = y.select(*keys, F.col("r").alias("yr"), F.col("c").alias("yc"), block("r").alias("b0"), block("c").alias("b1"), steps).select(*keys, "yr", "yc", (F.col("b0") + F.col("s.i")).alias("br"), (F.col("b1") + F.col("s.j")).alias("bc"))
-            near = written(home.join(round_, [*keys, "br", "bc"], "left").groupBy(*keys, "r", "c").agg(F.min(d).alias("d")))
+            near = stored(home.join(round_, [*keys, "br", "bc"], "left").groupBy(*keys, "r", "c").agg(F.min(d).alias("d")))
             # What lies beyond the reach may not be the nearest: a nearer cell can be outside the blocks.
             sure = near.where(F.col("d") <= size)
             found = sure if found is None else found.union(sure)
@@ -115,21 +112,106 @@ def weighted_bce(rows: DataFrame, keys: list[str], weight: float) -> DataFrame:
     return rows.where("valid").groupBy(*keys).agg(F.round(F.avg(loss), 6).alias("loss"))
 
 
-def components(cells: DataFrame, keys: list[str]) -> DataFrame:
-    """8-connected components of cells: the smallest cell number of each, as ``zone``.
-
-    Each round hooks every zone to the smallest zone that any of its cells touches and then jumps to the
-    zone of that zone, until no zone changes.
+def gradient_loss(cells: DataFrame, keys: list[str], eps: float = 1e-6) -> DataFrame:
+    """Mean difference of the Sobel gradients of forecast and truth (prob, truth, valid): both directions and the
+    magnitude, over the cells whose whole 3 x 3 neighbourhood is valid; beyond the frame counts as valid."""
+    at = [*keys, "r", "c"]
+    p = sobel(cells, keys, "prob").withColumnsRenamed({"gx": "px", "gy": "py"})
+    t = sobel(cells, keys, "truth").withColumnsRenamed({"gx": "tx", "gy": "ty"})
+    near = spread(cells.withColumn("bad", (~F.col("valid")).cast("int")), keys, "bad", SQUARE).groupBy(*at).agg(F.max("value").alias("bad"))
+    both = cells.select(*at).join(p, at).join(t, at).join(near, at, "left")
+    size = lambda x, y: F.sqrt(F.col(x) ** 2 + F.col(y) ** 2 + eps)
+    diff = F.abs(F.col("px") - F.col("tx")) + F.abs(F.col("py") - F.col("ty")) + F.abs(size("px", "py") - size("tx", "ty"))
+    whole = F.coalesce("bad", F.lit(0)) == 0
+    return both.groupBy(*keys).agg(F.round(F.coalesce(F.sum(F.when(whole, diff)), F.lit(0.0)) / F.greatest(F.lit(1), F.count_if(whole)), 6).alias("grad"))
+
+
+def forecast_loss(cells: DataFrame, keys: list[str], weight: float, share: float = 0.3) -> DataFrame:
+    """The loss of forecasts x (logits) against truth over valid cells: weighted cross-entropy and ``share`` times the gradient loss."""
+    bce = weighted_bce(cells.withColumn("y", F.col("truth")), keys, weight).withColumnRenamed("loss", "bce")
+    grad = gradient_loss(cells.withColumn("prob", 1 / (1 + F.exp(-F.col("x")))), keys)
+    return bce.join(grad, keys).withColumn("loss", F.round(F.col("bce") + share * F.col("grad"), 5))
+
+
+def displacement_summary(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean and median displacement (metres) over frames; frames without a bank have none and don't count."""
+    return frames.groupBy(*keys).agg(F.round(F.avg("metres"), 4).alias("mean_m"), F.round(F.median("metres"), 4).alias("median_m"), F.count("metres").alias("n"))
+
+
+def crop_starts(frames: DataFrame, size: int) -> DataFrame:
+    """Frames (height, width) with the starts r0, c0 of crops that don't overlap; a frame below the size has one at 0."""
+    starts = lambda n: F.sequence(F.lit(0), F.greatest(F.lit(0), F.col(n) - size), F.lit(size))
+    return frames.withColumn("r0", F.explode(starts("height"))).withColumn("c0", F.explode(starts("width")))
+
+
+def block_labels(r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """For each cell the smallest number (see :data:`ROW`) of the cells that it reaches over neighbours, within these cells."""
+    number = r.astype(np.int64) * ROW + c
+    order = np.argsort(number)
+    known = number[order]
+    a, b = [], []
+    for step in (1, ROW - 1, ROW, ROW + 1):
+        at = np.searchsorted(known, known + step)
+        hit = np.flatnonzero((at < len(known)) & (known[np.minimum(at, len(known) - 1)] == known + step))
+        a.append(hit)
+        b.append(at[hit])
+    a, b = np.concatenate(a), np.concatenate(b)
+    label = np.arange(len(known))
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    while (label[label] != label).any():
+        label = label[label]
+    out = np.empty(len(number), np.int64)
+    out[order] = known[label]
+    return out
+
+
+def joined_labels(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows keys, zone, least: for each linked label (u, v within keys) the smallest that it reaches.
+
+    Alternating large and small stars: each round points every label at a smaller one, until each
+    component is one star, however long its way is. Rounds are written to the shared folder.
     """
-    state = cells.select(*keys, "r", "c").distinct().withColumn("zone", F.col("r") * 1_000_000 + F.col("c"))
+    e = stored(links.select(*keys, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct(), "links")
+    seen = None
     while True:
-        low = spread(state, keys, "zone", SQUARE).groupBy(*keys, "r", "c").agg(F.min("value").alias("low"))
-        hook = state.join(low, [*keys, "r", "c"]).groupBy(*keys, "zone").agg(F.min("low").alias("next"))
-        jump = hook.select(*keys, F.col("zone").alias("next"), F.col("next").alias("last"))
-        new = written(state.join(hook.join(jump, [*keys, "next"]), [*keys, "zone"]).select(*keys, "r", "c", F.col("zone").alias("was"), F.col("last").alias("zone")))
-        state = new.drop("was")
-        if new.where("zone != was").isEmpty():
-            return state
+        both = e.union(e.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(*keys, "u").agg(F.least("u", F.min("v")).alias("m"))
+        large = both.where("v > u").join(low, [*keys, "u"]).select(*keys, F.col("m").alias("u"), "v").where("u != v").distinct()
+        low = large.groupBy(*keys, "v").agg(F.min("u").alias("m"))
+        e = stored(large.join(low, [*keys, "v"]).select(*keys, F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u != v").distinct(), "links")
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64(*keys, "u", "v").cast("decimal(20,0)"))).first())
+        if now == seen:
+            return e.select(*keys, F.col("v").alias("zone"), F.col("u").alias("least"))
+        seen = now
+
+
+def components(cells: DataFrame, keys: list[str], block: int = 64) -> DataFrame:
+    """8-connected components of cells: the smallest cell number of each (see :data:`ROW`), as ``zone``.
+
+    Cells are labelled within blocks, arrays in one task each; only labels that meet at the blocks'
+    borders become links, and only those are joined over rounds. There is no limit on rounds or on a
+    component's length. Repeated cells count once.
+    """
+    at = lambda k: F.floor(F.col(k) / block)
+    once = cells.select(*keys, "r", "c").distinct()
+    kinds = [*once.schema.fields, T.StructField("zone", T.LongType())]
+
+    def label(part: pd.DataFrame) -> pd.DataFrame:
+        return part[[*keys, "r", "c"]].assign(zone=block_labels(part["r"].to_numpy(), part["c"].to_numpy()))
+
+    local = stored(once.withColumn("br", at("r")).withColumn("bc", at("c")).groupBy(*keys, "br", "bc").applyInPandas(label, T.StructType(kinds)), "labels")
+    edge = lambda k: F.pmod(F.col(k), F.lit(block)).isin(0, block - 1)
+    border = local.where(edge("r") | edge("c"))
+    met = spread(border, keys, "zone", SQUARE).join(border, [*keys, "r", "c"]).where("value < zone").select(*keys, F.col("value").alias("u"), F.col("zone").alias("v"))
+    return local.join(joined_labels(met, keys), [*keys, "zone"], "left").select(*keys, "r", "c", F.coalesce("least", "zone").alias("zone"))
 
 
 def hann(k, size: int):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,3 +109,165 @@ def intersection(zones: DataFrame, units: DataFrame) -> DataFrame:
 def answered_cells(asked: DataFrame, answered: DataFrame, keys: list[str]) -> DataFrame:
     """Cells asked for, once each, and whether they were answered: those make up the coverage."""
     return asked.select(keys).distinct().join(answered.select(*keys, F.lit(True).alias("answered")).distinct(), keys, "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
+
+
+def lonlat45(east: Column, north: Column) -> tuple[Column, Column]:
+    """Longitude and latitude of a place in UTM zone 45 north: the inverse of :func:`utm45`, by the same series."""
+    a, f = 6378137.0, 1 / 298.257223563
+    n = f / (2 - f)
+    radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi, eta = north / (0.9996 * radius), (east - 500_000) / (0.9996 * radius)
+    xi0, eta0 = xi, eta
+    for j, k in enumerate(beta, 1):
+        xi = xi - k * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0)
+        eta = eta - k * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0)
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, k in enumerate(delta, 1):
+        phi = phi + k * F.sin(2 * j * chi)
+    return 87.0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(phi)
+
+
+def projected_box(boxes: DataFrame, keys: list[str], steps: int = 25) -> DataFrame:
+    """The box in UTM zone 45 of boxes west, south, east, north in degrees: edges bend, so each is projected at
+    ``steps`` + 1 places."""
+    at = lambda a, b: F.col(a) + (F.col(b) - F.col(a)) * F.col("k") / steps
+    along = boxes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
+    edges = [(at("west", "east"), F.col("south")), (at("west", "east"), F.col("north")), (F.col("west"), at("south", "north")), (F.col("east"), at("south", "north"))]
+    points = along.select(*keys, F.explode(F.array(*(F.struct(x.alias("lon"), y.alias("lat")) for x, y in edges))).alias("p"))
+    x, y = utm45(F.col("p.lon"), F.col("p.lat"))
+    placed = points.select(*keys, x.alias("x"), y.alias("y"))
+    return placed.groupBy(*keys).agg(F.min("x").alias("left"), F.min("y").alias("bottom"), F.max("x").alias("right"), F.max("y").alias("top"))
+
+
+def tile_corners(tiles: DataFrame, tile: float = DEFAULTS["tile_m"]) -> DataFrame:
+    """Tiles (origin_x, origin_y: the north-west corner) with the box of their four corners in degrees."""
+    corners = F.array(*(F.struct((F.col("origin_x") + i * tile).alias("x"), (F.col("origin_y") - j * tile).alias("y")) for i in (0, 1) for j in (0, 1)))
+    place = lambda k: F.transform(corners, lambda p: lonlat45(p.x, p.y)[k])
+    return tiles.select("*", F.array_min(place(0)).alias("west"), F.array_min(place(1)).alias("south"), F.array_max(place(0)).alias("east"), F.array_max(place(1)).alias("north"))
+
+
+def touching(rows: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rows whose box west, south, east, north touches another: a range filter, before anything exact."""
+    west, south, east, north = box
+    return rows.where((F.col("east") >= west) & (F.col("west") <= east) & (F.col("north") >= south) & (F.col("south") <= north))
+
+
+def extent(points: DataFrame, buffer: float, keys: list[str] | None = None) -> DataFrame:
+    """The box around points x, y, wider by ``buffer`` on each side."""
+    return points.groupBy(*(keys or [])).agg((F.min("x") - buffer).alias("west"), (F.min("y") - buffer).alias("south"), (F.max("x") + buffer).alias("east"), (F.max("y") + buffer).alias("north"))
+
+
+def restrict_cells(cells: DataFrame, footprint: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells that a footprint, given as cells, touches; all of them if it touches none."""
+    near = cells.join(footprint.select(keys).distinct(), keys, "left_semi")
+    return near if not near.isEmpty() else cells
+
+
+def large_zones(cells: DataFrame, keys: list[str], least_ha: float, cell_ha: float) -> DataFrame:
+    """Cells of the zones that have an area of ``least_ha`` at least."""
+    large = cells.groupBy(*keys).agg((F.count("*") * cell_ha).alias("ha")).where(F.col("ha") >= least_ha).select(*keys)
+    return cells.join(large, keys, "left_semi")
+
+
+def dissolved(cells: DataFrame, by: list[str]) -> DataFrame:
+    """The union of the parts of each group, on cells: a cell that several parts hold counts once."""
+    return cells.select(*by, "r", "c").distinct()
+
+
+def outline(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Sides of cells that part a zone from what is around it, as (keys, r, c, side): the zone's rings in pieces.
+    A side that two cells of a zone share is met twice and goes."""
+    sides = [("n", 0, 0, "h"), ("s", 1, 0, "h"), ("w", 0, 0, "v"), ("e", 0, 1, "v")]
+    each = F.explode(F.array(*(F.struct(F.lit(side).alias("side"), (F.col("r") + i).alias("er"), (F.col("c") + j).alias("ec"), F.lit(way).alias("way")) for side, i, j, way in sides))).alias("s")
+    out = cells.select(*keys, "r", "c", each).groupBy(*keys, "s.er", "s.ec", "s.way").agg(F.count("*").alias("n"), F.first("r").alias("r"), F.first("c").alias("c"), F.first("s.side").alias("side"))
+    return out.where("n = 1").select(*keys, "r", "c", "side")
+
+
+def _clip_side(ring: Column, axis: str, bound: Column, above: bool) -> Column:
+    """The part of a ring on one side of a line, by the Sutherland-Hodgman rule for one edge of a box."""
+    n = F.size(ring)
+    inside = lambda p: (p[axis] >= bound) if above else (p[axis] <= bound)
+    other = "y" if axis == "x" else "x"
+
+    def crossing(p: Column, q: Column) -> Column:
+        t = F.try_divide(bound - p[axis], q[axis] - p[axis])
+        value = {axis: bound.cast("double"), other: p[other] + (q[other] - p[other]) * t}
+        return F.struct(value["x"].alias("x"), value["y"].alias("y"))
+
+    def edge(k: Column) -> Column:
+        p, q = F.get(ring, k), F.get(ring, F.pmod(k + 1, n))
+        return F.when(inside(p) & inside(q), F.array(q)).when(inside(p), F.array(crossing(p, q))).when(inside(q), F.array(crossing(p, q), q)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), edge))).otherwise(ring)
+
+
+def clipped(rows: DataFrame, ring: str, box: tuple[str, str, str, str], out: str) -> DataFrame:
+    """``rows`` with the part of their ring (array of x, y) within the box of four columns; empty without any.
+
+    A column for each side of the box: one expression over all four would hold its parts many times.
+    """
+    rows = rows.withColumn(out, F.transform(ring, lambda p: F.struct(p.x.cast("double").alias("x"), p.y.cast("double").alias("y"))))
+    for axis, bound, above in (("x", box[0], True), ("y", box[1], True), ("x", box[2], False), ("y", box[3], False)):
+        rows = rows.withColumn(out, _clip_side(F.col(out), axis, F.col(bound), above))
+    return rows
+
+
+def centroid(ring: Column) -> Column:
+    """The centroid of a ring as a struct x, y."""
+    n = F.size(ring)
+    at = lambda k: (F.get(ring, k), F.get(ring, F.pmod(k + 1, n)))
+    cross = lambda p, q: p.x * q.y - q.x * p.y
+    every = F.sequence(F.lit(0), n - 1)
+    total = lambda f: F.aggregate(F.transform(every, lambda k: f(*at(k))), F.lit(0.0), lambda s, t: s + t)
+    area = total(cross)
+    return F.struct((total(lambda p, q: (p.x + q.x) * cross(p, q)) / (3 * area)).alias("x"), (total(lambda p, q: (p.y + q.y) * cross(p, q)) / (3 * area)).alias("y"))
+
+
+def simplified(points: np.ndarray, tolerance: float) -> np.ndarray:
+    """Which points of a line stay: those farther than ``tolerance`` from the line between the ones that stay beside them."""
+    stay = np.zeros(len(points), bool)
+    stay[[0, -1]] = True
+    todo = [(0, len(points) - 1)]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        way, between = points[b] - points[a], points[a + 1 : b] - points[a]
+        length = float(np.hypot(*way))
+        far = np.abs(way[0] * between[:, 1] - way[1] * between[:, 0]) / length if length else np.hypot(between[:, 0], between[:, 1])
+        k = int(far.argmax())
+        if far[k] > tolerance:
+            stay[a + 1 + k] = True
+            todo += [(a, a + 1 + k), (a + 1 + k, b)]
+    return stay
+
+
+def simplify(ring: Column, tolerance: float) -> Column:
+    """Rings (arrays of x, y) without corners that matter less than ``tolerance``; a ring's first corner and the one
+    farthest from it stay, and no ring falls below three corners."""
+
+    @F.pandas_udf("array<struct<x:double,y:double>>")
+    def run(rings: pd.Series) -> pd.Series:
+        def one(ring):
+            if ring is None or len(ring) < 4:
+                return ring
+            points = np.array([(p["x"], p["y"]) for p in ring], float)
+            split = int(np.hypot(*(points - points[0]).T).argmax())
+            first, second = simplified(points[: split + 1], tolerance), simplified(np.vstack([points[split:], points[:1]]), tolerance)
+            stay = np.append(first, second[1:-1])
+            return [p for p, s in zip(ring, stay, strict=True) if s] if stay.sum() > 2 else ring
+
+        return rings.map(one)
+
+    return run(ring)
+
+
+def hectares(square_metres: Column) -> Column:
+    return square_metres / 10_000
+
+
+def square_kilometres(square_metres: Column) -> Column:
+    return square_metres / 1_000_000

@@ -13,7 +13,7 @@ def histogram(values: DataFrame, keys: list[str], low: float, high: float, bins:
     v = values.select(*keys, F.greatest(F.lit(low), F.least(F.lit(high), F.col("v"))).alias("v")).where("v is not null")
     ends = v.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
     width = (F.col("hi") - F.col("lo")) / bins
-    joined = v.join(F.broadcast(ends), keys) if keys else v.crossJoin(F.broadcast(ends))
+    joined = v.join(ends, keys) if keys else v.join(F.broadcast(ends), F.lit(True))  # without keys one row
     number = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), width))).cast("int")
     return joined.groupBy(*keys, "lo", "hi", "total", F.coalesce(number, F.lit(0)).alias("bin")).agg(F.count("*").alias("n")).withColumn("width", width)
 
@@ -54,7 +54,7 @@ def calibrate(pixels: DataFrame, modes: DataFrame, reference: float, low: float
     n = round((high - low) / step)
     levels = F.floor((F.col("v") - F.col("mode") - low) / step + 1e-9)
     above = F.when(F.col("v").isNull(), -1).otherwise(F.least(F.lit(n - 1), F.greatest(F.lit(-1), F.when((F.col("v") - F.col("mode") - low) / step > levels + 1e-6, levels).otherwise(levels - 1)))).cast("int")
-    counts = pixels.join(F.broadcast(modes), "family").groupBy("family", "month", above.alias("k")).agg(F.count("*").alias("n"))
+    counts = pixels.join(modes, "family").groupBy("family", "month", above.alias("k")).agg(F.count("*").alias("n"))
     grid = counts.select("family", "month").distinct().withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
     full = grid.join(counts, ["family", "month", "k"], "left").fillna(0, ["n"])
     order = Window.partitionBy("family", "month").orderBy(F.desc("k"))
@@ -64,9 +64,34 @@ def calibrate(pixels: DataFrame, modes: DataFrame, reference: float, low: float
     return best.select("family", F.round(F.lit(low) + F.col("k") * step, 6).alias("delta"), "gap")
 
 
+def calibrated_offset(pixels: DataFrame, modes: DataFrame, low: float, high: float, months: int = 60, every: int = 17, default: float = 0.15) -> DataFrame:
+    """One row: Otsu's cut of a sample of pixels, less the median of the months' land modes; ``default`` without a cut.
+
+    pixels: month, cell, v; modes: month, mode. The sample has at most ``months`` months, in the order of a
+    hash, and of each the cells whose number divides by ``every``: sampling is what the calibration is.
+    """
+    some = modes.select("month").distinct().orderBy(F.xxhash64("month"), "month").limit(months)
+    pooled = pixels.where(F.col("cell") % every == 0).join(some, "month", "left_semi").select("v")
+    cut = otsu(pooled, [], low, high).agg(F.max("cut").alias("cut"))
+    middle = modes.agg(F.median("mode").alias("middle"))
+    return cut.join(middle, F.lit(True)).select(F.round(F.coalesce(F.col("cut") - F.col("middle"), F.lit(default)), 6).alias("offset"))
+
+
+def best_cut(sweep: DataFrame) -> DataFrame:
+    """The row of a sweep with the best F1, the first of equal ones."""
+    best = sweep.agg(F.max_by(F.struct(*sweep.columns), F.struct("f1", -F.col("cut"))).alias("x"))
+    return best.select("x.*")
+
+
+def monthly_levels(pixels: DataFrame, keys: list[str]) -> DataFrame:
+    """Median and mean over months of the months' own mean values."""
+    months = pixels.groupBy(*keys, "month").agg(F.avg("v").alias("v"))
+    return months.groupBy(*keys).agg(F.round(F.median("v"), 6).alias("median"), F.round(F.avg("v"), 6).alias("mean"))
+
+
 def binary_water(pixels: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """1 above the key's cut, 0 else; missing is 0."""
-    return pixels.join(F.broadcast(cuts), keys, "left").withColumn("water", F.coalesce(F.col("v") > F.col("cut"), F.lit(False)).cast("int"))
+    return pixels.join(cuts, keys, "left").withColumn("water", F.coalesce(F.col("v") > F.col("cut"), F.lit(False)).cast("int"))
 
 
 def cut_sweep(scored: DataFrame, cuts: list[float]) -> DataFrame:
