@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fluvia.functions.text import DIGRAPHS
+
 PX = "px AS (SELECT (user_id % 4)::INT AS tile, (event_id % 16)::INT AS r, ((event_id // 16) % 16)::INT AS c, date_diff('day', DATE '2024-01-01', ts::DATE)::INT AS t, least(1.0, (round(value * 100)::BIGINT - 5000) / 10000.0)::DOUBLE AS v, event_type AS family, event_id FROM events)"
 MK = PX + ", ag AS (SELECT (t // 10)::INT AS f, r, c, (sum(round(v * 10000)::BIGINT) > 0)::INT AS m FROM px GROUP BY ALL), gr AS (SELECT f::INT AS f, r::INT AS r, c::INT AS c FROM range(3) a(f), range(16) b(r), range(16) d(c)), mk AS (SELECT gr.f, gr.r, gr.c, coalesce(m, 0) AS m FROM gr LEFT JOIN ag ON gr.f = ag.f AND gr.r = ag.r AND gr.c = ag.c)"
 RK = "pc AS (SELECT n_name AS gid_union, n_regionkey AS district, o_orderstatus AS s, o_totalprice / 10000 AS a FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderstatus IN ('F', 'O')), rk AS (SELECT *, round(accretion_ha - erosion_ha, 4) AS net_land_change_ha, round_even(buildings_osm / 0.7, 0)::INT AS households_est, round_even(round_even(buildings_osm / 0.7, 0) * 4.5::DOUBLE, 0)::INT AS persons_est FROM (SELECT gid_union, district, round(coalesce(sum(a) FILTER (s = 'F'), 0), 4) AS erosion_ha, round(coalesce(sum(a) FILTER (s = 'O'), 0), 4) AS accretion_ha, count(*) FILTER (s = 'F')::INT AS buildings_osm FROM pc GROUP BY ALL))"
@@ -25,7 +27,7 @@ def _hist(bins: int) -> str:
 
 def _latin() -> str:
     s = "regexp_replace(lower(p_name), '[^a-z]', '', 'g')"
-    for a, b in [("chh", "c"), ("ch", "c"), ("sh", "s"), ("kh", "k"), ("gh", "g"), ("jh", "j"), ("th", "t"), ("dh", "d"), ("ph", "f"), ("bh", "b"), ("rh", "r")]:
+    for a, b in DIGRAPHS:
         s = f"replace({s}, '{a}', '{b}')"
     s = f"regexp_replace(translate({s}, 'qzv', 'kjb'), '[aeiouyw]', '', 'g')"
     for x in "bcdfghjklmnprstx":
@@ -41,6 +43,7 @@ def _squeezed(s: str) -> str:
 
 
 ORACLE_SQL = {
+    "stream_composite": "SELECT ts::DATE::VARCHAR AS day, event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL",
     "risk_table": f"WITH {RK} SELECT * FROM rk",
     "risk_enriched": f"WITH {RK} SELECT gid_union, r_name AS region, erosion_ha, net_land_change_ha, persons_est FROM rk LEFT JOIN region ON district = r_regionkey",
     "severity_bands": "SELECT CASE WHEN o_totalprice / 5000 >= 50 THEN 'very high' WHEN o_totalprice / 5000 >= 20 THEN 'high' WHEN o_totalprice / 5000 >= 5 THEN 'moderate' ELSE 'low' END AS band, count(*) AS n FROM orders GROUP BY 1",

@@ -492,7 +492,7 @@ def asof_prev(spark, d):
 
 @query
 def stream_composite(spark, d):
-    """Extension: the composite as a stream over landed files, read to the end; rows only."""
+    """Extension: the composite as a stream over landed files, read to the end."""
     from fluvia.streaming.composite import run_to_end
 
     return run_to_end(spark, f"{d}/events.parquet")
