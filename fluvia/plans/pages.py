@@ -25,12 +25,9 @@ def query(sql: str | None):
     return add
 
 
-K = F.col("c_custkey")
-
-
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'হলদিয়া' ELSE c_name END AS shown_bn, c_name AS shown_en FROM customer")
 def place_names(spark, d):
-    bn = F.when(K % 3 == 0, "হলদিয়া")
+    bn = F.when(F.col("c_custkey") % 3 == 0, "হলদিয়া")
     return table(spark, d, "customer").select("c_custkey", present.place_name(F.col("c_name"), bn, "bn").alias("shown_bn"), present.place_name(F.col("c_name"), bn, "en").alias("shown_en"))
 
 
@@ -83,7 +80,7 @@ def month_keys(spark, d):
 def month_ranges(spark, d):
     """All months from one to another, both included."""
     first = F.lit("2024-11")
-    rows = table(spark, d, "customer").select("c_custkey", first.alias("first"), raster.shift_month(first, (K % 4).cast("int")).alias("last"))
+    rows = table(spark, d, "customer").select("c_custkey", first.alias("first"), raster.shift_month(first, (F.col("c_custkey") % 4).cast("int")).alias("last"))
     return rows.select("c_custkey", F.explode(raster.month_range(F.col("first"), F.col("last"))).alias("month"))
 
 
