@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import string
 import zlib
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +19,10 @@ from fluvia.llm.common import SLICE_BYTES, gathered, id_bytes, id_lists, in_arro
 END_ID = 2
 #: Distinct words whose ids a Python worker remembers; others are encoded again.
 MOST_WORDS = 600_000
-#: Longer words aren't remembered, in characters.
+#: Longer words aren't remembered, in bytes of UTF-8.
 LONGEST_KNOWN = 48
+#: Endings (marks after a word) whose ids a Python worker remembers.
+MOST_TAILS = 6000
 #: New words that go to the library as one text.
 TOGETHER = 256
 ORC_OPTIONS = {"compression": "lz4", "orc.create.index": "true", "orc.row.index.stride": "10000", "orc.stripe.size": str(64 << 20), "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01"}
@@ -45,11 +47,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.most = most
-        #: Numbers of words: of " the" for "the", of "\nthe" for "\nthe"; -1 if the text has to be encoded whole.
-        self.known: dict[str, int] = {}
-        #: The ids of word k are pool[ends[k] : ends[k + 1]].
-        self.pool, self.ends = np.zeros(0, "<u4"), np.zeros(1, np.int64)
-        self.marks: dict[str, np.ndarray] = {}
+        #: Words with their ids: of " the" for "the", of "\nthe" for "\nthe". Those of word k are
+        #: pool[ends[k] : ends[k + 1]]; whole[k]: a text with that word has to be encoded whole.
+        self.words = pa.array([], pa.string())
+        self.pool, self.ends, self.whole = np.zeros(0, "<u4"), np.zeros(1, np.int64), np.zeros(0, bool)
+        self.tails: dict[str, np.ndarray] = {}
         self.begins = {" ": self._begins(" "), "\n": self._begins("\n")}
 
     def _begins(self, blank: str) -> np.ndarray:
@@ -83,100 +85,89 @@ class WordEncoder:
     def _plain(self, body: str) -> bool:
         return body.split() == [body] and not any(s in body for s in self.special)
 
-    def _core(self, w: str, odd: bool) -> str | None:
-        """A word without the marks at its end; None if it can't be encoded by itself."""
-        if w.isalnum():
-            return w
-        if odd and not self._plain(w[1:] if w[:1] == "\n" else w):
-            return None
-        core = w.rstrip(".,;:!?")
-        while core and not core[-1].isalnum():
-            core = core[:-1]
-        return core or w
-
-    def _learn(self, missing: list[str]) -> None:
-        """Adds the ids of words that aren't known; :meth:`_forget` takes back those beyond what is remembered."""
-        known = self.known
-        blob = " ".join(missing)
-        odd = bool(_OTHER_SPACE(blob) or "" in missing or "\n" in missing or any(s in blob for s in self.special))
-        cores = [self._core(w, odd) for w in missing]
-        new = [c for c in {*cores} if c is not None and c not in known]
-        plain, broken = [c for c in new if c[0] != "\n"], [c for c in new if c[0] == "\n"]
-        parts = [self._words(plain, " "), self._words([c[1:] for c in broken], "\n")]
-        new = plain + broken
-        at = len(self.ends) - 1
-        numbers = dict(zip(new, range(at, at + len(new)), strict=True))
-        pool = np.concatenate([self.pool, *(ids for ids, _ in parts)])
-        size = np.concatenate([np.diff(self.ends), *(n for _, n in parts)])
-        # Words with marks at their ends: the ids of the word, then those of the marks.
-        pairs = [(w, c) for w, c in zip(missing, cores, strict=True) if c is not None and len(w) != len(c)]
-        tails = [t for t in {w[len(c) :] for w, c in pairs} if t not in self.marks]
-        marks = self.marks | dict(zip(tails, self._library(tails), strict=True)) if tails else self.marks
-        if len(marks) <= self.most // 100:
-            self.marks = {t: v for t, v in marks.items() if len(t) <= LONGEST_KNOWN}
-        used = {t: len(size) + k for k, t in enumerate({w[len(c) :] for w, c in pairs})}
-        both = np.concatenate([pool, *(marks[t] for t in used)])
-        sizes = np.append(size, np.array([len(marks[t]) for t in used], np.int64))
-        code = np.array([x for w, c in pairs for x in (numbers[c] if c in numbers else known[c], used[w[len(c) :]])], np.int64)
-        self.pool = np.concatenate([pool, gathered(both, np.cumsum(sizes) - sizes, sizes, code)])
-        self.ends = np.append(0, np.cumsum(np.append(size, sizes[code].reshape(-1, 2).sum(axis=1))))
-        numbers |= dict(zip((w for w, _ in pairs), range(len(size), len(size) + len(pairs)), strict=True))
-        self.fresh = numbers | {w: -1 for w, c in zip(missing, cores, strict=True) if c is None}
-        known.update(self.fresh)
-
-    def _forget(self) -> None:
-        """Leaves the shorter of the new words, while there is room for them, and the ids that they need."""
-        keep = min(len(self.fresh), max(0, self.most - len(self.known) + len(self.fresh)))
-        stay = dict(islice(((w, k) for w, k in self.fresh.items() if len(w) <= LONGEST_KNOWN), keep))
-        for w in self.fresh.keys() - stay.keys():
-            del self.known[w]
-        if len(stay) < len(self.fresh):
-            first = min((k for k in self.fresh.values() if k >= 0), default=len(self.ends) - 1)
-            code = np.fromiter((k for k in stay.values() if k >= 0), np.int64)
-            size = np.diff(self.ends)
-            ids = gathered(self.pool, self.ends[:-1], size, code)
-            self.known.update(zip((w for w, k in stay.items() if k >= 0), range(first, first + len(code)), strict=True))
-            self.pool = np.concatenate([self.pool[: self.ends[first]], ids])
-            self.ends = np.append(self.ends[: first + 1], self.ends[first] + np.cumsum(size[code]))
-        self.fresh = {}
+    def _learn(self, new: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, their number for each, and which need their text encoded whole."""
+        if not len(new):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64), np.zeros(0, bool)
+        whole = pc.is_in(new, value_set=pa.array(["", "\n"])).to_numpy(zero_copy_only=False)
+        blob = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(new)], pa.int32()), new), "").to_pylist()[0]
+        if _OTHER_SPACE(blob) or any(s in blob for s in self.special):
+            whole |= np.array([not self._plain(w[1:] if w[:1] == "\n" else w) for w in new.to_pylist()], bool)
+        # The pre-tokenizer cuts between a letter or digit and the marks after it: words without them are looked up.
+        cores = pc.utf8_rtrim(new, characters=string.punctuation)
+        cores = pc.if_else(pc.match_substring_regex(cores, "[\\p{L}\\p{N}]$"), cores, new)
+        distinct = pc.if_else(pa.array(whole), None, cores).dictionary_encode()
+        code = distinct.indices.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        parts = distinct.dictionary.to_pylist()
+        broken = np.array([c[0] == "\n" for c in parts], bool)
+        flat, size = zip(self._words([c for c in parts if c[0] != "\n"], " "), self._words([c[1:] for c in parts if c[0] == "\n"], "\n"), strict=True)
+        place = np.empty(len(parts), np.int64)
+        place[np.argsort(broken, kind="stable")] = np.arange(len(parts))
+        # Then the marks, of words that have some.
+        marked = np.flatnonzero(~whole & (pc.binary_length(cores).to_numpy() != pc.binary_length(new).to_numpy()))
+        starts = pc.utf8_length(cores.take(pa.array(marked))).to_pylist()
+        tails = [w[k:] for w, k in zip(new.take(pa.array(marked)).to_pylist(), starts, strict=True)]
+        unknown = [t for t in {*tails} if t not in self.tails]
+        known = self.tails | dict(zip(unknown, self._library(unknown), strict=True))
+        if len(known) <= MOST_TAILS:
+            self.tails = {t: v for t, v in known.items() if len(t) <= LONGEST_KNOWN}
+        used = {t: len(parts) + 1 + k for k, t in enumerate({*tails})}
+        pool = np.concatenate([*flat, *(known[t] for t in used)])
+        size = np.concatenate([*size, [0], np.array([len(known[t]) for t in used], np.int64)])  # after the words, one without ids
+        pairs = np.full((len(new), 2), len(parts), np.int64)
+        pairs[~whole, 0] = place[code[~whole]]
+        pairs[marked, 1] = [used[t] for t in tails]
+        return gathered(pool, np.cumsum(size) - size, size, pairs.ravel()), size[pairs].sum(axis=1), whole
+
+    def _remember(self, new: pa.Array, ids: np.ndarray, n: np.ndarray, whole: np.ndarray) -> None:
+        """Keeps new words, the shorter ones, while there is room."""
+        keep = np.flatnonzero(pc.binary_length(new).to_numpy() <= LONGEST_KNOWN)[: max(0, self.most - len(self.words))]
+        if len(keep):
+            self.words = pa.concat_arrays([self.words, new.take(pa.array(keep))])
+            self.pool = np.concatenate([self.pool, gathered(ids, np.cumsum(n) - n, n, keep)])
+            self.ends = np.append(self.ends, self.ends[-1] + np.cumsum(n[keep]))
+            self.whole = np.append(self.whole, whole[keep])
 
     def encode(self, bodies: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and their number for each; null counts as empty.
 
-        Each distinct word of the texts is looked up once; the rest is done on whole columns.
+        Each distinct word of the texts is looked up once; everything is done on whole columns.
         """
-        bodies = pc.fill_null(bodies, "")
+        bodies = pc.fill_null(bodies, "").cast(pa.string())
         if not len(bodies):
             return np.zeros(0, "<u4"), np.zeros(0, np.int64)
         lists = pc.split_pattern(pc.replace_substring(bodies, "\n", " \n"), " ")
         offsets = lists.offsets.to_numpy().astype(np.int64)
         words = lists.flatten().dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        distinct = words.dictionary.to_pylist()
-        known = self.known
-        self._learn([w for w in distinct if w not in known])
-        number = np.fromiter(map(known.__getitem__, distinct), np.int64, len(distinct))[code]
-        # A text's first word has no blank before it.
-        heads = code[offsets[:-1]]
-        first = [w for w in {distinct[c] for c in heads.tolist()} if self._plain(w)]
-        own = self._library(first)
-        size = np.append(np.diff(self.ends), np.fromiter(map(len, own), np.int64, len(own)))
-        pool = np.concatenate([self.pool, *own])
-        place = {w: len(self.ends) - 1 + k for k, w in enumerate(first)} | {"": -2}
-        number[offsets[:-1]] = [place.get(distinct[c], -1) for c in heads.tolist()]
-        # An empty first word before others is a blank at the text's start.
-        whole = np.logical_or.reduceat(number == -1, offsets[:-1]) | ((np.diff(offsets) > 1) & (number[offsets[:-1]] == -2))
-        size, start = np.append(size, [0, 0]), np.append(np.cumsum(size) - size, [0, 0])  # -1 and -2: no ids
-        ids = gathered(pool, start, size, number)
-        n = np.diff(np.append(0, np.cumsum(size[number]))[offsets])
-        self._forget()
-        if whole.any():
-            at = np.flatnonzero(whole)
-            parts = np.split(ids, np.cumsum(n)[:-1])
-            for i, v in zip(at.tolist(), self._library(bodies.take(pa.array(at)).to_pylist()), strict=True):
+        found = pc.index_in(words.dictionary, value_set=self.words)
+        number = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(number < 0)
+        new = words.dictionary.take(pa.array(missing))
+        ids, n, whole = self._learn(new)
+        number[missing] = len(self.words) + np.arange(len(missing))
+        flags = np.append(self.whole, whole)[number][code]
+        # A text's first word has no blank before it; an empty one before others is a blank at the text's start.
+        heads, which = np.unique(code[offsets[:-1]], return_inverse=True)
+        first = words.dictionary.take(pa.array(heads)).to_pylist()
+        plain = [w for w in first if self._plain(w)]
+        own = self._library(plain)
+        size = np.concatenate([np.diff(self.ends), n, np.array([len(x) for x in own], np.int64), [0]])
+        none = len(size) - 1
+        at = dict(zip(plain, range(none - len(own), none), strict=True))
+        number = number[code]
+        number[offsets[:-1]] = np.array([at.get(w, none) for w in first], np.int64)[which]
+        flags[offsets[:-1]] = (np.array([w not in at and w != "" for w in first], bool)[which]) | (np.array([w == "" for w in first], bool)[which] & (np.diff(offsets) > 1))
+        out = gathered(np.concatenate([self.pool, ids, *own]), np.cumsum(size) - size, size, number)
+        total = np.diff(np.append(0, np.cumsum(size[number]))[offsets])
+        self._remember(new, ids, n, whole)
+        odd = np.flatnonzero(np.logical_or.reduceat(flags, offsets[:-1]))
+        if len(odd):
+            parts = np.split(out, np.cumsum(total)[:-1])
+            for i, v in zip(odd.tolist(), self._library(bodies.take(pa.array(odd)).to_pylist()), strict=True):
                 parts[i] = v
-            ids, n = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
-        return ids, n
+            out, total = np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+        return out, total
 
 
 def encoder(path: str, most: int = MOST_WORDS) -> WordEncoder:
