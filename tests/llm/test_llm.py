@@ -447,6 +447,38 @@ def test_pairs_are_found_from_the_similarity_on(spark):
     assert len(want) == 300 and got == want
 
 
+def test_near_copies_of_the_sample_table(spark):
+    """Pairs of different texts at 0.8 and more in sf0.1, found by their shingles: one text of each group stays."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    sets: dict[frozenset, int] = {}
+    for i, t in rows.select("doc_id", "text").orderBy("doc_id").collect():
+        sets.setdefault(frozenset(simhash.hashes((t or "").encode(), 5).tolist()), i)
+    ids, grams = list(sets.values()), list(sets)
+    at: dict[int, list[int]] = {}
+    for k, g in enumerate(grams):
+        for x in g:
+            at.setdefault(x, []).append(k)
+    pairs = set()
+    for k, g in enumerate(grams):
+        common: dict[int, int] = {}
+        for x in g:
+            for j in at[x]:
+                if j > k:
+                    common[j] = common.get(j, 0) + 1
+        pairs |= {(k, j) for j, n in common.items() if n >= 0.8 * (len(g) + len(grams[j]) - n)}
+    label = list(range(len(ids)))
+    for a, b in sorted(pairs) * 4:
+        label[a] = label[b] = min(label[a], label[b])
+    want = {i for k, i in enumerate(ids) if label[k] == k}
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(rows).select("doc_id").collect()}
+    assert len(pairs) > 40 and len(ids) - len(want) > 30
+    # Every text that goes has a partner, and at least 0.9 of those that have to go do (exact copies don't count).
+    gone = {i for i in ids if i not in kept}
+    must = {i for i in ids if i not in want}
+    print("pairs", len(pairs), "must go", len(must), "gone", len(gone), "found", len(gone & must))
+    assert gone <= must and len(gone & must) >= 0.9 * len(must)
+
+
 def test_repeated_ids_with_other_texts_stay(spark):
     one, two, three = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
     rows = [(1, one), (1, two), (1, two.upper()), (2, two), (3, three), (3, one + " more"), (4, three)]
