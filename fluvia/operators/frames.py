@@ -1,4 +1,4 @@
-"""Operators on frames of cells (frame key, r, c): stencils as neighbour joins, morphology, components, blending."""
+"""Operators on frames of cells (frame key, r, c): stencils on blocks, morphology, components, blending."""
 
 from __future__ import annotations
 
@@ -12,43 +12,85 @@ from fluvia.storage import stored
 
 #: A cell's number is r * ROW + c: frames have fewer columns.
 ROW = 1_000_000
-CROSS = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+#: Cells on a side of the blocks that stencils work on.
+BLOCK = 256
 SQUARE = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
 
 
-def ball(k: int) -> list[tuple[int, int]]:
-    """Steps of k iterations of the 4-neighbour cross."""
-    return [(i, j) for i in range(-k, k + 1) for j in range(-k, k + 1) if abs(i) + abs(j) <= k]
-
-
 def spread(cells: DataFrame, keys: list[str], value: str, steps: list[tuple[int, int]]) -> DataFrame:
     """Each cell's value sent to the cells ``steps`` away: one shuffle on the target cell, no self-join."""
     sent = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])).alias("s")
     return cells.select(*keys, "r", "c", F.col(value).alias("value"), sent).select(*keys, (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c"), "value", "s.i", "s.j")
 
 
+def by_blocks(cells: DataFrame, keys: list[str], columns: list[str], halo: int, run, out: str, block: int = BLOCK) -> DataFrame:
+    """A stencil on arrays: rows keys, r, c and ``out`` (names and types) for each cell.
+
+    Frames are cut into blocks. A cell goes to its block, and to the blocks beside it only if it lies
+    within ``halo`` of their border, so that little more than the cells themselves is shuffled, once.
+    ``run`` gets arrays of the block and its halo: row and column numbers, whether a cell is there, and the
+    columns as doubles (NaN: missing); it returns the arrays of ``out``.
+    """
+    of = lambda k: F.sequence(F.floor((F.col(k) - halo) / block), F.floor((F.col(k) + halo) / block))
+    values = [F.col(c).cast("double").alias(c) for c in columns]
+    dealt = cells.select(*keys, "r", "c", *values, F.explode(of("r")).alias("br")).select("*", F.explode(of("c")).alias("bc"))
+    made = [x.split() for x in out.split(", ")]
+    kinds = [*(cells.schema[k] for k in (*keys, "r", "c")), *(T.StructField(n, {"int": T.IntegerType(), "double": T.DoubleType()}[kind]) for n, kind in made)]
+    side = block + 2 * halo
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        top, left = int(part["br"].iloc[0]) * block - halo, int(part["bc"].iloc[0]) * block - halo
+        r, c = part["r"].to_numpy() - top, part["c"].to_numpy() - left
+        there = np.zeros((side, side), bool)
+        there[r, c] = True
+        arrays = []
+        for name in columns:
+            array = np.full((side, side), np.nan)
+            array[r, c] = part[name].to_numpy()
+            arrays.append(array)
+        got = run(np.arange(top, top + side), np.arange(left, left + side), there, *arrays)
+        own = (r >= halo) & (r < halo + block) & (c >= halo) & (c < halo + block)
+        rows = part.loc[own, [*keys, "r", "c"]]
+        return rows.assign(**{n: g[r[own], c[own]] for (n, _), g in zip(made, got, strict=True)})
+
+    return dealt.groupBy(*keys, "br", "bc").applyInPandas(one, T.StructType(kinds))
+
+
+def _wider(on: np.ndarray, k: int) -> np.ndarray:
+    """Cells within ``k`` steps of the 4-neighbour cross."""
+    for _ in range(k):
+        more = on.copy()
+        more[1:] |= on[:-1]
+        more[:-1] |= on[1:]
+        more[:, 1:] |= on[:, :-1]
+        more[:, :-1] |= on[:, 1:]
+        on = more
+    return on
+
+
 def dilate(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Cells of the frame within k steps of a cell that is on. cells: keys, r, c, m (0/1)."""
-    near = spread(cells.where("m = 1"), keys, "m", ball(k)).select(*keys, "r", "c").distinct().withColumn("d", F.lit(1))
-    return cells.join(near, [*keys, "r", "c"], "left").withColumn("d", F.coalesce("d", F.lit(0)))
+    """Cells of the frame within k steps of a cell that is on, as d. cells: keys, r, c, m (0/1)."""
+    return by_blocks(cells, keys, ["m"], k, lambda r, c, there, m: [_wider(m == 1, k).astype(int)], "d int")
 
 
 def erode(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Cells with no cell off within k steps; what lies outside the frame counts as on."""
-    near = spread(cells.where("m = 0"), keys, "m", ball(k)).select(*keys, "r", "c").distinct().withColumn("off", F.lit(1))
-    return cells.join(near, [*keys, "r", "c"], "left").withColumn("e", F.when(F.col("off") == 1, 0).otherwise(1)).drop("off")
+    """Cells with no cell off within k steps, as e; what lies outside the frame counts as on."""
+    return by_blocks(cells, keys, ["m"], k, lambda r, c, there, m: [1 - _wider(m == 0, k).astype(int)], "e int")
 
 
 def bank_band(cells: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Cells within k steps of the border between on and off: dilated and not eroded."""
-    wide = dilate(cells, keys, k).select(*keys, "r", "c", "d")
-    return erode(cells, keys, k).join(wide, [*keys, "r", "c"]).withColumn("band", ((F.col("d") == 1) & (F.col("e") == 0)).cast("int"))
+    """Cells within k steps of the border between on and off: dilated (d) and not eroded (e)."""
+
+    def run(r, c, there, m):
+        d, e = _wider(m == 1, k), ~_wider(m == 0, k)
+        return [d.astype(int), e.astype(int), (d & ~e).astype(int)]
+
+    return by_blocks(cells, keys, ["m"], k, run, "d int, e int, band int")
 
 
 def boundary(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Cells that are on and have a neighbour that is off inside the frame."""
-    off = spread(cells.where("m = 0"), keys, "m", CROSS).select(*keys, "r", "c").distinct()
-    return cells.where("m = 1").join(off, [*keys, "r", "c"], "left_semi").select(*keys, "r", "c")
+    return by_blocks(cells, keys, ["m"], 1, lambda r, c, there, m: [((m == 1) & _wider(m == 0, 1)).astype(int)], "edge int").where("edge = 1").drop("edge")
 
 
 def displacement(a: DataFrame, b: DataFrame, keys: list[str], resolution: float, reach: int) -> DataFrame:
@@ -83,26 +125,29 @@ def displacement(a: DataFrame, b: DataFrame, keys: list[str], resolution: float,
 def median3(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:
     """3 x 3 median, the border repeated; missing cells take the frame's median before and stay missing after."""
     middle = cells.groupBy(*keys).agg(F.median("v").alias("middle"))
-    filled = cells.join(F.broadcast(middle), keys).withColumn("filled", F.coalesce("v", "middle"))
-    # Each cell asks for its nine neighbours; beyond the border it asks for the border again.
-    sent = filled.select(*keys, "r", "c", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SQUARE])).alias("s"))
-    clamp = lambda x, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), x))
-    asks = sent.select(*keys, "r", "c", clamp(F.col("r") + F.col("s.i"), height).alias("nr"), clamp(F.col("c") + F.col("s.j"), width).alias("nc"))
-    got = asks.join(filled.select(*keys, F.col("r").alias("nr"), F.col("c").alias("nc"), "filled"), [*keys, "nr", "nc"])
-    out = got.groupBy(*keys, "r", "c").agg(F.median("filled").alias("smooth"))
-    return cells.join(out, [*keys, "r", "c"]).withColumn("smooth", F.when(F.col("v").isNotNull(), F.col("smooth")))
+    filled = cells.join(middle, keys).withColumn("filled", F.coalesce("v", "middle"))
+
+    def run(r, c, there, x):
+        near = lambda at, n, i: np.clip(np.clip(at + i, 0, n - 1) - at[0], 0, len(at) - 1)
+        every = np.stack([x[near(r, height, i)][:, near(c, width, j)] for i, j in SQUARE])
+        n = (~np.isnan(every)).sum(axis=0)
+        every.sort(axis=0)  # missing ones last
+        low, high = (np.take_along_axis(every, np.clip(k, 0, 8)[None], axis=0)[0] for k in ((n - 1) // 2, n // 2))
+        return [(low + high) / 2]
+
+    smooth = by_blocks(filled, keys, ["filled"], 1, run, "smooth double")
+    return cells.join(smooth, [*keys, "r", "c"]).withColumn("smooth", F.when(F.col("v").isNotNull(), F.col("smooth")))
 
 
 def sobel(cells: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Horizontal and vertical Sobel gradients; cells outside count as 0."""
-    weight = {(-1, -1): (1, 1), (-1, 0): (0, 2), (-1, 1): (-1, 1), (0, -1): (2, 0), (0, 1): (-2, 0), (1, -1): (1, -1), (1, 0): (0, -2), (1, 1): (-1, -1)}
-    sent = spread(cells, keys, value, list(weight))
-    gx = gy = F.lit(0.0)
-    for (i, j), (x, y) in weight.items():
-        here = (F.col("i") == i) & (F.col("j") == j)
-        gx, gy = F.when(here, -x * F.col("value")).otherwise(gx), F.when(here, -y * F.col("value")).otherwise(gy)
-    sums = sent.groupBy(*keys, "r", "c").agg(F.round(F.sum(-gx), 6).alias("gx"), F.round(F.sum(-gy), 6).alias("gy"))
-    return cells.select(*keys, "r", "c").join(sums, [*keys, "r", "c"], "left").fillna(0.0, ["gx", "gy"])
+    """Horizontal and vertical Sobel gradients, gx and gy; cells outside count as 0."""
+
+    def run(r, c, there, x):
+        x = np.pad(np.nan_to_num(x), 1)
+        across, down = x[:, 2:] - x[:, :-2], x[2:] - x[:-2]
+        return [np.round(across[:-2] + 2 * across[1:-1] + across[2:], 6) + 0.0, np.round(down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:], 6) + 0.0]
+
+    return by_blocks(cells, keys, [value], 1, run, "gx double, gy double")
 
 
 def weighted_bce(rows: DataFrame, keys: list[str], weight: float) -> DataFrame:
@@ -118,7 +163,17 @@ def gradient_loss(cells: DataFrame, keys: list[str], eps: float = 1e-6) -> DataF
     at = [*keys, "r", "c"]
     p = sobel(cells, keys, "prob").withColumnsRenamed({"gx": "px", "gy": "py"})
     t = sobel(cells, keys, "truth").withColumnsRenamed({"gx": "tx", "gy": "ty"})
-    near = spread(cells.withColumn("bad", (~F.col("valid")).cast("int")), keys, "bad", SQUARE).groupBy(*at).agg(F.max("value").alias("bad"))
+
+    def odd(r, c, there, valid):
+        bad = valid == 0
+        bad[:, 1:] |= (valid == 0)[:, :-1]
+        bad[:, :-1] |= (valid == 0)[:, 1:]
+        rows = bad.copy()
+        bad[1:] |= rows[:-1]
+        bad[:-1] |= rows[1:]
+        return [bad.astype(int)]
+
+    near = by_blocks(cells, keys, ["valid"], 1, odd, "bad int")
     both = cells.select(*at).join(p, at).join(t, at).join(near, at, "left")
     size = lambda x, y: F.sqrt(F.col(x) ** 2 + F.col(y) ** 2 + eps)
     diff = F.abs(F.col("px") - F.col("tx")) + F.abs(F.col("py") - F.col("ty")) + F.abs(size("px", "py") - size("tx", "ty"))

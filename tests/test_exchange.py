@@ -249,3 +249,32 @@ def test_files_are_found_by_month(spark, tmp_path):
     assert found.month == "2025-03" and Path(found.name).name == "at_risk_households_2025-03.csv"
     assert tables.last_named(tables.files(spark, f"file://{tmp_path}", "*.json"), "metrics_m_").first().name == "metrics_m_2.json"
     assert tables.newest(tables.files(spark, f"file://{tmp_path}", "*.json")).count() == 0
+
+
+@pytest.mark.parametrize("block", [4, 7, 256])
+def test_stencils_do_not_see_the_blocks(spark, block, monkeypatch):
+    """Morphology, boundary, median and gradients against plain loops, on frames with holes, whatever the blocks."""
+    rng = random.Random(block)
+    monkeypatch.setattr(frames.by_blocks, "__defaults__", (block,))
+    cells = {(f, r, c): rng.random() < 0.6 for f in (0, 1) for r in range(13) for c in range(11) if rng.random() < 0.95}
+    v = {k: None if rng.random() < 0.1 else round(rng.random(), 3) for k in cells}
+    df = spark.createDataFrame([(*k, int(m), v[k]) for k, m in cells.items()], "f int, r int, c int, m int, v double")
+    ball = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if abs(i) + abs(j) <= 2]
+    near = lambda k, steps: [(k[0], k[1] + i, k[2] + j) for i, j in steps]
+    got = {(x.f, x.r, x.c): x for x in frames.bank_band(df, ["f"], 2).collect()}
+    assert got.keys() == cells.keys()
+    for k, x in got.items():
+        d, e = any(cells.get(q) for q in near(k, ball)), not any(cells.get(q) is False for q in near(k, ball))
+        assert (x.d, x.e, x.band) == (d, e, d and not e)
+    cross = [(0, 1), (1, 0), (0, -1), (-1, 0)]
+    assert {(x.f, x.r, x.c) for x in frames.boundary(df, ["f"]).collect()} == {k for k, m in cells.items() if m and any(cells.get(q) is False for q in near(k, cross))}
+    assert {(x.f, x.r, x.c): x.d for x in frames.dilate(df, ["f"], 1).collect()} == {k: int(any(cells.get(q) for q in near(k, [*cross, (0, 0)]))) for k in cells}
+    for x in frames.sobel(df.withColumn("m", F.col("m").cast("double")), ["f"], "m").collect():
+        at = lambda i, j, x=x: float(cells.get((x.f, x.r + i, x.c + j), False))
+        assert x.gx == sum((2 - abs(i)) * j * at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)) and x.gy == sum((2 - abs(j)) * i * at(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1))
+    middle = {f: float(np.median([y for k, y in v.items() if k[0] == f and y is not None])) for f in (0, 1)}
+    for x in frames.median3(df, ["f"], 13, 11).collect():
+        k = (x.f, x.r, x.c)
+        ask = [(x.f, min(12, max(0, x.r + i)), min(10, max(0, x.c + j))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        want = np.median([middle[x.f] if v[q] is None else v[q] for q in ask if q in v])
+        assert x.smooth is None if v[k] is None else abs(x.smooth - want) < 1e-9
