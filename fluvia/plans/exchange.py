@@ -241,3 +241,15 @@ def totals_by_kind(spark, d):
     rows = masks(spark, d).select("f", F.when(F.col("m") == 1, "water").otherwise("land").alias("kind"), (F.col("r") * 0.25 + F.col("c")).alias("area"))
     return series.totals(rows, ["f", "kind"], "area")
 
+
+
+@query(f"WITH {HO} SELECT '2025-04' AS month, count(*) AS rows, round(sum(erosion_ha), 4) AS erosion_ha, sum(households_est)::BIGINT AS households, 1::BIGINT AS months_there FROM ho")
+def published(spark, d):
+    """Two months published one after the other: the second is there, the first is gone."""
+    out = new_folder(spark, "site")
+    for month in ("2025-03", "2025-04"):
+        source = new_folder(spark, f"handoff-{month}")
+        tables.write_handoff(handoff(spark, d), source, month, ["gid_union"])
+        tables.publish(spark, source, out, month)
+    there = tables.files(spark, out, "part-*").where(F.col("path").contains("/at_risk_")).agg(F.count_distinct(F.regexp_extract("path", "at_risk_([^/]+)", 1)).alias("months_there"))
+    return spark.read.schema("month string, rows bigint, erosion_ha double, households bigint").json(f"{out}/summary_*").join(there, F.lit(True))

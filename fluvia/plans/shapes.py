@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluvia.functions import text
-from fluvia.operators import frames, spatial, thresholds
+from fluvia.operators import forecast, frames, spatial, thresholds
+from fluvia.operators import rings as rings_of
 from fluvia.plans.oracle import F1, MK, PX, SD, SUP
 from fluvia.plans.registry import masks, pixels, places, points, rings, scored, table
 
@@ -191,3 +193,19 @@ def markdown_words(spark, d):
     return table(spark, d, "part").select("p_partkey", text.word_count(body).alias("n"))
 
 
+
+
+@query(f"WITH {Z} SELECT f, zone, count(*)::DOUBLE AS area FROM z GROUP BY ALL")
+def zone_rings(spark, d):
+    """The rings' areas, holes taken off, are the zones' numbers of cells."""
+    return rings_of.zone_rings(_zones(spark, d), ["f", "zone"]).groupBy("f", "zone").agg(F.sum("area").alias("area"))
+
+
+@query(None)
+def recurrent_forecast(spark, d):
+    """A small forecaster with made-up weights over the frames; tested against plain loops."""
+    rng = np.random.default_rng(7)
+    pair = lambda *shape: (rng.normal(size=shape) / 4, rng.normal(size=shape[0]) / 4)
+    weights = {"layers": [pair(16, 5, 3, 3), pair(16, 8, 3, 3)], "inner": pair(4, 4, 3, 3), "outer": pair(3, 4, 1, 1), "norm": (np.ones(4), np.zeros(4))}
+    rows = masks(spark, d).select(F.lit(0).alias("tile"), F.col("f").alias("t"), "r", "c", F.col("m").cast("double").alias("v"))
+    return forecast.recurrent_forecast(rows, ["tile"], weights, 3).withColumn("prob", F.round("prob", 6))

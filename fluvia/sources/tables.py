@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluvia.functions.text import csv_float, csv_text
+from fluvia.operators.risk import require
+from fluvia.storage import remove
 
 #: Columns of the hand-off table, in their order, with their types.
 HANDOFF = {
@@ -95,6 +97,19 @@ def handoff_checks(rows: DataFrame, month: str) -> DataFrame:
     return rows.agg(*counts)
 
 
+def publish(spark: SparkSession, source: str, out: str, month: str) -> str:
+    """Checks a hand-off table, writes it and a summary under ``out``, and removes those of other months."""
+    rows = read_handoff(spark, source)
+    require(handoff_checks(rows, month))
+    name = f"at_risk_{month}"
+    for stem in ("at_risk_", "summary_"):
+        remove(spark, f"{out}/{stem}*")
+    write_handoff(rows, f"{out}/{name}", month, ["gid_union"])
+    summary = rows.agg(F.lit(month).alias("month"), F.count("*").alias("rows"), F.round(F.sum("erosion_ha"), 4).alias("erosion_ha"), F.sum("households_est").alias("households"))
+    one_file(summary.select(F.lit(0).alias("place"), F.to_json(F.struct("*")).alias("value")), f"{out}/summary_{month}")
+    return f"{out}/{name}"
+
+
 def payload_checks(payload: DataFrame) -> DataFrame:
     """Which rules each payload (table_month, summary_month, bands, model, metrics_model, rows_said, rows_there,
     schema, schema_read, box) breaks, as booleans."""

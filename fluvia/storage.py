@@ -22,3 +22,15 @@ def stored(rows: DataFrame, name: str = "rows") -> DataFrame:
     path = new_folder(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, pattern: str, keep: str | None = None) -> list[str]:
+    """Removes files or folders that match, but for the one named ``keep``; their names."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(pattern)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [x.getPath() for x in system.globStatus(path) or []]
+    gone = [x for x in found if x.getName() != keep]
+    for x in gone:
+        system.delete(x, True)
+    return sorted(x.getName() for x in gone)

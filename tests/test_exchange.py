@@ -1,4 +1,5 @@
 import io
+import math
 import random
 import zipfile
 from collections import Counter
@@ -10,7 +11,7 @@ from conftest import SF
 from pyspark.sql import functions as F
 
 from fluvia.functions import present, raster, text
-from fluvia.operators import frames, order, risk, spatial, thresholds
+from fluvia.operators import forecast, frames, order, rings, risk, spatial, thresholds
 from fluvia.plans import exchange
 from fluvia.sources import places, tables
 from fluvia.streaming.composite import run_to_end
@@ -278,3 +279,66 @@ def test_stencils_do_not_see_the_blocks(spark, block, monkeypatch):
         ask = [(x.f, min(12, max(0, x.r + i)), min(10, max(0, x.c + j))) for i in (-1, 0, 1) for j in (-1, 0, 1)]
         want = np.median([middle[x.f] if v[q] is None else v[q] for q in ask if q in v])
         assert x.smooth is None if v[k] is None else abs(x.smooth - want) < 1e-9
+
+
+def test_rings_hold_their_cells(spark):
+    rng = random.Random(11)
+    cells = {(z, r, c) for z in range(4) for r in range(9) for c in range(9) if rng.random() < 0.6} | {(9, r, c) for r in range(5) for c in range(5) if (r, c) != (2, 2)} | {(8, 0, 0), (8, 1, 1)}
+    rows = rings.zone_rings(spark.createDataFrame(sorted(cells), "zone int, r int, c int"), ["zone"]).collect()
+    for z in {z for z, _, _ in cells}:
+        assert sum(x.area for x in rows if x.zone == z) == sum(q == z for q, _, _ in cells)
+        for x in (x for x in rows if x.zone == z):
+            corners = [(p.x, p.y) for p in x.corners]
+            assert all((a[0] == b[0]) != (a[1] == b[1]) for a, b in zip(corners, corners[1:] + corners[:1], strict=True))
+    assert sorted(x.area for x in rows if x.zone == 9) == [-1.0, 25.0] and [len(x.corners) for x in rows if x.zone == 9] == [4, 4]
+    assert [x.area for x in rows if x.zone == 8] == [2.0]
+
+
+def test_recurrent_forecast_is_plain_loops():
+    rng = np.random.default_rng(2)
+    pair = lambda *shape: (rng.normal(size=shape), rng.normal(size=shape[0]))
+    weights = {"layers": [pair(8, 3, 3, 3), pair(8, 4, 3, 3)], "inner": pair(2, 2, 3, 3), "outer": pair(3, 2, 1, 1), "norm": (rng.normal(size=2), rng.normal(size=2))}
+    x = rng.normal(size=(4, 1, 5, 6))
+
+    def conv(a, w, b):
+        out = np.zeros((len(b), *a.shape[1:]))
+        for o in range(len(b)):
+            for y in range(a.shape[1]):
+                for z in range(a.shape[2]):
+                    out[o, y, z] = b[o] + sum(w[o, q, i, j] * a[q, y + i - w.shape[2] // 2, z + j - w.shape[3] // 2] for q in range(len(a)) for i in range(w.shape[2]) for j in range(w.shape[3]) if 0 <= y + i - w.shape[2] // 2 < a.shape[1] and 0 <= z + j - w.shape[3] // 2 < a.shape[2])
+        return out
+
+    s = lambda a: 1 / (1 + np.exp(-a))
+    state = [(np.zeros((2, 5, 6)), np.zeros((2, 5, 6))) for _ in range(2)]
+    for frame in x:
+        a = frame
+        for d, (w, b) in enumerate(weights["layers"]):
+            g = conv(np.concatenate([a, state[d][0]]), w, b)
+            cell = s(g[2:4]) * state[d][1] + s(g[:2]) * np.tanh(g[6:])
+            a = s(g[4:6]) * np.tanh(cell)
+            state[d] = (a, cell)
+    y = conv(a, *weights["inner"])
+    y = np.stack([(c - c.mean()) / np.sqrt(c.var() + 1e-5) * k + m for c, k, m in zip(y, *weights["norm"], strict=True)])
+    y = y * np.vectorize(lambda q: 0.5 * (1 + math.erf(q / math.sqrt(2))))(y)
+    assert np.allclose(forecast.logits(x, weights), conv(y, *weights["outer"]))
+
+
+def test_forecast_refuses_other_spans(spark):
+    rows = spark.createDataFrame([(0, t, 0, 0, 1.0) for t in range(2)], "tile int, t int, r int, c int, v double")
+    with pytest.raises(Exception, match="3 frames are needed"):
+        forecast.recurrent_forecast(rows, ["tile"], {}, 3).collect()
+
+
+def test_resized_grid():
+    rng = np.random.default_rng(3)
+    grid = rng.normal(size=(4, 4, 3))
+    assert np.allclose(forecast.resized(grid, 4), grid)
+    assert np.allclose(forecast.resized(np.ones((3, 3, 2)), 7), 1)
+    k = lambda x: 1.25 * x**3 - 2.25 * x**2 + 1 if x <= 1 else -0.75 * (x**3 - 5 * x**2 + 8 * x - 4) if x < 2 else 0
+    at = lambda o, n, m: (o + 0.5) * n / m - 0.5
+    got = forecast.resized(grid, 6)
+    for u in range(6):
+        for v in range(6):
+            y, z = at(u, 4, 6), at(v, 4, 6)
+            want = sum(k(abs(y - p)) * k(abs(z - q)) * grid[min(3, max(0, p)), min(3, max(0, q))] for p in range(-3, 8) for q in range(-3, 8))
+            assert np.allclose(got[u, v], want)
