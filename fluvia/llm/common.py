@@ -27,9 +27,12 @@ _memos: dict[str, dict] = {}
 
 def memo(name: str | None) -> dict:
     """What a Python worker remembers for the operator ``name`` between its tasks. A worker serves several
-    operators one after the other; the others' memories are given up, so that one is held at a time."""
+    operators one after the other; the others' memories are given up, so that one is held at a time.
+    A dictionary in a memory is emptied, as others can hold it too."""
     for other in [k for k in _memos if k != name]:
-        del _memos[other]
+        for held in _memos.pop(other).values():
+            if isinstance(held, dict):
+                held.clear()
     return {} if name is None else _memos.setdefault(name, {})
 
 
@@ -253,7 +256,9 @@ def gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, code: np.nda
     """The runs ``pool[start[c] : start[c] + size[c]]`` of all ``code``, one after the other."""
     n = size[code]
     total = np.cumsum(n)
-    return pool[np.repeat(start[code] - (total - n), n) + np.arange(total[-1] if len(total) else 0)]
+    at = np.repeat(start[code] - (total - n), n)
+    at += np.arange(len(at))
+    return pool[at]
 
 
 def id_lists(flat: np.ndarray, n: np.ndarray) -> pa.ListArray:

@@ -353,6 +353,7 @@ def _counts(some: DataFrame, totals: dict[int, tuple[int, int]]) -> pa.Table:
     toxic = toxic.orderBy(F.desc("n"), "term").limit(MOST_TERMS).drop("n").toArrow()
     among = some.sparkSession.sparkContext.broadcast(frozenset(toxic.column("term").to_pylist()))
     clean = _counted(some.where("toxic = 0"), among).toArrow() if toxic.num_rows else toxic
+    among.destroy()
     toxic, clean = (t.rename_columns(["term", *(f"{s}{k}" for k in FOLDS)]) for t, s in ((toxic, "t"), (clean, "c")))
     both = toxic.join(clean, "term", join_type="left outer").sort_by("term")
     return pa.table({c: both.column(c) if c == "term" else pc.fill_null(both.column(c), 0) for c in both.column_names})
@@ -387,6 +388,7 @@ def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) ->
             lexicon.clear()
 
     got = some.transform(in_arrow, run, "toxic int, fold int, doc_id bigint, x array<double>").toArrow().sort_by("doc_id")
+    shared.destroy()
     y = (got.column("toxic").to_numpy() > 0).astype(float)
     fold = got.column("fold").to_numpy()
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES)) if len(y) else np.zeros((0, len(FEATURES)))
@@ -412,7 +414,7 @@ def with_score(documents: DataFrame, model: Model, name: str = "score") -> DataF
 
     @F.arrow_udf("double")
     def score(body: pa.Array) -> pa.Array:
-        memo(None)
+        memo("toxicity")["lexicon"] = shared.value.lexicon  # emptied when another operator begins
         own = [shared.value.score(part.column("text")) for part in slices([pa.RecordBatch.from_arrays([body], ["text"])], "text")]
         return pa.array(np.concatenate(own) if own else np.zeros(0))
 
