@@ -15,8 +15,8 @@ BUCKETS = 1 << 20
 
 
 def _survivors(groups: DataFrame, key: Column, name: str) -> DataFrame:
-    """The buckets of the keys that occur twice, to be broadcast."""
-    return F.broadcast(stored(groups.where("n > 1").select(_bucket(key).alias(name)).distinct(), name))
+    """The buckets of the keys that occur twice, to be broadcast; used once, so nothing is written."""
+    return F.broadcast(groups.where("n > 1").select(_bucket(key).alias(name)).distinct())
 
 
 def _bucket(key: Column) -> Column:
