@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
@@ -72,7 +73,7 @@ def fingerprints(documents: DataFrame, size: int = 3, distinct: bool = False) ->
     hash of the sorted set of shingle hashes, equal for texts with the same shingles.
 
     With ``distinct`` a shingle counts once however often a text repeats it, as in a Jaccard similarity,
-    and the rows have the text's ``bands`` too. A null text counts as empty: fingerprint zero.
+    and the rows have the text's ``bands`` and :func:`text_key` too. A null text counts as empty: fingerprint zero.
     """
 
     def run(batches):
@@ -86,11 +87,12 @@ def fingerprints(documents: DataFrame, size: int = 3, distinct: bool = False) ->
                     keys.append(bands(once).tobytes())
                 fps.append(fingerprint(once if distinct else h))
                 content.append(xxhash.xxh64_intdigest(once.tobytes(), SEED))
-            more = [pa.array(keys, pa.binary())] if distinct else []
+            more = [pa.array(keys, pa.binary()), part.column("text_key")] if distinct else []
             yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fps, content)), *more], names)
 
-    names = ["doc_id", "fp", "content", *(["bands"] if distinct else [])]
-    return safe(documents, "doc_id", "text").select("doc_id", "text").transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint" + (", bands binary" if distinct else ""))
+    names = ["doc_id", "fp", "content", *(["bands", "text_key"] if distinct else [])]
+    rows = safe(documents, "doc_id", "text").select("doc_id", "text", *([text_key().alias("text_key")] if distinct else []))
+    return rows.transform(in_arrow, run, "doc_id bigint, fp bigint, content bigint" + (", bands binary, text_key bigint" if distinct else ""))
 
 
 class Segments:
@@ -273,39 +275,51 @@ def near_classes(documents: DataFrame, size: int = 3, radius: int = 3) -> DataFr
     fingerprints that differ in ``radius`` bits at most (3 at most: then every link is found).
 
     Equal fingerprints are one node, so a group of copies costs one row. Null and empty texts have
-    fingerprint zero and are linked like any other. A null doc_id is never a component's id unless all
-    of the component's are null. Repeated rows give repeated results; an empty table gives none.
+    fingerprint zero and are linked like any other, as are rows whose doc_id is null; a null is never a
+    component's id unless all of the component's doc_ids are null. Repeated rows give repeated results; an empty table gives none.
     """
     prints = stored(fingerprints(documents, size), "fingerprints").select("doc_id", "fp")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = stored(nodes, "nodes")
-    links = near_links(nodes.where("rep is not null"), radius, HALVES)
-    parts = connected_components(links)
-    nodes = nodes.join(parts, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(nodes, F.col("fp") == F.col("n_fp"), "left").select("doc_id", "fp", "component_id")
+    nodes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
+    parts = stored(connected_components(near_links(nodes.select("fp", F.col("fp").alias("rep")), radius, HALVES)), "parts")
+    joined = nodes.join(parts, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("n_fp"), "rep", F.coalesce("component", "fp").alias("part"))
+    least = joined.groupBy("part").agg(F.min("rep").alias("component_id"))
+    heads = joined.join(least, "part").select("n_fp", "component_id")
+    return prints.join(heads, F.col("fp") == F.col("n_fp"), "left").select("doc_id", "fp", "component_id")
 
 
-def key_groups(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node, low, n) of nodes (content, bands) for each key that ``n`` > 1 nodes share; low: the
-    key's smallest node. Of keys with the same nodes one is kept."""
+def band_keys(packed: bytes) -> np.ndarray:
+    """The keys of a ``bands`` value."""
+    return np.frombuffer(packed, np.int64)
+
+
+def key_groups(nodes: DataFrame, keys_of: Callable[[bytes], np.ndarray] = band_keys) -> DataFrame:
+    """Rows (key, node, low, n) of nodes (content and what ``keys_of`` takes keys from) for each key that ``n`` > 1 nodes
+    share; low: the key's smallest node. Of keys with the same nodes one is kept."""
 
     def entered(batches):
         for b in batches:
             node = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            keys = [np.frombuffer(x, np.int64) for x in b.column(1).to_pylist()]
+            if not len(node):
+                continue
+            keys = [keys_of(x) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(node, [len(x) for x in keys]))], ["key", "node"])
 
-    keyed = stored(nodes.select("content", "bands").transform(in_arrow, entered, "key bigint, node bigint"), "keys")
+    keyed = stored(nodes.select(*nodes.columns[:2]).transform(in_arrow, entered, "key bigint, node bigint"), "keys")
     h = F.xxhash64("node")
     sized = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("low"), F.bit_xor(h).alias("x"), F.sum(h % (1 << 31)).alias("y")).where("n > 1")
     some = stored(sized.groupBy("n", "low", "x", "y").agg(F.min("key").alias("key")).select("key", "low", "n"), "shared-keys")
     return stored(keyed.join(some, "key").select("key", "node", "low", "n"), "key-groups")
 
 
-def shingle_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """Rows (node, grams) for the texts of ``ids`` (one column of doc_ids) at least; grams: the sorted hashes
-    of the text's shingles, node: their hash, as ``content`` in :func:`fingerprints`."""
-    bloom = Bloom(ids, F.xxhash64(ids.columns[0]))
+def text_key():
+    """A hash of a document's text, null counting as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def shingle_sets(documents: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """Rows (node, grams) for the texts of ``keys`` (one column of :func:`text_key`) at least; grams: the sorted
+    hashes of the text's shingles, node: their hash, as ``content`` in :func:`fingerprints`."""
+    bloom = Bloom(keys, F.col(keys.columns[0]))
     bits, shared = bloom.bits, bloom.shared
 
     def sets(batches):
@@ -317,7 +331,7 @@ def shingle_sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
             node = np.array([xxhash.xxh64_intdigest(x, SEED) for x in grams], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(grams, pa.binary())], ["node", "grams"])
 
-    some = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null").withColumn("h", F.xxhash64("doc_id"))
+    some = documents.select("text", text_key().alias("h"))
     return stored(some.transform(in_arrow, sets, "node bigint, grams binary").groupBy("node").agg(F.max("grams").alias("grams")), "shingle-sets")
 
 
@@ -332,62 +346,103 @@ def verified_links(links: DataFrame, grams: DataFrame, similarity: float) -> Dat
             for x, y in zip(b.column("gu").to_pylist(), b.column("gv").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common >= similarity * (len(x) + len(y) - common))
+                keep.append(common + 1e-9 >= similarity * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_())).select(["u", "v"])
 
     return both.select("u", "v", "gu", "gv").transform(in_arrow, similar, "u bigint, v bigint")
 
 
-def group_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links between nodes at the similarity that join all labels that any pair of these nodes joins.
+def group_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, probe: np.ndarray | None = None, base: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links between nodes at the similarity that join all labels that any pair of a ``probe`` and a
+    ``base`` node joins.
 
-    Each node outside the commonest label is compared with all nodes of other labels, so a pair is left
-    out only if its ends are joined already.
+    Without ``probe``, the nodes outside the commonest label are probes; without ``base``, all nodes are base nodes. Each
+    probe is compared with the base nodes of other labels, those that are probes too once, so
+    a pair is left out only if its ends are joined already.
     """
     _, at, times = np.unique(label, return_inverse=True, return_counts=True)
     if len(times) < 2:
         return []
+    probe = at != times.argmax() if probe is None else probe
+    base = np.ones(len(node), bool) if base is None else base
     size = np.array([len(x) for x in sets])
     _, ids = np.unique(np.concatenate(sets), return_inverse=True)
     ends = np.cumsum(size)
     mark = np.zeros(int(ids.max()) + 1, bool)
     root = at.copy()
     out = []
-    for i in np.flatnonzero(at != times.argmax()):
+    for i in np.flatnonzero(probe):
         if (root == root[i]).all():
             break
+        asked = base & (root != root[i]) & (~probe | (node > node[i]))
+        if not asked.any():
+            continue
         mine = ids[ends[i] - size[i] : ends[i]]
         mark[mine] = True
         common = np.diff(np.append(0, np.cumsum(mark[ids])[ends - 1]))
         mark[mine] = False
-        near = np.flatnonzero((root != root[i]) & (common >= similarity * (size + size[i] - common)))
+        near = np.flatnonzero(asked & (common + 1e-9 >= similarity * (size + size[i] - common)))
         for j in near[np.unique(root[near], return_index=True)[1]]:
             out.append((int(node[i]), int(node[j])))
             root[root == root[j]] = root[i]
     return out
 
 
-def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: float, block: int = BLOCK) -> DataFrame:
+def _open_keys(labelled: DataFrame) -> DataFrame:
+    """Rows (key, n, common, probes) for each key of (key, node, label) whose nodes have several labels: how many
+    nodes it has, their commonest label and how many have another one."""
+    each = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
+    top = each.groupBy("key").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("top"))
+    return top.where("n > top.n").select("key", "n", F.col("top.label").alias("common"), (F.col("n") - F.col("top.n")).alias("probes"))
+
+
+def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similarity: float, block: int = BLOCK, more: DataFrame | None = None, keys_of: Callable[[bytes], np.ndarray] = band_keys) -> DataFrame:
     """Links (u, v) at the similarity between nodes that share a key of ``groups`` and are in different
     components of ``parts`` (node, component): with them, every such pair is in one component.
 
     Keys whose nodes are all in one component are done, and so are keys of two nodes, whose only pair
-    was compared. The nodes of the others are dealt to blocks, and each two blocks are a task's work.
+    was compared. The nodes of the others are dealt to blocks; those outside a key's commonest component
+    (its probes) also go to all other blocks of the key and are compared with what is there, so that a
+    key costs its nodes and its probes once for each block.
+
+    With ``more`` (node and what ``keys_of`` takes keys from) a key with more probes than ``block`` is first
+    cut into longer keys, of its own and one more key of the node: texts that only share a passage part there. A
+    pair that is at the similarity then has to share one more key, which it lacks as rarely as the first.
     """
-    placed = stored(groups.where("n > 2").join(parts, "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("label")), "placed")
-    still = stored(placed.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("key"), "open-keys")
+    labelled = stored(groups.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "placed")
+    still = stored(_open_keys(labelled), "open-keys")
+    dealt = labelled.join(still, "key")
+    if more is not None:
+
+        def longer(batches):
+            for b in batches:
+                key, node, label = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+                if not len(key):
+                    continue
+                own = np.stack([keys_of(x) for x in b.column(3).to_pylist()]).view(np.uint64)
+                new = ((own ^ key.view(np.uint64)[:, None]) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+                n = own.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(new.ravel()), pa.array(np.repeat(node, n)), pa.array(np.repeat(label, n))], ["key", "node", "label"])
+
+        hot = dealt.where(F.col("probes") > block).select("key", "node", "label").join(more.toDF("node", "packed"), "node").select("key", "node", "label", "packed")
+        cut = stored(hot.transform(in_arrow, longer, "key bigint, node bigint, label bigint"), "longer-keys")
+        dealt = dealt.where(F.col("probes") <= block).unionByName(cut.join(stored(_open_keys(cut), "open-keys"), "key"))
     last = F.ceil(F.col("n") / block).cast("int") - 1
     mine = F.pmod(F.xxhash64("node", "key"), last + 1).cast("int")
-    other = F.explode(F.when(last == 0, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), last), lambda k: k != F.col("mine"))))
-    dealt = placed.join(still, "key").withColumn("mine", mine).withColumn("other", other).select(F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("task"), "node", "label")
-    rows = dealt.join(grams, "node").select("task", "node", "label", "grams")
+    probe = F.col("label") != F.col("common")
+    to = F.explode(F.when(probe, F.sequence(F.lit(0), last)).otherwise(F.array(mine)))
+    tasks = dealt.select("key", "node", "label", probe.alias("probe"), mine.alias("mine"), to.alias("to")).select(F.xxhash64("key", "to").alias("task"), "node", "label", "probe", (F.col("mine") == F.col("to")).alias("base"))
+    rows = tasks.join(grams, "node").select("task", "node", "label", "probe", "base", "grams")
 
     def run(batches):
         memo(None)
         held = None
 
         def found(rows):
-            links = group_links(rows.column(1).to_numpy(), rows.column(2).to_numpy(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(3)], similarity) if rows.num_rows > 1 else []
+            links = []
+            if rows.num_rows > 1:
+                node, label, probe, base = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
+                links = group_links(node, label, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(5)], similarity, probe.astype(bool), base.astype(bool))
             u, v = np.array(links, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
@@ -423,14 +478,14 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     given, documents = documents, safe(documents, "doc_id", "text")
     documents_id = F.col("doc_id").cast("bigint")
     prints = stored(fingerprints(documents, size, distinct=True).where("doc_id is not null"), "fingerprints")
-    nodes = stored(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.min("bands").alias("bands")), "nodes")
-    groups = key_groups(nodes)
+    nodes = stored(prints.groupBy("content").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("rep"), F.min("text_key").alias("text_key"), F.min("bands").alias("bands")), "nodes")
+    groups = key_groups(nodes.select("content", "bands"))
     stars = groups.where("node != low").select(F.col("low").alias("u"), F.col("node").alias("v"))
     links = stored(near_links(nodes.select("fp", F.col("content").alias("rep")), radius, FIFTHS).union(stars).distinct(), "candidates")
     ends = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
-    grams = shingle_sets(documents, stored(nodes.join(ends, "content", "left_semi").select("rep"), "link-ends"), size)
+    grams = shingle_sets(documents, stored(nodes.join(ends, "content", "left_semi").select("text_key"), "link-ends"), size)
     first = stored(verified_links(links, grams, similarity), "verified")
-    more = stored(missed_links(groups, connected_components(first), grams, similarity), "missed")
+    more = stored(missed_links(groups, connected_components(first), grams, similarity, BLOCK, nodes.select(F.col("content").alias("node"), "bands")), "missed")
     parts = stored(connected_components(first.union(more)), "parts")
     joined = nodes.join(parts, F.col("content") == F.col("node"), "left").select(F.col("content").alias("n_content"), "rep", F.coalesce("component", "content").alias("part"))
     least = joined.groupBy("part").agg(F.min(F.struct("rep", "n_content")).alias("head"))
