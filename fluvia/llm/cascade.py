@@ -156,7 +156,7 @@ def replayed(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         if rest.isEmpty():
             return done
         parents = done.select(F.col("conv").alias("c"), F.col("p").alias("q"), F.when(F.col("status") == DELIVERED, KNOWN).otherwise(LOST).cast("tinyint").alias("is"), F.col("last_at").alias("at"))
-        asked = rest.where(F.col("outer") == OTHERS).join(parents, (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("q")), "left")
+        asked = rest.where(F.col("outer") == OTHERS).join(parents.hint("merge"), (F.col("conv") == F.col("c")) & (F.col("parent") == F.col("q")), "left")
         asked = asked.withColumn("outer", F.coalesce("is", "outer")).withColumn("outer_at", F.coalesce(F.when(F.col("is") == KNOWN, F.col("at")), "outer_at"))
         todo = stored(asked.select(names).union(rest.where(F.col("outer") != OTHERS).select(names)), "waiting")
 
@@ -199,11 +199,11 @@ def running(rows: DataFrame, order: list[str], weight: str, block_rows: int | No
     each = parted.groupBy("conv", "fl_part").agg(F.max(F.struct("fl_no", "fl_light", "fl_state")).alias("own"))
     each = each.select("conv", "fl_part", "own.*").toDF("conv", "part", "n", "light", "state")
     several = each.groupBy("conv").agg(F.count("*").alias("parts")).where("parts > 1").select("conv")
-    sums = stored(each.join(several, "conv", "left_semi"), "sums")
+    sums = stored(each.join(several.hint("merge"), "conv", "left_semi"), "sums")
     if sums.isEmpty():
         return parted.select(*names, "fl_no", "fl_state")
     before = stored(_before(sums), "before").toDF("c", "q", "n0", "light0", "state0")
-    open_ = parted.join(before, (F.col("conv") == F.col("c")) & (F.col("fl_part") == F.col("q")), "left")
+    open_ = parted.join(before.hint("merge"), (F.col("conv") == F.col("c")) & (F.col("fl_part") == F.col("q")), "left")
     n0 = F.coalesce("n0", F.lit(0))
     state = _wrapped(_wide("fl_state") + _wide(F.coalesce("state0", F.lit(0))) + _wide(n0) * _wide("fl_light"))
     return open_.select(*names, (F.col("fl_no") + n0).alias("fl_no"), F.when(n0 == 0, F.col("fl_state")).otherwise(state).alias("fl_state"))
@@ -242,7 +242,7 @@ def _before(sums: DataFrame) -> DataFrame:
     out = levels[-1].drop("unit")
     for own in reversed(levels[:-1]):
         up = out.toDF("c", "q", "n1", "light1", "state1")
-        both = own.join(up, (F.col("conv") == F.col("c")) & (F.col("unit") == F.col("q")))
+        both = own.join(up.hint("merge"), (F.col("conv") == F.col("c")) & (F.col("unit") == F.col("q")))
         state = _wrapped(_wide("state1") + _wide("state0") + _wide("n1") * _wide("light0"))
         out = both.select("conv", "part", (F.col("n0") + F.col("n1")).alias("n0"), _wrapped(_wide("light0") + _wide("light1")).alias("light0"), state.alias("state0"))
     return out.toDF("conv", "part", "n", "light", "state")
@@ -258,7 +258,7 @@ def released(turns: DataFrame, block: int = BLOCK, block_rows: int | None = None
     conversation; a null weight counts as 0. An empty table gives none.
     """
     own = turns.drop("parent", "arrival", "repair", "fails").withColumn("weight", F.coalesce("weight", F.lit(0)).cast("bigint"))
-    done = stored(replayed(turns, block).join(own, ["conv", "p"]), "replayed")
+    done = stored(replayed(turns, block).join(own.hint("merge"), ["conv", "p"]), "replayed")
     numbered = running(done.where(F.col("status") == DELIVERED), ["last_at", "p"], "weight", block_rows)
     names = F.element_at(F.create_map(*(F.lit(x) for kv in NAMES.items() for x in kv)), F.col("status"))
     some = ["conv", "p", *(c for c in own.columns if c not in ("conv", "p", "weight")), names.alias("status"), "attempts", "first_at", "last_at"]

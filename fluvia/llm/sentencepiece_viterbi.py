@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import deque
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,16 @@ class Codec:
 
     The encoding is the segmentation with the highest sum of scores; of equal sums, the one whose last
     piece is longest, and so on from the end. Characters in no piece become their bytes' pieces, or
-    the unknown piece if the model has none. For a model of the unigram kind these are its ids; for
-    one of the merge kind they are ids of its pieces, but not the ones its merges lead to.
+    the unknown piece if the model has none, once for unknown characters beside each other. Texts first go
+    through the model's own normalizer (character map, extra blanks, mark in front), unless it only
+    turns blanks into marks and puts one in front. For a model of the unigram kind the ids are then the library's; for one of
+    the merge kind they are ids of its pieces, but not the ones its merges lead to.
     """
 
+    #: The model's normalizer (None: blanks become marks, one is put in front), and whether a mark is put in front.
+    normalize: Callable[[str], str] | None = None
+    prefix = True
+
     def __init__(self, pieces: list[tuple[str, float, int]], bytes_: dict[int, int], unknown: int, size: int):
         """pieces: (piece, score, id); bytes_: id of each byte's piece; size: number of ids."""
         self.bytes, self.unknown, self.size = bytes_, unknown, size
@@ -89,6 +96,7 @@ class Codec:
     @classmethod
     def from_file(cls, path: str) -> Codec:
         import sentencepiece
+        from sentencepiece import sentencepiece_model_pb2
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces, bytes_ = [], {}
@@ -97,7 +105,25 @@ class Codec:
                 bytes_[int(m.id_to_piece(i)[3:5], 16)] = i
             elif not (m.is_control(i) or m.is_unknown(i) or m.is_unused(i)):
                 pieces.append((m.id_to_piece(i), m.get_score(i), i))
-        return cls(pieces, bytes_, m.unk_id(), m.get_piece_size())
+        out = cls(pieces, bytes_, m.unk_id(), m.get_piece_size())
+        spec = sentencepiece_model_pb2.ModelProto.FromString(m.serialized_model_proto()).normalizer_spec
+        out.prefix = spec.add_dummy_prefix
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not (spec.add_dummy_prefix and spec.escape_whitespaces):
+            out.normalize = m.normalize
+        return out
+
+    def marked(self, text: str) -> str:
+        """A text as its pieces spell it."""
+        if self.normalize:
+            return self.normalize(text)
+        return MARK + text.replace(" ", MARK) if text else ""
+
+    def plain(self, text: str) -> str:
+        """What decoding the ids of ``text`` gives back if no character is unknown."""
+        return self._unmarked(self.marked(text).replace(MARK, " "))
+
+    def _unmarked(self, text: str) -> str:
+        return text[1:] if self.prefix and text.startswith(" ") else text
 
     def _goto(self, node: np.ndarray, letter: np.ndarray) -> np.ndarray:
         """The nodes that the automaton goes to from ``node`` on reading ``letter``."""
@@ -216,8 +242,8 @@ class Codec:
         last[offsets[1:] - 1] = True
         odd_word |= empty[code] & ~last & ~np.append(broken[code][1:], False)
         odd = np.logical_or.reduceat(odd_word, offsets[:-1]) if len(bodies) else np.zeros(0, bool)
-        odd |= self.whole | (pc.binary_length(bodies).to_numpy(zero_copy_only=False) == 0)
-        parts = {i: self.chunks(MARK + t.replace(" ", MARK)) if t else [] for i, t in zip(np.flatnonzero(odd).tolist(), bodies.filter(pa.array(odd)).to_pylist(), strict=True)}
+        odd |= self.whole | (self.normalize is not None) | (pc.binary_length(bodies).to_numpy(zero_copy_only=False) == 0)
+        parts = {i: self.chunks(self.marked(t)) for i, t in zip(np.flatnonzero(odd).tolist(), bodies.filter(pa.array(odd)).to_pylist(), strict=True)}
         if odd.all():
             units, code = [], code[:0]
         known = self.known
@@ -231,6 +257,11 @@ class Codec:
         ids = gathered(self.pool, self.ends[:-1], size, code)
         total = np.append(0, np.cumsum(size[code]))[offsets]
         self._forget()
+        if self.unknown >= 0 and not self.bytes and len(ids):
+            again = np.append(False, (ids[1:] == self.unknown) & (ids[:-1] == self.unknown))
+            again[total[:-1][total[:-1] < len(ids)]] = False
+            total -= np.append(0, np.cumsum(again))[total]
+            ids = ids[~again]
         return ids, np.diff(total)
 
     def decode(self, ids: np.ndarray, n: np.ndarray) -> list[str]:
@@ -240,7 +271,7 @@ class Codec:
         flat = gathered(self.text, self.text_start, self.text_size, ids).tobytes()
         ends = np.append(0, np.cumsum(self.text_size[ids]))[np.append(0, np.cumsum(n))].tolist()
         out = [flat[a:b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:], strict=False)]
-        return [t[1:] if t.startswith(" ") else t for t in out]
+        return list(map(self._unmarked, out))
 
 
 def codec(path: str) -> Codec:
@@ -302,7 +333,7 @@ OUTPUTS = {"ids": "array<int>", "n_tokens": "bigint", "ids_crc32": "bigint", "de
 def coded(rows: DataFrame, model_path: str, outputs: tuple = tuple(OUTPUTS), text: str = "text") -> DataFrame:
     """``rows`` without their text, with the ``outputs`` of encoding it and decoding the ids again, all in
     one pass through Python: ids, their number, the CRC-32 of them as little-endian 32-bit integers, the
-    decoded text, and whether that is the text (marks read as blanks).
+    decoded text, and whether that is the text (marks read as blanks) as the model's normalizer leaves it.
 
     Columns of the outputs' names are replaced; nulls are as in :func:`encode`.
     """
@@ -322,7 +353,7 @@ def coded(rows: DataFrame, model_path: str, outputs: tuple = tuple(OUTPUTS), tex
                 "n_tokens": lambda n=n: pa.array(n, pa.int64()),
                 "ids_crc32": lambda flat=flat, n=n: pa.array([zlib.crc32(x) for x in np.split(flat, np.cumsum(n)[:-1])] if len(n) else [], pa.int64()),
                 "decoded": lambda decoded=decoded: pa.array(decoded, pa.string()),
-                "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == t.replace(MARK, " ") for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
+                "round_trip": lambda decoded=decoded, bodies=bodies: pa.array([d == (t.replace(MARK, " ") if c.normalize is None else c.plain(t)) for d, t in zip(decoded, bodies, strict=True)], pa.bool_()),
             }
             yield pa.RecordBatch.from_arrays([*(part.column(k) for k in columns), *(made[k]() for k in outputs)], [*columns, *own])
 

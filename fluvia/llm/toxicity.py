@@ -8,10 +8,12 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,11 +21,12 @@ from fluvia.llm.common import in_arrow, memo, restored, safe, slices, stored, te
 
 #: At most so many labelled rows are used to fit, taken in the order of a hash of doc_id.
 MOST_LABELLED = 20_000
-#: At most so many terms are weighed, those of most labelled texts; counts that an executor's task holds before it passes them on.
-MOST_TERMS, MOST_HELD = 200_000, 400_000
+#: Counts of terms that an executor's task holds before it passes them on.
+MOST_HELD = 400_000
 #: A term needs so many labelled texts, and this least weight (see :func:`weights`).
 LEAST_TEXTS, LEAST_WEIGHT = 2, 1.0
-#: Lengths of the beginnings of words that are terms, in code points; longer words are cut for the lexicon.
+#: Lengths of the beginnings of words that are terms, in code points. Longer words than LONGEST_WORD stand in
+#: the lexicon as a beginning and a hash of the whole.
 BEGINNINGS = range(4, 9)
 LONGEST_WORD = 40
 TREES, DEPTH, RATE, BINS, LEAST_LEAF = 80, 3, 0.15, 32, 5
@@ -52,18 +55,23 @@ for _k, _bytes in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"!", b"?", b"#*$%&|
 _SECOND, _CAPITAL, _IS_MIXED, _STRETCHED, _LETTER = 1, 2, 4, 8, 16
 
 
+def kept_whole(word: str) -> str:
+    """The word as the lexicon has it: itself, or if it is long its beginning and a hash of all of it."""
+    return word if len(word) <= LONGEST_WORD else f"{word[:LONGEST_WORD]}#{xxhash.xxh3_64_hexdigest(word)}"
+
+
 def words_of(token: str) -> tuple[list[str], list[str], int]:
     """The words of a token between blanks, in lower case; the words that it may hide (digits and marks
     for letters, marks between letters, stretched letters); and its flags."""
     low = token.lower()
     whole = low.isalpha()
-    plain, flags = [low[:LONGEST_WORD]] if whole else [w[:LONGEST_WORD] for w in _LETTERS.findall(low)], 0
+    plain, flags = [low] if whole else _LETTERS.findall(low), 0
     hidden = []
     if not whole:
         inner = low.strip(".,;:!?\"'()[]{}<>")
         if _MIXED.search(inner):
             flags |= _IS_MIXED
-            hidden += _LETTERS.findall(inner[:200].translate(_LEET))
+            hidden += _LETTERS.findall(inner.translate(_LEET))
     if len(low) > 4 and _STRETCH.search(low):
         squeezed = [_STRETCH.sub(r"\1", w) for w in plain]
         if squeezed != plain:
@@ -76,7 +84,7 @@ def words_of(token: str) -> tuple[list[str], list[str], int]:
             flags |= _LETTER
     if token.isupper() and len(plain) and len(plain[0]) >= 3:
         flags |= _CAPITAL
-    return plain, [h[:LONGEST_WORD] for h in hidden], flags
+    return list(map(kept_whole, plain)), list(map(kept_whole, hidden)), flags
 
 
 def terms(text: str) -> set[str]:
@@ -84,7 +92,7 @@ def terms(text: str) -> set[str]:
     words = set(map(str.lower, text.split()))
     if not all(map(str.isalpha, words)):
         words = {w for t in words for some in words_of(t)[:2] for w in some}
-    words = {w[:LONGEST_WORD] for w in words}
+    words = set(map(kept_whole, words))
     return words | {f"{w[:n]}*" for w in words for n in BEGINNINGS if n < len(w)}
 
 
@@ -102,19 +110,32 @@ class Lexicon(dict):
         super().__init__()
         self.weight = weight
         self.starts = {w[:-1]: x for w, x in weight.items() if w[-1] == "*"}
-        self.rows: dict[tuple, int] = {(0.0, 0.0, 0, 0): 0}
+        #: Numbers of the lexicon's terms from 1 on; weights, terms, flags and the veil of a token, of which there
+        #: are as many as terms that meet in words.
+        self.number = {w: k for k, w in enumerate(sorted(weight), 1)}
+        self.rows: dict[tuple, int] = {(0.0, 0, 0.0, 0, 0, 0): 0}
+        self.held = np.zeros((1, 6))
 
     def __reduce__(self):
         return Lexicon, (self.weight,)
 
-    def _start(self, word: str) -> float:
-        best, get = 0.0, self.starts.get
+    def _start(self, word: str) -> tuple[float, str]:
+        """The largest weight of a beginning of the word, and that beginning as a term."""
+        best, get = (0.0, ""), self.starts.get
         for n in BEGINNINGS:
             if n >= len(word):
                 break
-            best = max(best, get(word[:n], 0.0))
+            if get(word[:n], 0.0) > best[0]:
+                best = get(word[:n], 0.0), f"{word[:n]}*"
         return best
 
+    def _table(self) -> np.ndarray:
+        """The rows as an array."""
+        if len(self.held) < len(self.rows):
+            new = list(islice(self.rows, len(self.held), None))
+            self.held = np.concatenate([self.held, np.array(new, float)])
+        return self.held
+
     def __missing__(self, token: str) -> int:
         core = token.rstrip(".,;:!?")
         if not core.isupper():
@@ -124,12 +145,13 @@ class Lexicon(dict):
         else:
             get = self.weight.get
             plain, hidden, flags = words_of(token)
-            own = max([get(w, 0.0) for w in plain], default=0.0)
-            start = max(map(self._start, plain), default=0.0)
+            own, word = max([(get(w, 0.0), w) for w in plain], default=(0.0, ""))
+            start, begun = max(map(self._start, plain), default=(0.0, ""))
             veiled = 0
-            if hidden and own <= 0 and (best := max(get(w, 0.0) for w in hidden)) > 0:
-                own, veiled = best, 1
-            row = self.rows.setdefault((own, start, flags, veiled), len(self.rows))
+            if hidden and own <= 0 and (best := max((get(w, 0.0), w) for w in hidden))[0] > 0:
+                (own, word), veiled = best, 1
+            at = self.number.get
+            row = self.rows.setdefault((own, at(word, 0), start, at(begun, 0), flags, veiled), len(self.rows))
         if len(self) < MOST_TOKENS and len(token) <= 2 * LONGEST_WORD:
             self[token] = row
         return row
@@ -153,17 +175,16 @@ class Lexicon(dict):
         known = np.fromiter(map(self.__getitem__, distinct), np.int64, len(distinct))
         row = known[code]
         at = np.flatnonzero(row)
-        own, start, flags, veiled = np.array(list(self.rows))[row[at]].reshape(-1, 4).T
+        own, word, start, begun, flags, veiled = self._table()[row[at]].reshape(-1, 6).T
         flags, text = flags.astype(np.int64), of[at]
         total = lambda x: np.bincount(text, x, many)
         out = [np.log1p(n_tokens)]
-        for w in (own, start):
+        for w, term in ((own, word), (start, begun)):
             hit = w > 0
-            kinds = np.unique(w, return_inverse=True)[1]
             most = np.zeros(many)
             np.maximum.at(most, text, w)
             count = total(hit)
-            out += [total(w) / n, count / n, np.log1p(count), np.bincount(np.unique((text * (len(self.rows) + 1) + kinds)[hit]) // (len(self.rows) + 1), minlength=many), most]
+            out += [total(w) / n, count / n, np.log1p(count), np.bincount(np.unique((text * (len(self.number) + 1) + term.astype(np.int64))[hit]) // (len(self.number) + 1), minlength=many), most]
         second, hits = at[(flags & _SECOND) != 0], at[own > 0]
         beside = np.zeros(len(hits), bool)
         if len(second):
@@ -324,9 +345,8 @@ def lexicons(counts: pa.Table, totals: dict[int, tuple[int, int]]) -> dict[int,
     return out
 
 
-def _counted(rows: DataFrame, among=None) -> DataFrame:
-    """Rows term, n1 to n4: how many of ``rows`` (text, fold) have the term, by fold; only those of the
-    broadcast set ``among``, if given."""
+def _counted(rows: DataFrame, prefix: str) -> DataFrame:
+    """Rows term, and by fold how many of ``rows`` (text, fold) have the term."""
 
     def emit(found):
         of = sorted(set().union(*found.values()))
@@ -337,32 +357,37 @@ def _counted(rows: DataFrame, among=None) -> DataFrame:
         found = {k: Counter() for k in FOLDS}
         for part in slices(batches, "text"):
             for t, k in zip(texts(part.column("text")), part.column("fold").to_pylist(), strict=True):
-                found[k].update(terms(t) if among is None else terms(t) & among.value)
-            if sum(map(len, found.values())) > MOST_HELD:
-                yield emit(found)
-                found = {k: Counter() for k in FOLDS}
+                found[k].update(terms(t))
+                if sum(map(len, found.values())) > MOST_HELD:
+                    yield emit(found)
+                    found = {k: Counter() for k in FOLDS}
         yield emit(found)
 
     schema = "term string, " + ", ".join(f"n{k} bigint" for k in FOLDS)
-    return rows.select("text", "fold").transform(in_arrow, run, schema).groupBy("term").agg(*(F.sum(f"n{k}").alias(f"n{k}") for k in FOLDS))
+    return rows.select("text", "fold").transform(in_arrow, run, schema).groupBy("term").agg(*(F.sum(f"n{k}").alias(f"{prefix}{k}") for k in FOLDS))
 
 
 def _counts(some: DataFrame, totals: dict[int, tuple[int, int]]) -> pa.Table:
-    """Counts of the terms that LEAST_TEXTS labelled texts have, MOST_TERMS of them at most, as in :func:`lexicons`."""
-    toxic = _counted(some.where("toxic = 1")).withColumn("n", sum((F.col(f"n{k}") for k in FOLDS[1:]), F.col(f"n{FOLDS[0]}"))).where(F.col("n") >= LEAST_TEXTS)
-    toxic = toxic.orderBy(F.desc("n"), "term").limit(MOST_TERMS).drop("n").toArrow()
-    among = some.sparkSession.sparkContext.broadcast(frozenset(toxic.column("term").to_pylist()))
-    clean = _counted(some.where("toxic = 0"), among).toArrow() if toxic.num_rows else toxic
-    among.destroy()
-    toxic, clean = (t.rename_columns(["term", *(f"{s}{k}" for k in FOLDS)]) for t, s in ((toxic, "t"), (clean, "c")))
-    both = toxic.join(clean, "term", join_type="left outer").sort_by("term")
-    return pa.table({c: both.column(c) if c == "term" else pc.fill_null(both.column(c), 0) for c in both.column_names})
+    """Counts of the terms that one of the lexicons takes, as in :func:`lexicons`. Terms are counted, joined and
+    weighed by executors; what comes to the driver are those with LEAST_TEXTS and LEAST_WEIGHT, however many they are."""
+    toxic = _counted(some.where("toxic = 1"), "t").where(sum((F.col(f"t{k}") for k in FOLDS[1:]), F.col(f"t{FOLDS[0]}")) >= LEAST_TEXTS)
+    clean = _counted(some.where("toxic = 0"), "c")
+    both = toxic.join(clean, "term", "left").fillna(0, [f"c{k}" for k in FOLDS])
+    taken = F.lit(False)
+    for fold in (0, *FOLDS):
+        use = [k for k in FOLDS if k != fold]
+        t, c = (sum((F.col(f"{s}{k}") for k in use[1:]), F.col(f"{s}{use[0]}")) for s in "tc")
+        n_t, n_c = (sum(totals.get(k, (0, 0))[s] for k in use) for s in (0, 1))
+        odds = F.log((t + 0.5) / (n_t + 1)) - F.log((c + 0.5) / (n_c + 1))
+        # The driver weighs what comes once more, so a last digit may not decide here.
+        taken = taken | ((t >= LEAST_TEXTS) & (odds - F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= LEAST_WEIGHT - 1e-9))
+    return both.where(taken).toArrow().sort_by("term")
 
 
 def train(documents: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     """Fits on at most ``most`` labelled rows that aren't held out.
 
-    Terms are counted by executors; the counts of MOST_TERMS at most come to the driver, then 25
+    Terms are counted and weighed by executors; the counts of the lexicon's terms come to the driver, then 25
     numbers a row. The features that the trees learn from come, for each fifth of the rows, from the
     lexicon of the other fifths, and the scores for the calibration from trees that didn't see the
     fifth either. A null label is no label; of rows repeated with one doc_id the largest label counts.

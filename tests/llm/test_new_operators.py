@@ -319,3 +319,191 @@ def test_odd_conversations(spark, tmp_path):
     folder = save(spark, tmp_path, "conversations", rows, "conv_id bigint, turn bigint, text string")
     got = queries.op13_cascade(spark, folder).collect()
     assert len(got) == 5 and {r.conv_id for r in got} == {None, 5}
+
+
+# --- SentencePiece: a model's own normalizer
+
+
+def unigram_model(path, **spec):
+    """A unigram model put together by hand: letters, some words, and the given normalizer."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.normalizer_spec.CopyFrom(pb.ModelProto.FromString(sentencepiece.SentencePieceNormalizer(rule_name=spec.pop("rule", "identity")).serialized_model_proto()).normalizer_spec)
+    for k, v in ({"add_dummy_prefix": True, "remove_extra_whitespaces": True, "escape_whitespaces": True} | spec).items():
+        setattr(model.normalizer_spec, k, v)
+    model.trainer_spec.model_type = 1
+    for k, (piece, kind) in enumerate((("<unk>", 2), ("<s>", 3), ("</s>", 3))):
+        model.pieces.add(piece=piece, score=0.0, type=kind)
+    rng = random.Random(11)
+    for piece in ["▁", *"abcdefghijklmnop", "ab", "▁a", "▁ab", "cd", "▁the", "ing", "hop", "▁op", "no", "mno"]:
+        model.pieces.add(piece=piece, score=-rng.uniform(1, 9) * 1.37, type=1)
+    model.trainer_spec.vocab_size = len(model.pieces)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+@pytest.mark.parametrize("spec", [{}, {"rule": "nmt_nfkc"}, {"rule": "nfkc_cf", "remove_extra_whitespaces": False}, {"add_dummy_prefix": False}, {"remove_extra_whitespaces": False}])
+def test_ids_of_a_unigram_model_are_the_librarys(tmp_path, spec):
+    import sentencepiece
+
+    from fluvia.llm.sentencepiece_viterbi import Codec
+
+    path = unigram_model(tmp_path / "u.model", **spec)
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), Codec.from_file(path)
+    rng = random.Random(12)
+    odd = ["a  b", " ab", "ab ", "ａｂ c", "a\tb", "ab\ncd", "AB ab", "", " ", "éab", "xyz ab zz q", "▁ab▁ ▁c", "①②", "ﬁ ab"]
+    bodies = odd + ["".join(rng.choice("abcdmno  hopingＡ\t\nzé") for _ in range(rng.randint(0, 40))) for _ in range(300)]
+    flat, n = own.encode(bodies)
+    got = [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])]
+    assert got == [library.encode(t) for t in bodies]
+
+
+def test_round_trips_are_of_normalised_texts(spark, tmp_path):
+    from fluvia.llm.sentencepiece_viterbi import coded
+
+    path = unigram_model(tmp_path / "u.model", rule="nmt_nfkc")
+    rows = spark.createDataFrame([(1, "ab  cd"), (2, " ａｂ"), (3, "ab z"), (4, None)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in coded(rows, path).collect()}
+    assert got[1].decoded == "ab cd" and got[2].decoded == "ab" and got[1].round_trip and got[2].round_trip and got[4].round_trip and not got[3].round_trip
+
+
+# --- toxicity: features and trees against plain versions
+
+import re  # noqa: E402
+
+from fluvia.llm import toxicity  # noqa: E402
+
+
+def plain_features(text, weight):
+    """The features of one text, word after word."""
+    text = text or ""
+    if not text:
+        return [0.0] * len(toxicity.FEATURES)
+    tokens = re.split(r"\s+", text)
+    tokens = [t for t in tokens if t]
+    n = max(1, len(tokens))
+    facts = []
+    for t in tokens:
+        core = t.rstrip(".,;:!?")
+        core = core if core.isupper() else core.lower()
+        core = core or t
+        plain, hidden, flags = toxicity.words_of(core)
+        best = max(((weight.get(w, 0.0), w) for w in plain), default=(0.0, ""))
+        veiled = 0
+        if hidden and best[0] <= 0:
+            other = max((weight.get(w, 0.0), w) for w in hidden)
+            if other[0] > 0:
+                best, veiled = other, 1
+        starts = [(weight.get(f"{w[:k]}*", 0.0), f"{w[:k]}*") for w in plain for k in range(4, 9) if k < len(w)]
+        start = max([s for s in starts if s[0] > 0], key=lambda s: s[0], default=(0.0, ""))
+        facts.append((best, start, flags, veiled))
+    out = [np.log1p(len(tokens))]
+    for k in (0, 1):
+        hits = [f[k] for f in facts if f[k][0] > 0]
+        out += [sum(h[0] for h in hits) / n, len(hits) / n, np.log1p(len(hits)), len({h[1] for h in hits}), max([h[0] for h in hits], default=0.0)]
+    second = [k for k, f in enumerate(facts) if f[2] & 1]
+    hits = [k for k, f in enumerate(facts) if f[0][0] > 0]
+    letters = [k for k, f in enumerate(facts) if f[2] & 16]
+    spaced, k = 0, 0
+    while k < len(letters):
+        stop = k
+        while stop + 1 < len(letters) and letters[stop + 1] == letters[stop] + 1:
+            stop += 1
+        spaced += stop - k + 1 > 3 and "".join(tokens[x] for x in letters[k : stop + 1]).lower() in weight
+        k = stop + 1
+    data = text.encode()
+    count = lambda kind: sum(b in kind for b in data)
+    out += [
+        len(second) / n,
+        sum(any(abs(h - s) <= 5 for s in second) for h in hits) / n,
+        (sum(f[3] for f in facts) + spaced) / n,
+        count(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ") / len(data),
+        sum(bool(f[2] & 2) for f in facts) / n,
+        sum(bool(f[2] & 2) and f[0][0] > 0 for f in facts) / n,
+        count(b"!") / n,
+        count(b"?") / n,
+        len(re.findall(r"[!?]{2,}", text)) / n,
+        count(b"#*$%&|<>@") / n,
+        count(b"0123456789") / n,
+        sum(bool(f[2] & 4) for f in facts) / n,
+        sum(bool(f[2] & 8) for f in facts) / n,
+        (len(text) - len(tokens)) / n,
+    ]
+    return [float(x) for x in out]
+
+
+LONG_A, LONG_B = "q" * 40 + "alpha", "q" * 40 + "omega"
+
+
+def test_features_equal_a_plain_version():
+    rng = random.Random(13)
+    weight = {"idiot": 2.5, "dummkopf": 2.5, "tonto": 1.5, "idio*": 2.0, "dumm*": 1.25, toxicity.kept_whole(LONG_A): 3.0}
+    pool = ["idiot", "IDIOT", "id1ot!", "i-d-i-o-t", "idioot", "idiooot", "you", "du", "ti", "Dummkopf,", "dummheit", "tonto", "i", "d", "o", "t", "hello", "WORLD", "a$$", "42", "??!", "été", LONG_A, LONG_B, "x" * 300 + "1d", "ok."]
+    bodies = [" ".join(rng.choice(pool) for _ in range(rng.randint(0, 60))).replace("ok. ", "ok.\n") for _ in range(300)] + [None, "", "i d i o t", "foo"]
+    got = toxicity.Lexicon(weight).features(bodies)
+    want = np.array([plain_features(t, weight) for t in bodies])
+    assert np.abs(got - want).max() < 1e-9, [toxicity.FEATURES[k] for k in np.flatnonzero(np.abs(got - want).max(axis=0) > 1e-9)]
+
+
+def test_words_of_equal_weight_are_two_kinds():
+    lexicon = toxicity.Lexicon({"foo": 1.5, "bar": 1.5})
+    kinds = lexicon.features(["foo bar", "foo foo"])[:, toxicity.FEATURES.index("word_kinds")]
+    assert kinds.tolist() == [2, 1]
+
+
+def test_long_words_with_one_beginning_are_two_terms():
+    a, b = ("z" * 40 + x * 10 for x in "ab")
+    assert toxicity.terms(a) - toxicity.terms(b) and toxicity.words_of(a)[0] != toxicity.words_of(b)[0]
+    hidden = toxicity.words_of("x" * 250 + "1diot")[1]
+    assert toxicity.kept_whole("x" * 250 + "idiot") in hidden
+
+
+def test_trees_take_the_best_cut_of_all(monkeypatch):
+    """Each inner node of each tree against a search over all cuts of all features; leaves against plain sums."""
+    monkeypatch.setattr(toxicity, "TREES", 4)
+    rng = np.random.default_rng(15)
+    x = rng.integers(0, 8, (600, 5)).astype(float)
+    y = ((x[:, 0] > 4) ^ (x[:, 2] > 5) ^ (rng.random(600) < 0.1)).astype(float)
+    model = toxicity.Trees().fit(x, y)
+    weight = np.where(y > 0, 300 / y.sum(), 300 / (600 - y.sum()))
+    score = np.full(600, model.base)
+    worth = lambda s, g, h: g[s].sum() ** 2 / (h[s].sum() + 1)
+    for tree, leaves in model.trees:
+        p = 1 / (1 + np.exp(-score))
+        g, h = weight * (y - p), weight * p * (1 - p)
+        node = np.zeros(600, int)
+        for feature, limit in tree:
+            for k in range(len(feature)):
+                own = node == k
+                cuts = [(own & (x[:, f] <= v), own & (x[:, f] > v)) for f in range(5) for v in range(7)]
+                gains = [worth(a, g, h) + worth(b, g, h) for a, b in cuts if min(a.sum(), b.sum()) >= toxicity.LEAST_LEAF]
+                if gains:
+                    a = own & (x[:, feature[k]] <= limit[k])
+                    assert abs(worth(a, g, h) + worth(own & ~a, g, h) - max(gains)) < 1e-9
+            node = 2 * node + (x[np.arange(600), feature[node]] > limit[node])
+        want = np.array([toxicity.RATE * g[node == k].sum() / (h[node == k].sum() + 1) for k in range(len(leaves))])
+        assert np.abs(want - leaves).max() < 1e-9
+        score += leaves[node]
+    assert np.abs(model.raw(x) - score).max() < 1e-9
+
+
+def test_lexicons_keep_every_term_of_enough_weight(spark):
+    rng = random.Random(14)
+    rows = [(k, " ".join([f"bad{rng.randrange(40)}"] * (k % 3 == 0) + [f"w{rng.randrange(60)}" for _ in range(8)]), int(k % 3 == 0), k % 5) for k in range(400)]
+    some = spark.createDataFrame([r for r in rows if r[3]], "doc_id bigint, text string, toxic int, fold int")
+    totals = {k: (sum(r[3] == k and r[2] for r in rows), sum(r[3] == k and not r[2] for r in rows)) for k in toxicity.FOLDS}
+    got = toxicity.lexicons(toxicity._counts(some, totals), totals)
+    for fold in (0, *toxicity.FOLDS):
+        use = [r for r in rows if r[3] and r[3] != fold]
+        n_t, n_c = sum(r[2] for r in use), sum(not r[2] for r in use)
+        every = set().union(*(toxicity.terms(r[1]) for r in use))
+        want = {}
+        for term in every:
+            t, c = (sum(term in toxicity.terms(r[1]) for r in use if r[2] == s) for s in (1, 0))
+            w = float(toxicity.weights(np.array([t]), np.array([c]), n_t, n_c)[0])
+            if t >= toxicity.LEAST_TEXTS and w >= toxicity.LEAST_WEIGHT:
+                want[term] = w
+        assert got[fold].weight.keys() == want.keys() and want
+        assert all(abs(got[fold].weight[k] - v) < 1e-12 for k, v in want.items())
