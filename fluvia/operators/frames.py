@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from fluvia.storage import stored
 
-#: A cell's number is r * ROW + c: frames have fewer columns.
+#: A cell's number is r * ROW + c: columns are numbers from 0 to ROW - 2, so that neighbours' numbers can't meet.
 ROW = 1_000_000
 #: Cells on a side of the blocks that stencils work on.
 BLOCK = 256
@@ -201,6 +201,8 @@ def crop_starts(frames: DataFrame, size: int) -> DataFrame:
 
 def block_labels(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     """For each cell the smallest number (see :data:`ROW`) of the cells that it reaches over neighbours, within these cells."""
+    if len(c) and not 0 <= c.min() <= c.max() < ROW - 1:
+        raise ValueError(f"columns must be numbers from 0 to {ROW - 2}")
     number = r.astype(np.int64) * ROW + c
     order = np.argsort(number)
     known = number[order]

@@ -9,8 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
+    """What ``spark.checkpoint.dir`` names; a temporary folder only where it is unset and driver and executors are
+    one process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (named or f"file://{tempfile.gettempdir()}/checkpoints").rstrip("/")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
