@@ -347,7 +347,7 @@ def rings(parts: DataFrame, keys: list[str], span: float) -> DataFrame:
     def band(part: pd.DataFrame) -> pd.DataFrame:
         cy = int(part["cy"].iloc[0])
         got = chains(np.concatenate([np.frombuffer(x).reshape(-1, 5) for x in part["border"]]), cy * span, (cy + 1) * span)
-        head = part[keys].iloc[[0] * len(got)].reset_index(drop=True)
+        head = part[keys].astype(object).iloc[[0] * len(got)].reset_index(drop=True)
         return head.assign(cy=cy, n=range(len(got)), closed=[c for _, c in got], xs=[p[:, 0].tolist() for p, _ in got], ys=[p[:, 1].tolist() for p, _ in got])
 
     lines = parts.select(*keys, "cy", "border").groupBy(*keys, "cy").applyInPandas(band, T.StructType(line_kinds))
@@ -374,7 +374,7 @@ def rings(parts: DataFrame, keys: list[str], span: float) -> DataFrame:
                 break
             at = row[int(to[at])]
         p = tidy_ring(np.concatenate([np.column_stack([part["xs"].iloc[k], part["ys"].iloc[k]]) for k in corners]))
-        head = part[keys].iloc[[0]].reset_index(drop=True)
+        head = part[keys].astype(object).iloc[[0]].reset_index(drop=True)
         return head.assign(area=[ring_size(p)], ring=[[{"x": float(a), "y": float(b)} for a, b in p]])
 
     whole = whole.select(*keys, "ring_id", "id", F.col("to").cast("string").alias("to"), "closed", "xs", "ys")
