@@ -194,3 +194,25 @@ def test_markdown_table_marks_missing(spark):
 def test_answered_cells_are_unique(spark):
     asked = spark.createDataFrame([(1, 1), (1, 1), (2, 1)], "i int, j int")
     assert sorted(map(tuple, spatial.answered_cells(asked, asked.where("i = 1"), ["i", "j"]).collect())) == [(1, 1, True), (2, 1, False)]
+
+
+def test_columns_whose_numbers_would_meet_are_refused(spark):
+    from fluvia.operators import frames
+
+    far = spark.createDataFrame([(0, 0, 1_000_064), (0, 1, 64)], "f int, r int, c int")
+    for rows in (far, spark.createDataFrame([(0, 0, -1)], "f int, r int, c int")):
+        with pytest.raises(Exception, match="columns must be numbers"):
+            frames.components(rows, ["f"]).collect()
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from fluvia import storage
+
+    unset = SimpleNamespace(get=lambda key, other=None: other)
+    on = lambda master: SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master))
+    assert storage.shared_folder(on("local[2]")).startswith("file:")
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            storage.shared_folder(on(master))
