@@ -1,4 +1,4 @@
-"""Extension: composites of landed files as a stream that resumes from its checkpoint."""
+"""Extension: composites of landed files as a stream, from the start each time; ``resume`` goes on where it stopped."""
 
 from __future__ import annotations
 
