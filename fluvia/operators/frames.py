@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fluvia.operators.distance import nearest
 from fluvia.storage import stored
 
 #: A cell's number is r * ROW + c: columns are numbers from 0 to ROW - 2, so that neighbours' numbers can't meet.
@@ -93,33 +94,15 @@ def boundary(cells: DataFrame, keys: list[str]) -> DataFrame:
     return by_blocks(cells, keys, ["m"], 1, lambda r, c, there, m: [((m == 1) & _wider(m == 0, 1)).astype(int)], "edge int").where("edge = 1").drop("edge")
 
 
-def displacement(a: DataFrame, b: DataFrame, keys: list[str], resolution: float, reach: int) -> DataFrame:
+def displacement(a: DataFrame, b: DataFrame, keys: list[str], resolution: float, rows: int = 64) -> DataFrame:
     """The mean of the two mean distances between boundaries a and b of a frame, in metres.
 
-    Frames without a boundary on either side have no row. Both sets are dealt to blocks of ``reach``
-    cells and their neighbours, so that pairs form within blocks; cells without a hit within ``reach``
-    are searched again with twice the reach, until each has its nearest.
+    Frames without a boundary on either side have no row. Distances are exact, however far the boundaries are
+    apart (see :func:`fluvia.operators.distance.nearest`); frames are cut into bands of ``rows`` rows.
     """
-
-    def one_way(x: DataFrame, y: DataFrame) -> DataFrame:
-        steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in SQUARE])).alias("s")
-        d = F.sqrt(F.pow(F.col("r") - F.col("yr"), 2) + F.pow(F.col("c") - F.col("yc"), 2))
-        left, size, found = x.join(y.select(*keys).distinct(), keys, "left_semi"), reach, None
-        while True:
-            block = lambda k, size=size: F.floor(F.col(k) / size)
-            home = left.select(*keys, "r", "c", block("r").alias("br"), block("c").alias("bc"))
-            round_ = y.select(*keys, F.col("r").alias("yr"), F.col("c").alias("yc"), block("r").alias("b0"), block("c").alias("b1"), steps).select(*keys, "yr", "yc", (F.col("b0") + F.col("s.i")).alias("br"), (F.col("b1") + F.col("s.j")).alias("bc"))
-            near = stored(home.join(round_, [*keys, "br", "bc"], "left").groupBy(*keys, "r", "c").agg(F.min(d).alias("d")))
-            # What lies beyond the reach may not be the nearest: a nearer cell can be outside the blocks.
-            sure = near.where(F.col("d") <= size)
-            found = sure if found is None else found.union(sure)
-            left = near.where(F.col("d").isNull() | (F.col("d") > size)).select(*keys, "r", "c")
-            if left.isEmpty():
-                return found.groupBy(*keys).agg(F.avg("d").alias("mean"))
-            size *= 2
-
-    there, back = one_way(a, b).withColumnRenamed("mean", "ab"), one_way(b, a).withColumnRenamed("mean", "ba")
-    return there.join(back, keys).withColumn("metres", F.round((F.col("ab") + F.col("ba")) / 2 * resolution, 4)).drop("ab", "ba")
+    mean = lambda x, y, name: nearest(x, y, keys, rows).groupBy(*keys).agg(F.avg("d").alias(name))
+    metres = F.round((F.col("ab") + F.col("ba")) / 2 * resolution, 4)
+    return mean(a, b, "ab").join(mean(b, a, "ba"), keys).withColumn("metres", metres).drop("ab", "ba")
 
 
 def median3(cells: DataFrame, keys: list[str], height: int, width: int) -> DataFrame:

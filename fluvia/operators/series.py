@@ -56,12 +56,13 @@ def calendar_stack(series: DataFrame, keys: list[str], first: int, last: int) ->
 def gap_fill(series: DataFrame, keys: list[str], max_gap: int = DEFAULTS["max_gap"]) -> DataFrame:
     """Fills gaps of at most ``max_gap`` steps: inner ones by a line, those at the ends by the nearest value.
 
-    Two running windows over one partitioning give the valid neighbours; no self-join.
+    Two running windows over one partitioning give the valid neighbours; no self-join. The one ahead runs from
+    the far end: a frame up to the last row would be read anew for each row.
     """
-    order = Window.partitionBy(*keys).orderBy("t")
-    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    running = lambda order: Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    back, ahead = running(F.asc("t")), running(F.desc("t"))
     at = F.when(F.col("v").isNotNull(), F.col("t"))
-    out = series.select("*", F.last(at, True).over(back).alias("t0"), F.last("v", True).over(back).alias("v0"), F.first(at, True).over(ahead).alias("t1"), F.first("v", True).over(ahead).alias("v1"))
+    out = series.select("*", F.last(at, True).over(back).alias("t0"), F.last("v", True).over(back).alias("v0"), F.last(at, True).over(ahead).alias("t1"), F.last("v", True).over(ahead).alias("v1"))
     line = F.col("v0") + (F.col("v1") - F.col("v0")) * (F.col("t") - F.col("t0")) / (F.col("t1") - F.col("t0"))
     filled = (
         F.when(F.col("v").isNotNull(), F.col("v"))
