@@ -51,6 +51,14 @@ def cell_key(west: Column, south: Column) -> Column:
     return F.substring(F.sha1(F.format_string("%.6f_%.6f", west, south)), 1, 16)
 
 
+def inside(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a place is strictly inside the ring of edges (p, q), by casting a ray to the right; on an edge is outside."""
+    cross = lambda e: ((e.p.y > y) != (e.q.y > y)) & (x < (e.q.x - e.p.x) * (y - e.p.y) / F.when(e.q.y != e.p.y, e.q.y - e.p.y).otherwise(1.0) + e.p.x)
+    side = lambda e: (e.q.x - e.p.x) * (y - e.p.y) - (e.q.y - e.p.y) * (x - e.p.x)
+    on = lambda e: (side(e) == 0) & x.between(F.least(e.p.x, e.q.x), F.greatest(e.p.x, e.q.x)) & y.between(F.least(e.p.y, e.q.y), F.greatest(e.p.y, e.q.y))
+    return (F.size(F.filter(edges, cross)) % 2 == 1) & ~F.exists(edges, on)
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, block: float) -> DataFrame:
     """Pairs of a point (x, y) strictly inside a polygon's ring (array of x, y).
 
@@ -64,12 +72,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, block: float) ->
     pairs = pairs.where("x > bx0 and x < bx1 and y > by0 and y < by1")
     n = F.size("ring")
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.get("ring", k).alias("p"), F.get("ring", F.pmod(k + 1, n)).alias("q")))
-    x, y = F.col("x"), F.col("y")
-    cross = lambda e: ((e.p.y > y) != (e.q.y > y)) & (x < (e.q.x - e.p.x) * (y - e.p.y) / F.when(e.q.y != e.p.y, e.q.y - e.p.y).otherwise(1.0) + e.p.x)
-    side = lambda e: (e.q.x - e.p.x) * (y - e.p.y) - (e.q.y - e.p.y) * (x - e.p.x)
-    on = lambda e: (side(e) == 0) & x.between(F.least(e.p.x, e.q.x), F.greatest(e.p.x, e.q.x)) & y.between(F.least(e.p.y, e.q.y), F.greatest(e.p.y, e.q.y))
-    inside = (F.size(F.filter(edges, cross)) % 2 == 1) & ~F.exists(edges, on)
-    return pairs.where(inside).drop("block_x", "block_y", "bx0", "bx1", "by0", "by1")
+    return pairs.where(inside(edges, F.col("x"), F.col("y"))).drop("block_x", "block_y", "bx0", "bx1", "by0", "by1")
 
 
 def ring_area(ring: Column) -> Column:
