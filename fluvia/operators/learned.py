@@ -73,7 +73,7 @@ def fit(rows: DataFrame, penalty: float = 0.0, weight: float | None = None, roun
     known = rows.where("truth is not null")
     w = positive_weight(known) if weight is None else weight
     data = known.select(array_to_vector("features").alias("x"), F.col("truth").cast("double").alias("y"), F.when(F.col("truth") == 1, w).otherwise(1.0).alias("w"))
-    made = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=penalty, standardization=False, maxIter=rounds, tol=1e-9).fit(data)
+    made = LogisticRegression(featuresCol="x", labelCol="y", weightCol="w", regParam=penalty, standardization=False, maxIter=rounds, tol=1e-7).fit(data)
     return Model([float(v) for v in made.coefficients], float(made.intercept), penalty=penalty)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluvia.config import DEFAULTS
+from fluvia.storage import beside
 
 
 def histogram(values: DataFrame, keys: list[str], low: float, high: float, bins: int) -> DataFrame:
@@ -13,7 +14,7 @@ def histogram(values: DataFrame, keys: list[str], low: float, high: float, bins:
     v = values.select(*keys, F.greatest(F.lit(low), F.least(F.lit(high), F.col("v"))).alias("v")).where("v is not null")
     ends = v.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("total"))
     width = (F.col("hi") - F.col("lo")) / bins
-    joined = v.join(ends, keys) if keys else v.join(F.broadcast(ends), F.lit(True))  # without keys one row
+    joined = beside(v, ends, keys) if keys else v.join(F.broadcast(ends), F.lit(True))  # without keys one row
     number = F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col("v") - F.col("lo"), width))).cast("int")
     return joined.groupBy(*keys, "lo", "hi", "total", F.coalesce(number, F.lit(0)).alias("bin")).agg(F.count("*").alias("n")).withColumn("width", width)
 
@@ -54,7 +55,7 @@ def calibrate(pixels: DataFrame, modes: DataFrame, reference: float, low: float
     n = round((high - low) / step)
     levels = F.floor((F.col("v") - F.col("mode") - low) / step + 1e-9)
     above = F.when(F.col("v").isNull(), -1).otherwise(F.least(F.lit(n - 1), F.greatest(F.lit(-1), F.when((F.col("v") - F.col("mode") - low) / step > levels + 1e-6, levels).otherwise(levels - 1)))).cast("int")
-    counts = pixels.join(modes, "family").groupBy("family", "month", above.alias("k")).agg(F.count("*").alias("n"))
+    counts = beside(pixels, modes, ["family"]).groupBy("family", "month", above.alias("k")).agg(F.count("*").alias("n"))
     grid = counts.select("family", "month").distinct().withColumn("k", F.explode(F.sequence(F.lit(-1), F.lit(n - 1))))
     full = grid.join(counts, ["family", "month", "k"], "left").fillna(0, ["n"])
     order = Window.partitionBy("family", "month").orderBy(F.desc("k"))
@@ -91,7 +92,7 @@ def monthly_levels(pixels: DataFrame, keys: list[str]) -> DataFrame:
 
 def binary_water(pixels: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
     """1 above the key's cut, 0 else; missing is 0."""
-    return pixels.join(cuts, keys, "left").withColumn("water", F.coalesce(F.col("v") > F.col("cut"), F.lit(False)).cast("int"))
+    return beside(pixels, cuts, keys, "left").withColumn("water", F.coalesce(F.col("v") > F.col("cut"), F.lit(False)).cast("int"))
 
 
 def cut_sweep(scored: DataFrame, cuts: list[float]) -> DataFrame:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.functions import broadcast
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +29,17 @@ def stored(rows: DataFrame, name: str = "rows") -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+#: Rows of a side that may be broadcast by :func:`beside`.
+FEW = 100_000
+
+
+def beside(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", few: int = FEW) -> DataFrame:
+    """Rows joined with a side that has a row for each key. The side is stored and counted: up to ``few`` rows it is
+    broadcast, and the rows stay where they are, however few keys they have; beyond, both are shuffled by key."""
+    kept = stored(side, "side")
+    return rows.join(broadcast(kept) if kept.count() <= few else kept, keys, how)
+
+
 def remove(spark: SparkSession, pattern: str, keep: str | None = None) -> list[str]:
     """Removes files or folders that match, but for the one named ``keep``; their names."""
     hadoop = spark._jvm.org.apache.hadoop.fs
