@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluvia.operators.spatial import inside
+from fluvia.storage import stored
 
 #: Halvings of the plane's sides: places are numbers of 16 bits, their codes of 32.
 LEVELS = 16
@@ -104,6 +105,8 @@ def leaves_of(polygons: DataFrame, tree: Tree) -> DataFrame:
 
     A leaf that no edge touches lies in the polygon as a whole, and needs no edges, or has no row. Any other gets
     the edges that a ray to the right from its places can meet: those beside it or farther right in its rows.
+    Within its leaf a polygon goes to the cells (fl_level, fl_cx, fl_cy) that it touches, of the smallest power of
+    two that isn't below its box: four at most, so that small polygons don't meet a leaf's other points.
     """
     n = F.size("ring")
     edge = lambda k: F.struct(F.get("ring", k).alias("p"), F.get("ring", F.pmod(k + 1, n)).alias("q"))
@@ -117,8 +120,10 @@ def leaves_of(polygons: DataFrame, tree: Tree) -> DataFrame:
 
     far = lambda f, k: f(F.transform("fl_edges", lambda e: e[k]))
     box = [far(F.array_min, "x0"), far(F.array_max, "x1"), far(F.array_min, "y0"), far(F.array_max, "y1")]
-    spread = made.withColumn("leaf", F.explode(touched(*box)))
-    leaves = polygons.sparkSession.createDataFrame([(i, x, y, s, c) for i, (x, y, s, c) in enumerate(zip(tree.left, tree.low, tree.side, tree.copies, strict=True))], "leaf int, fl_x bigint, fl_y bigint, fl_side bigint, fl_copies int")
+    ends_of = dict(zip(("fl_x0", "fl_x1", "fl_y0", "fl_y1"), box, strict=True))
+    spread = made.withColumns(ends_of).withColumn("leaf", F.explode(touched(*ends_of)))
+    rows = [(i, x, y, s, s.bit_length() - 1, c) for i, (x, y, s, c) in enumerate(zip(tree.left, tree.low, tree.side, tree.copies, strict=True))]
+    leaves = polygons.sparkSession.createDataFrame(rows, "leaf int, fl_x bigint, fl_y bigint, fl_side bigint, fl_top int, fl_copies int")
     at = spread.join(F.broadcast(leaves), "leaf")  # 64 / share leaves at most
     rows = F.filter("fl_edges", lambda e: (e.y1 >= F.col("fl_y")) & (e.y0 < F.col("fl_y") + F.col("fl_side")) & (e.x1 >= F.col("fl_x")))
     at = at.withColumn("edges", rows).withColumn("near", F.exists("edges", lambda e: e.x0 < F.col("fl_x") + F.col("fl_side")))
@@ -126,17 +131,34 @@ def leaves_of(polygons: DataFrame, tree: Tree) -> DataFrame:
     at = at.withColumn("whole", ~F.col("near") & inside(F.col("edges"), middle("fl_x", tree.west), middle("fl_y", tree.south))).where("near or whole")
     edges = F.when(F.col("near"), F.transform("edges", lambda e: F.struct(e.p.alias("p"), e.q.alias("q")))).alias("edges")
     kept = [c for c in polygons.columns if c != "ring"]
-    return at.select(*kept, "leaf", "whole", edges, F.explode(F.sequence(F.lit(0), F.col("fl_copies") - 1)).alias("copy"))
+    wide = F.greatest(F.col("fl_x1") - F.col("fl_x0"), F.col("fl_y1") - F.col("fl_y0")) + 1
+    level = F.least(F.ceil(F.log2(wide)).cast("int"), F.col("fl_top")).alias("fl_level")
+    sized = at.select(*kept, "leaf", "whole", edges, level, "fl_copies", *(f(a, b).alias(k) for k, f, a, b in (("fl_l", F.greatest, "fl_x0", "fl_x"), ("fl_d", F.greatest, "fl_y0", "fl_y"))), *(F.least(F.col(a), F.col(b) + F.col("fl_side") - 1).alias(k) for k, a, b in (("fl_r", "fl_x1", "fl_x"), ("fl_u", "fl_y1", "fl_y"))))
+    for to, a, b in (("fl_cx", "fl_l", "fl_r"), ("fl_cy", "fl_d", "fl_u")):
+        sized = sized.withColumn(to, F.explode(F.expr(f"sequence(shiftright({a}, fl_level), shiftright({b}, fl_level))")))
+    return sized.select(*kept, "leaf", "whole", "edges", "fl_level", "fl_cx", "fl_cy", F.explode(F.sequence(F.lit(0), F.col("fl_copies") - 1)).alias("copy"))
+
+
+def _near(points: DataFrame, polygons: DataFrame, tree: Tree) -> DataFrame:
+    """Pairs of a point and a polygon that share a cell of the polygon's level in a leaf, each once."""
+    dealt = stored(leaves_of(polygons, tree), "leaves")
+    levels = sorted(r.fl_level for r in dealt.select("fl_level").distinct().collect())  # of 17 at most
+    places = {"fl_px": tree.place(F.col("x"), tree.west), "fl_py": tree.place(F.col("y"), tree.south)}
+    top = F.get(F.array(*(F.lit(s.bit_length() - 1) for s in tree.side)), F.col("leaf"))
+    cells = leaf_of(points, tree).withColumns(places).withColumn("fl_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>"))).where(F.col("fl_level") <= top)
+    cells = cells.withColumns({k: F.expr(f"shiftright({p}, fl_level)") for k, p in (("fl_cx", "fl_px"), ("fl_cy", "fl_py"))}).drop(*places)
+    return cells.join(dealt, ["leaf", "copy", "fl_level", "fl_cx", "fl_cy"])
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, tree: Tree | None = None) -> DataFrame:
     """Pairs of a point (x, y) strictly inside a polygon's ring (array of x, y), with the columns of both but the ring.
 
-    Leaves of ``tree`` (see :func:`cut`), and copies of those that can't be cut, are the keys of an equi-join, so that
+    Leaves of ``tree`` (see :func:`cut`), copies of those that can't be cut, and cells in them of about the size of each
+    polygon are the keys of an equi-join (a point goes to a cell of each size that polygons have, 17 at most), so that
     no key holds much more than the tree's share of the points, wherever they lie. Points on an edge are outside;
     points without a finite place and empty rings, null ones included, have no row. Points equal in all columns go to one
     copy: count them before, if many are. No column may be named leaf or copy.
     """
     tree = tree or cut(points)
-    pairs = leaf_of(points, tree).join(leaves_of(polygons, tree), ["leaf", "copy"])
-    return pairs.where(F.col("whole") | inside(F.col("edges"), F.col("x"), F.col("y"))).drop("leaf", "copy", "whole", "edges")
+    pairs = _near(points, polygons, tree).where(F.col("whole") | inside(F.col("edges"), F.col("x"), F.col("y")))
+    return pairs.drop("leaf", "copy", "whole", "edges", "fl_level", "fl_cx", "fl_cy")

@@ -67,3 +67,15 @@ def test_odd_places_and_rings(spark):
     none = points.where("k > 9")
     assert quadtree.points_in_polygons(none, rings).collect() == quadtree.points_in_polygons(points, rings.where("id > 9")).collect() == []
     assert quadtree.points_in_polygons(points.select(F.col("x"), "y"), rings).columns == ["x", "y", "id"]
+
+
+def test_small_polygons_meet_few_points(spark):
+    """Points meet the polygons around them, not all those of their leaf."""
+    rng = np.random.default_rng(8)
+    points = spark.createDataFrame([(k, *map(float, rng.random(2) * 100)) for k in range(4000)], "k int, x double, y double")
+    corner = [tuple(map(float, p)) for p in rng.random((3000, 2)) * 99]
+    rings = spark.createDataFrame([(k, [(x, y), (x + 1, y), (x + 1, y + 1), (x, y + 1)]) for k, (x, y) in enumerate(corner)], RING)
+    tree = quadtree.cut(points, 0.25)
+    assert len(tree.side) < 20
+    got, met = quadtree.points_in_polygons(points, rings, tree).count(), quadtree._near(points, rings, tree).count()
+    assert got == spatial.points_in_polygons(points, rings, 2.0).count() and met < 16 * got
