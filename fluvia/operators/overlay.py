@@ -115,7 +115,8 @@ def swept(edges: list[np.ndarray], rule) -> tuple[dict[int, float], dict[int, np
 
 
 def fragments(polygons: DataFrame, keys: list[str], span: float) -> DataFrame:
-    """Rows keys, cx, cy, edges: each polygon's part in each cell of ``span`` that it touches, as the bytes of rows x0, y0, x1, y1.
+    """Rows keys, cx, cy, edges, box: each polygon's part in each cell of ``span`` that it touches, as the bytes of rows x0, y0, x1, y1,
+    and the part's box (west, south, east, north).
 
     Edges are cut into the bands of cells that they cross; what a polygon has in a band is then cut into
     the band's cells. A null polygon, and rings of fewer than three corners, have no parts.
@@ -131,13 +132,13 @@ def fragments(polygons: DataFrame, keys: list[str], span: float) -> DataFrame:
     x = lambda y: F.when(y == F.col("y0"), F.col("x0")).when(y == F.col("y1"), F.col("x1")).otherwise(F.col("x0") + (F.col("x1") - F.col("x0")) * (y - F.col("y0")) / (F.col("y1") - F.col("y0")))
     cut = band.select(*keys, "cy", F.struct(x(low).alias("x0"), low.alias("y0"), x(high).alias("x1"), high.alias("y1")).alias("e")).where("e.y0 < e.y1")
     rows = cut.groupBy(*keys, "cy").agg(F.collect_list("e").alias("e"))
-    kinds = [*(polygons.schema[k] for k in keys), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("edges", T.BinaryType())]
+    kinds = [*(polygons.schema[k] for k in keys), T.StructField("cx", T.LongType()), T.StructField("cy", T.LongType()), T.StructField("edges", T.BinaryType()), T.StructField("box", T.ArrayType(T.DoubleType()))]
 
     def run(batches):
         for b in batches:
             at = b.column("e").offsets.to_numpy()
             values = np.stack([x.to_numpy() for x in b.column("e").values.flatten()], 1)
-            pick, cx, parts = [], [], []
+            pick, cx, parts, boxes = [], [], [], []
             for k in range(b.num_rows):
                 e = values[at[k] : at[k + 1]]
                 first, last = int(np.floor(e[:, [0, 2]].min() / span)), int(np.floor(e[:, [0, 2]].max() / span))
@@ -147,43 +148,129 @@ def fragments(polygons: DataFrame, keys: list[str], span: float) -> DataFrame:
                         pick.append(k)
                         cx.append(c)
                         parts.append(own.tobytes())
+                        boxes.append([own[:, [0, 2]].min(), own[:, 1].min(), own[:, [0, 2]].max(), own[:, 3].max()])
             some = b.take(pa.array(pick, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), pa.array(cx, pa.int64()), some.column("cy"), pa.array(parts, pa.binary())], [*keys, "cx", "cy", "edges"])
+            yield pa.RecordBatch.from_arrays([*(some.column(k) for k in keys), pa.array(cx, pa.int64()), some.column("cy"), pa.array(parts, pa.binary()), pa.array(boxes, pa.list_(pa.float64()))], [*keys, "cx", "cy", "edges", "box"])
 
     return rows.mapInArrow(run, T.StructType(kinds))
 
 
+def _both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Areas that polygons a[i] (n, edges, 4) and b[i] share, by the sweep of :func:`swept` for all i side by side."""
+    e, first = np.concatenate([a, b], 1), a.shape[1]
+    n, width = e.shape[:2]
+    x0, y0, x1, y1 = np.moveaxis(e, 2, 0)
+    slope = (x1 - x0) / (y1 - y0)
+    i, j = np.triu_indices(width, 1)
+    low, high = np.maximum(y0[:, i], y0[:, j]), np.minimum(y1[:, i], y1[:, j])
+    apart = lambda y: (x0[:, i] - x0[:, j]) + slope[:, i] * (y - y0[:, i]) - slope[:, j] * (y - y0[:, j])
+    below, above = apart(low), apart(high)
+    hit = (low < high) & (below * above < 0)
+    cross = np.where(hit, low + (high - low) * below / np.where(hit, below - above, 1.0), -np.inf)
+    most = int(hit.sum(axis=1).max())
+    cross = np.sort(cross, axis=1)[:, cross.shape[1] - most :]  # those that aren't there lie below every level: no edge is on beside them
+    levels = np.sort(np.concatenate([y0, y1, cross], 1), axis=1)
+    which, k = np.nonzero((levels[:, 1:] > levels[:, :-1]) & np.isfinite(levels[:, :-1]))
+    low, high = levels[which, k][:, None], levels[which, k + 1][:, None]
+    x0, y0, x1, y1 = np.moveaxis(e[which], 2, 0)
+    on = (y0 <= low) & (y1 >= high)
+    at = lambda y: np.where(y == y0, x0, np.where(y == y1, x1, x0 + (x1 - x0) * (y - y0) / (y1 - y0)))
+    xa, xb = at(low), at(high)
+    order = np.argsort(np.where(on, xa + xb, np.inf), axis=1, kind="stable")
+    xa, xb, on = (np.take_along_axis(x, order, axis=1) for x in (xa, xb, on))
+    held = [np.cumsum(on & own, axis=1) % 2 == 1 for own in (order < first, order >= first)]
+    size = (xa[:, 1:] - xa[:, :-1] + xb[:, 1:] - xb[:, :-1]) / 2 * (high - low)
+    size = np.where(on[:, 1:] & (held[0] & held[1])[:, :-1], size, 0.0).sum(axis=1)
+    return np.bincount(which, size, n)
+
+
+def areas_of_both(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """The area that each polygon of ``a`` shares with that of ``b``, as bytes of edges. Pairs with as many edges are swept together."""
+    out = np.zeros(len(a))
+    sizes = np.array([(len(x) // 32, len(y) // 32) for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    for n, m in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes == (n, m)).all(axis=1))
+        if n + m > 40:
+            both = lambda h: np.where(h[0] & h[1], 0, -1)
+            out[rows] = [swept([_edges(a[k]), _edges(b[k])], both)[0].get(0, 0.0) for k in rows]
+            continue
+        step = max(1, 500_000 // (n + m) ** 3)
+        for s in range(0, len(rows), step):
+            own = rows[s : s + step]
+            x, y = (np.frombuffer(b"".join([side[k] for k in own])).reshape(len(own), -1, 4) for side in (a, b))
+            out[own] = _both(x, y)
+    return out
+
+
+def copies(polygons: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Polygons (key, rings) of which each shape is there once, under the smallest key that has it, and all keys with
+    that one, as ``of``. Shapes are the same if their rings are, corner by corner."""
+    once = stored(polygons.groupBy("rings").agg(F.min(key).alias(key)), "shapes").select(key, "rings")
+    return once, stored(polygons.join(once.withColumnRenamed(key, "of"), "rings").select(key, "of"), "copies")
+
+
+def shared_out(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt to some tasks a core: adaptive execution would join partitions by their bytes, and here few bytes are much work."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def _edges(b: bytes) -> np.ndarray:
     return np.frombuffer(b).reshape(-1, 4)
 
 
 def shared_areas(zones: DataFrame, units: DataFrame, zone: str, unit: str) -> DataFrame:
     """Rows zone, unit, area of each pair that shares an area; both sides as :func:`fragments`. Each pair of
-    parts is worked on by itself, so that a cell with many is shared out like any join."""
+    parts whose boxes meet is worked on by itself, so that a cell with many is shared out like any join."""
 
     def run(batches):
         for b in batches:
-            both = lambda h: np.where(h[0] & h[1], 0, -1)
-            area = [swept([_edges(x), _edges(y)], both)[0].get(0, 0.0) for x, y in zip(b.column("edges").to_pylist(), b.column("other").to_pylist(), strict=True)]
+            area = areas_of_both(b.column("edges").to_pylist(), b.column("other").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(zone), b.column(unit), pa.array(area, pa.float64())], [zone, unit, "area"])
 
-    pairs = zones.join(units.withColumnRenamed("edges", "other"), ["cx", "cy"]).select(zone, unit, "edges", "other")
+    near = [F.get("box", k) < F.get("box2", k + 2) for k in (0, 1)] + [F.get("box2", k) < F.get("box", k + 2) for k in (0, 1)]
+    met = zones.join(units.withColumnsRenamed({"edges": "other", "box": "box2"}), ["cx", "cy"]).where(near[0] & near[1] & near[2] & near[3])
+    pairs = shared_out(met.select(zone, unit, "edges", "other"), zone, unit)
     got = pairs.mapInArrow(run, T.StructType([zones.schema[zone], units.schema[unit], T.StructField("area", T.DoubleType())]))
     return got.groupBy(zone, unit).agg(F.sum("area").alias("area")).where("area > 0")
 
 
+def intersections(zones: DataFrame, units: DataFrame, zone: str, unit: str, span: float) -> DataFrame:
+    """Rows zone, unit, area of each pair of polygons (zone, rings) and (unit, rings) that shares an area. Copies of a shape are worked
+    on once: the sweeps grow with the pairs of different shapes, and a join gives each pair of keys its row."""
+    (zones, zone_keys), (units, unit_keys) = copies(zones, zone), copies(units, unit)
+    met = stored(shared_areas(fragments(zones, [zone], span), fragments(units, [unit], span), zone, unit).toDF("fl_z", "fl_u", "area"), "shared")
+    both = met.join(unit_keys.withColumnRenamed("of", "fl_u"), "fl_u").join(zone_keys.withColumnRenamed("of", "fl_z"), "fl_z")
+    return both.select(zone, unit, "area")
+
+
 def split(zones: DataFrame, units: DataFrame, zone: str, unit: str, span: float) -> DataFrame:
     """Rows zone, unit, cx, cy, area, border: the parts of zones (zone, rings) in units (unit, rings), cell by cell, and
     with a null unit what no unit holds.
 
     Where units overlap, the one with the larger part of the zone has the place (ties by unit): a zone's
     parts never overlap and add up to the zone. ``border`` has the part's edges for :func:`rings`. Key columns must not be null; a
-    zone's cell comes to a task with the units that it meets there.
+    zone's cell comes to a task with the units that it meets there. Copies of a shape are worked on once.
     """
+    once, keys = copies(zones, zone)
+    parts = _split(once, units, zone, unit, span).withColumnRenamed(zone, "of")
+    return parts.join(keys, "of").select(zone, unit, "cx", "cy", "area", "border")
+
+
+def split_areas(zones: DataFrame, units: DataFrame, zone: str, unit: str, span: float) -> DataFrame:
+    """Rows zone, unit, area: the areas of the parts of :func:`split`, added up before copies of a zone get their rows."""
+    once, keys = copies(zones, zone)
+    parts = stored(areas(_split(once, units, zone, unit, span), [zone, unit]).withColumnRenamed(zone, "of"), "split")
+    return parts.join(keys, "of").select(zone, unit, "area")
+
+
+def _split(zones: DataFrame, units: DataFrame, zone: str, unit: str, span: float) -> DataFrame:
+    # A unit with a copy of a smaller key has no place: the two have the same part of any zone, so the other comes first.
+    units, _ = copies(units, unit)
     zones, units = stored(fragments(zones, [zone], span), "zone-parts"), stored(fragments(units, [unit], span), "unit-parts")
     order = Window.partitionBy(zone).orderBy(F.desc("area"), unit)
     ranked = stored(shared_areas(zones, units, zone, unit).withColumn("rank", F.row_number().over(order)).select(zone, unit, "rank"), "ranked")
-    met = zones.select(zone, "cx", "cy").join(units, ["cx", "cy"]).join(ranked, [zone, unit])
+    met = zones.select(zone, "cx", "cy").join(units.drop("box"), ["cx", "cy"]).join(ranked, [zone, unit])
     found = met.groupBy(zone, "cx", "cy").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(unit).alias("unit"), "edges"))).alias("units"))
     rows = zones.join(found, [zone, "cx", "cy"], "left")
     kinds = [zones.schema[zone], units.schema[unit], *(T.StructField(k, t) for k, t in (("cx", T.LongType()), ("cy", T.LongType()), ("area", T.DoubleType()), ("border", T.BinaryType())))]
@@ -204,16 +291,22 @@ def split(zones: DataFrame, units: DataFrame, zone: str, unit: str, span: float)
                         out[held[u]] = u - 1
                     return np.where(held[0], out, -1)
 
-                area, border = swept([_edges(mine), *(_edges(o["edges"]) for o in others)], rule)
+                # Where the first units leave nothing of the part, the others get nothing.
+                n = min(4, len(others))
+                while True:
+                    area, border = swept([_edges(mine), *(_edges(o["edges"]) for o in others[:n])], rule)
+                    if n == len(others) or not area.get(n, 0.0):
+                        break
+                    n = min(2 * n, len(others))
                 for label, size in area.items():
                     pick.append(k)
-                    who.append(others[label]["unit"] if label < len(others) else None)
+                    who.append(others[label]["unit"] if label < n else None)
                     areas.append(size)
                     borders.append(border.get(label, np.zeros((0, 5))).tobytes())
             some = b.take(pa.array(pick, pa.int64()))
             yield pa.RecordBatch.from_arrays([some.column(zone), pa.array(who, to_arrow_type(unit_type)), some.column("cx"), some.column("cy"), pa.array(areas, pa.float64()), pa.array(borders, pa.binary())], names)
 
-    return rows.select(zone, "cx", "cy", "edges", "units").mapInArrow(run, T.StructType(kinds)).where("area > 0")
+    return shared_out(rows.select(zone, "cx", "cy", "edges", "units"), zone, "cx", "cy").mapInArrow(run, T.StructType(kinds)).where("area > 0")
 
 
 def areas(parts: DataFrame, keys: list[str]) -> DataFrame:

@@ -44,8 +44,7 @@ CELLS = """z AS (SELECT c_custkey, c_custkey % 97 + a AS x, c_custkey % 89 + b A
 @query(f"WITH {CELLS} SELECT c_custkey, s_suppkey, n::DOUBLE AS area FROM p")
 def polygon_intersections(spark, d):
     """The area that each zone shares with each unit, every overlap counted for each of its units."""
-    zones, units = overlay.fragments(_zones(spark, d), ["c_custkey"], SPAN), overlay.fragments(_units(spark, d), ["s_suppkey"], SPAN)
-    return overlay.shared_areas(zones, units, "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey", F.round("area", 6).alias("area"))
+    return overlay.intersections(_zones(spark, d), _units(spark, d), "c_custkey", "s_suppkey", SPAN).select("c_custkey", "s_suppkey", F.round("area", 6).alias("area"))
 
 
 @query(
@@ -55,8 +54,7 @@ def polygon_intersections(spark, d):
 )
 def polygon_identity(spark, d):
     """Zones split by units: a place that several units hold goes to the one with the larger part of the zone; what no unit holds stays."""
-    parts = overlay.split(_zones(spark, d), _units(spark, d), "c_custkey", "s_suppkey", SPAN)
-    return overlay.areas(parts, ["c_custkey", "s_suppkey"]).select("c_custkey", "s_suppkey", F.round("area", 6).alias("area"))
+    return overlay.split_areas(_zones(spark, d), _units(spark, d), "c_custkey", "s_suppkey", SPAN).select("c_custkey", "s_suppkey", F.round("area", 6).alias("area"))
 
 
 @query(

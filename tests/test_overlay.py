@@ -131,3 +131,29 @@ def test_polygons_without_an_area_have_no_parts(spark):
     zone = frame(spark, {7: [np.array([(0, 0), (2, 0), (2, 2), (0, 2)])]}, "u")
     assert overlay.areas(overlay.split(zone.withColumnRenamed("u", "z"), rows.withColumnRenamed("z", "u"), "z", "u", 1.0), ["z", "u"]).collect() == [(7, None, 4.0)]
     assert overlay.split(rows, zone, "z", "u", 1.0).count() == 0 and overlay.dissolve(rows.limit(0), "z", 1.0).count() == 0
+
+
+def test_pairs_swept_together_equal_pairs_swept_alone():
+    rng = np.random.default_rng(3)
+    edges = lambda p: np.array([(*a, *b) if a[1] < b[1] else (*b, *a) for a, b in zip(p, np.roll(p, -1, axis=0), strict=True) if a[1] != b[1]])
+    box = lambda x, y, w, h: np.array([(x, y), (x + w, y), (x + w, y + h), (x, y + h)], float)
+    a = [edges(star(rng, *rng.uniform(5, 9, 2), 4, n)) for n in (3, 5, 8, 8, 30) for _ in range(6)] + [edges(box(*rng.integers(0, 6, 2), 4, 3)) for _ in range(30)]
+    b = [edges(star(rng, *rng.uniform(5, 9, 2), 4, n)) for n in (6, 5, 8, 8, 30) for _ in range(6)] + [edges(box(*rng.integers(0, 6, 2), 3, 5)) for _ in range(30)]
+    alone = [overlay.swept([x, y], lambda h: np.where(h[0] & h[1], 0, -1))[0].get(0, 0.0) for x, y in zip(a, b, strict=True)]
+    assert np.allclose(overlay.areas_of_both([x.tobytes() for x in a], [x.tobytes() for x in b]), alone, atol=1e-9)
+    assert max(alone) > 1 and min(alone) == 0
+
+
+def test_copies_of_a_shape_are_swept_once(spark, shapes):
+    zones, units = shapes
+    many = {k + 100 * i: rings for k, rings in zones.items() for i in range(3)}
+    more = {k + 100 * i: rings for k, rings in units.items() for i in range(2)}
+    once, keys = overlay.copies(frame(spark, many, "z"), "z")
+    assert sorted(r.z for r in once.collect()) == sorted(zones) and {(r.z, r.of) for r in keys.collect()} == {(k, k % 100) for k in many}
+    one = {(r.z, r.u): r.area for r in overlay.intersections(frame(spark, zones, "z"), frame(spark, units, "u"), "z", "u", 2.3).collect()}
+    got = {(r.z, r.u): r.area for r in overlay.intersections(frame(spark, many, "z"), frame(spark, more, "u"), "z", "u", 2.3).collect()}
+    assert got.keys() == {(z + 100 * i, u + 100 * j) for z, u in one for i in range(3) for j in range(2)}
+    assert all(abs(v - one[z % 100, u % 100]) < 1e-9 for (z, u), v in got.items())
+    one = {(r.z, r.u): r.area for r in overlay.split_areas(frame(spark, zones, "z"), frame(spark, units, "u"), "z", "u", 2.3).collect()}
+    got = {(r.z, r.u): r.area for r in overlay.split_areas(frame(spark, many, "z"), frame(spark, more, "u"), "z", "u", 2.3).collect()}
+    assert got.keys() == {(z + 100 * i, u) for z, u in one for i in range(3)} and all(abs(v - one[z % 100, u]) < 1e-9 for (z, u), v in got.items())
