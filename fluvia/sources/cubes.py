@@ -9,9 +9,13 @@ from fluvia.functions import raster
 
 
 def write_composite(rows: DataFrame, path: str) -> None:
-    """Writes composites (tile, month, r, c, v, n_obs): the index as a scaled 16-bit integer, NODATA where it is missing."""
+    """Writes composites (tile, month, r, c, v, n_obs): the index as a scaled 16-bit integer, NODATA where it is missing.
+
+    A tile's month is in one file and files are sorted, so row groups hold few tiles and months. There is a file for each task, however many tiles and
+    months there are: a folder for each of them took far longer than their rows.
+    """
     packed = rows.withColumn("v", raster.pack(F.col("v")).cast("smallint"))
-    packed.write.partitionBy("tile", "month").parquet(path)
+    packed.repartition("tile", "month").sortWithinPartitions("tile", "month", "r", "c").write.parquet(path)
 
 
 def read_composite(spark: SparkSession, path: str) -> DataFrame:
