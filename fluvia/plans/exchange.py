@@ -160,7 +160,7 @@ def titles_to_ask(spark, d):
     return places.titles_to_ask(wanted, places.cacheable(titles).select("domain"))
 
 
-@query("SELECT s_suppkey::BIGINT AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'e' ELSE 'a' END AS k, round(s_acctbal / 7, 1) AS ha, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS u, 4::INT AS n_corners, round((s_suppkey % 97) / 9, 5) + round((s_suppkey % 97) / 9 + 1, 5) AS width FROM supplier")
+@query("SELECT s_suppkey::BIGINT AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'e' ELSE 'a' END AS k, sign(round(s_acctbal * 100)::BIGINT) * ((2 * abs(round(s_acctbal * 100)::BIGINT) + 70) // 140) / 10.0::DOUBLE AS ha, CASE WHEN s_suppkey % 5 > 0 THEN s_name END AS u, 4::INT AS n_corners, round((s_suppkey % 97) / 9, 5) + round((s_suppkey % 97) / 9 + 1, 5) AS width FROM supplier")
 def layer_roundtrip(spark, d):
     """Zones written as one collection and read back; the layer keeps their order."""
     path = new_folder(spark, "zones")

@@ -62,9 +62,10 @@ def cacheable(titles: DataFrame) -> DataFrame:
 
 
 def feature(kind: Column, ha: Column, unit: Column, rings: Column, digits: int = 5) -> Column:
-    """A map feature as compact JSON: kind as one letter, area to a tenth, the unit or null, rounded corners."""
+    """A map feature as compact JSON: kind as one letter, area to a tenth, the unit or null, rounded corners.
+    Halves of a tenth go away from zero; what lies beyond nine decimals is taken for the noise of a division and decides none."""
     corners = F.transform(rings, lambda ring: F.transform(ring, lambda p: F.transform(p, lambda x: F.round(x, digits))))
-    properties = F.struct(F.when(kind == "erosion", "e").when(kind == "accretion", "a").alias("k"), F.round(ha, 1).alias("ha"), unit.alias("u"))
+    properties = F.struct(F.when(kind == "erosion", "e").when(kind == "accretion", "a").alias("k"), F.round(F.round(ha, 9), 1).alias("ha"), unit.alias("u"))
     return F.to_json(F.struct(F.lit("Feature").alias("type"), properties.alias("properties"), F.struct(F.lit("Polygon").alias("type"), corners.alias("coordinates")).alias("geometry")), {"ignoreNullFields": "false"})
 
 
