@@ -74,7 +74,8 @@ def density(n: Column, lang: str) -> Column:
 
 
 def percent(share: Column, lang: str) -> Column:
-    return F.concat(whole(share * 100, lang), F.lit("%"))
+    """A whole percentage; what lies beyond nine decimals is the noise of a division, and takes no half down."""
+    return F.concat(whole(F.round(share * 100, 9), lang), F.lit("%"))
 
 
 def year(n: Column, lang: str) -> Column:

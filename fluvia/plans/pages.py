@@ -58,7 +58,7 @@ NUM = "o_totalprice * 37 - 3000000"
     CASE WHEN o_totalprice / 4e6 < 0.05 THEN '<0.1' WHEN o_totalprice / 4e4 < 10 THEN {_decimal('o_totalprice / 4e4')} ELSE {_whole('o_totalprice / 4e4')} END AS density_en,
     {_whole('o_totalprice / 5000')} || '%' AS percent_en FROM orders""")
 def number_styles(spark, d):
-    """Numbers in the styles of the page. Values are far enough from ties for floating-point sums to agree."""
+    """Numbers in the styles of the page; halves go upwards."""
     p = F.col("o_totalprice")
     n = p * 37 - 3_000_000
     return table(spark, d, "orders").select(
