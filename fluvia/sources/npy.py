@@ -21,6 +21,8 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
 FORMAT = "fluvia_npy"
+#: Partitions of a read: a task costs more than a small slice.
+TASKS = 256
 _NAME = re.compile(r"(.+)_([^_@]+?)(?:@(\d+))?\.npy$")
 _TYPES = {"f4": "float", "f8": "double", "i1": "tinyint", "u1": "smallint", "i2": "smallint", "i4": "int", "i8": "bigint", "b1": "boolean"}
 #: What the metadata of a tile's cube holds.
@@ -60,6 +62,13 @@ class Slice(InputPartition):
     files: list
 
 
+@dataclass
+class Slices(InputPartition):
+    """Slices that a task reads one after the other."""
+
+    slices: list
+
+
 class FramesReader(DataSourceReader):
     def __init__(self, folder: str, files: list[File], bands: list[str]):
         self.folder, self.files, self.bands = folder, files, bands
@@ -82,8 +91,8 @@ class FramesReader(DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> list[Slice]:
-        """A partition for each slice that is asked for; no other is opened."""
+    def partitions(self) -> list[Slice] | list[Slices]:
+        """A partition for each slice that is asked for, or for several if there are more than TASKS; no other slice is opened."""
         of: dict[tuple[str, int], dict[str, File]] = {}
         for f in self.files:
             if self.tiles is not None and f.tile not in self.tiles:
@@ -93,9 +102,15 @@ class FramesReader(DataSourceReader):
             for t in range(low, high + 1):
                 if self.times is None or t in self.times:
                     of.setdefault((f.tile, t), {})[f.band] = f
-        return [Slice(tile, t, [found.get(b) for b in self.bands]) for (tile, t), found in sorted(of.items())]
+        every = [Slice(tile, t, [found.get(b) for b in self.bands]) for (tile, t), found in sorted(of.items())]
+        many = -(-len(every) // TASKS)
+        return [Slices(every[s : s + many]) for s in range(0, len(every), many)] if many > 1 else every
+
+    def read(self, partition: Slice | Slices) -> Iterator[pa.RecordBatch]:
+        for one in partition.slices if isinstance(partition, Slices) else [partition]:
+            yield from self._slice(one)
 
-    def read(self, partition: Slice) -> Iterator[pa.RecordBatch]:
+    def _slice(self, partition: Slice) -> Iterator[pa.RecordBatch]:
         shape, columns = None, []
         for f in partition.files:
             if f is None:
@@ -155,7 +170,7 @@ class FramesSource(DataSource):
 
 def read_frames(spark: SparkSession, path: str, bands: list[str] | None = None) -> DataFrame:
     """Rows tile, t, r, c and bands of the arrays in a folder; NaN is null. A filter on ``t`` or ``tile`` decides which
-    slices are opened, each a partition of its own. A folder without arrays gives none."""
+    slices are opened, each a partition of its own up to TASKS of them. A folder without arrays gives none."""
     spark.dataSource.register(FramesSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     return spark.read.format(FORMAT).option("bands", ",".join(bands or [])).load(path)
