@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from fluvia.operators import learned, quadtree, series
 from fluvia.plans.oracle import ST
 from fluvia.plans.registry import CELL, stack, table
+from fluvia.storage import stored
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,13 +28,14 @@ def query(sql: str | None):
     "SELECT v.vendor_id, sum(n)::BIGINT AS n_points FROM p JOIN v ON x > l AND x < l + 9 WHERE y > 0 AND (y < 4 OR (y < 10 AND x < l + 5)) GROUP BY 1"
 )
 def points_by_load(spark, d):
-    """Sale lines within the angular district of each vendor; a hot vendor's lines lie in few places."""
+    """Sale lines within the angular district of each vendor; a hot vendor's lines lie in few places, and are counted there first."""
     at = F.col("vendor_id") * 3 + F.col("item_id") % 7, F.col("sale_id") % 12
-    points = table(spark, d, "sale_lines").select("line_no", "amount", "shipped_at", "sale_id", *(v.cast("double").alias(k) for k, v in zip("xy", at, strict=True)))
+    points = table(spark, d, "sale_lines").groupBy(*(v.cast("double").alias(k) for k, v in zip("xy", at, strict=True))).agg(F.count("*").alias("n"))
+    points = stored(points, "places")
     corner = lambda x, y: F.struct((F.col("vendor_id") * 3 + x).cast("double").alias("x"), F.lit(float(y)).alias("y"))
     ring = F.array(*(corner(x, y) for x, y in ((0, 0), (9, 0), (9, 4), (5, 4), (5, 10), (0, 10))))
     districts = table(spark, d, "vendors").where("vendor_id is not null").select("vendor_id").distinct().withColumn("ring", ring)
-    return quadtree.points_in_polygons(points, districts).groupBy("vendor_id").agg(F.count("*").alias("n_points"))
+    return quadtree.points_in_polygons(points, districts).groupBy("vendor_id").agg(F.sum("n").alias("n_points"))
 
 
 def months(spark, d):
@@ -61,5 +63,5 @@ def lagged_examples(spark, d):
 def learned_forecast(spark, d):
     """Metrics on the last days of the learned forecaster, fitted on the first, and of persistence."""
     split = series.split_of(F.col("t"), 14, 20)
-    rows = learned.examples(months(spark, d), ["tile"]).withColumn("split", split)
+    rows = stored(learned.examples(months(spark, d), ["tile"]).select("tile", "features", "latest", "truth", split.alias("split")), "split-examples")
     return learned.compared(rows.where("split = 'test'"), learned.train(rows), ["tile"])
