@@ -2,8 +2,9 @@
 
 A row is a frame's block of patches. Attention over time groups the frames of a block (as many as the model takes),
 attention over space sends the keys and values of a frame's blocks to each of its blocks, where they are taken in one
-after the other with a running maximum and sum. Windows, frames and blocks are all shared out; no group holds more
-than one frame's vectors, whose number the model fixes. Each layer costs two shuffles.
+after the other with a running maximum and sum. Windows, frames and blocks are all shared out, but a frame of few blocks
+(TOGETHER) is one group over space; no group holds more than one frame's vectors, whose number the model fixes. Each
+layer costs two shuffles.
 """
 
 from __future__ import annotations
@@ -15,10 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluvia.operators.forecast import convolved, gelu, logistic, normalized, resized
-from fluvia.storage import stored
+from fluvia.storage import shared_out, stored
 
 #: Patches of a block.
 BLOCK = 64
+#: Blocks of a frame that a group takes together over space: small groups are dear.
+TOGETHER = 8
 
 
 def linear(x: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
@@ -124,7 +127,7 @@ def _by_group(rows: DataFrame, keys: list[T.StructField], by: list[str], f, colu
             made[k] = [part[k].iloc[0]] * len(made)
         return made[[*names, *columns]]
 
-    return rows.groupBy(*names, *by).applyInPandas(run, _kinds(keys, *columns))
+    return shared_out(rows, *names, *by).groupBy(*names, *by).applyInPandas(run, _kinds(keys, *columns))
 
 
 def _layer(rows: DataFrame, keys: list[T.StructField], shape: Shape, shared, depth: int) -> DataFrame:
@@ -138,7 +141,17 @@ def _layer(rows: DataFrame, keys: list[T.StructField], shape: Shape, shared, dep
         flat = {c: list(a.reshape(len(part), -1)) for c, a in zip("xqkv", (x, *sides), strict=True)}
         return pd.DataFrame({"t": part["t"].to_numpy(), "b": part["b"].to_numpy(), **flat})
 
-    sides = stored(_by_group(rows, keys, ["b"], time, ["t", "b", *"xqkv"]), "sides")
+    sides = _by_group(rows, keys, ["b"], time, ["t", "b", *"xqkv"])
+
+    def frame(part: pd.DataFrame) -> pd.DataFrame:
+        layer = shared.value["layers"][depth]
+        x, q, k, v = ([a.reshape(-1, len(layer["out_space"][1])) for a in part[c]] for c in "xqkv")
+        seen = [linear(attend(own, zip(k, v, strict=True), shape.heads), *layer["out_space"]) for own in q]
+        return pd.DataFrame({"t": part["t"].to_numpy(), "b": part["b"].to_numpy(), "x": [fed_forward(a + y, layer).ravel() for a, y in zip(x, seen, strict=True)]})
+
+    if shape.blocks <= TOGETHER:
+        return _by_group(sides, keys, ["t"], frame, ["t", "b", "x"])
+    sides = stored(sides, "sides")
 
     def space(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
         layer, heads = shared.value["layers"][depth], shape.heads

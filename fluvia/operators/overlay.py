@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluvia.operators.frames import joined_labels
-from fluvia.storage import stored
+from fluvia.storage import shared_out, stored
 
 EDGE = "array<struct<x0:double,y0:double,x1:double,y1:double>>"
 #: Polygons of a group that a task dissolves together in a cell.
@@ -209,12 +209,6 @@ def copies(polygons: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return once, stored(polygons.join(once.withColumnRenamed(key, "of"), "rings").select(key, "of"), "copies")
 
 
-def shared_out(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows dealt to some tasks a core: adaptive execution would join partitions by their bytes, and here few bytes are much work."""
-    spark = rows.sparkSession
-    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
-
-
 def _edges(b: bytes) -> np.ndarray:
     return np.frombuffer(b).reshape(-1, 4)
 
