@@ -144,7 +144,7 @@ def near_groups(documents: DataFrame, size: int = 4, similarity: float = 0.8) ->
     ends = groups.select(F.col("node").alias("content")).distinct()
     grams = shingle_sets(documents, stored(nodes.join(ends, "content", "left_semi").select("text_key"), "shared-nodes"), size)
     first = stored(verified_links(likely, grams, similarity), "verified")
-    more = stored(missed_links(groups, connected_components(first), grams, similarity, BLOCK, nodes.select(F.col("content").alias("node"), "sketch"), band_keys), "missed")
+    more = stored(missed_links(groups, connected_components(first), grams, similarity, BLOCK), "missed")
     parts = stored(connected_components(first.union(more)), "parts")
     joined = nodes.select("content", "rep").join(parts, F.col("content") == F.col("node"), "left").select(F.col("content").alias("n_content"), "rep", F.coalesce("component", "content").alias("part"))
     least = joined.groupBy("part").agg(F.min("rep").alias("component_id"))

@@ -352,37 +352,64 @@ def verified_links(links: DataFrame, grams: DataFrame, similarity: float) -> Dat
     return both.select("u", "v", "gu", "gv").transform(in_arrow, similar, "u bigint, v bigint")
 
 
-def group_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, probe: np.ndarray | None = None, base: np.ndarray | None = None) -> list[tuple[int, int]]:
+def in_common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many elements each set of ``left`` has in common with each of ``right``.
+
+    Elements that both sides have are counted by a product of 0/1 matrices, some thousand at a time; if they are many more
+    than a set has, by marking those of one set after the other.
+    """
+    n, m = (np.array([len(x) for x in side]) for side in (left, right))
+    ids = pd.factorize(np.concatenate([*left, *right]))[0]
+    a, b = ids[: n.sum()], ids[n.sum() :]
+    both = np.zeros((2, int(ids.max(initial=-1)) + 1), bool)
+    both[0, a] = both[1, b] = True
+    number = np.cumsum(both.all(axis=0)) - 1
+    total = int(number[-1]) + 1 if len(number) else 0
+    if total > 8 * len(b) / len(right):
+        out, ends, mark = np.zeros((len(left), len(right)), np.int64), np.cumsum(m), np.zeros(both.shape[1], bool)
+        for k, mine in enumerate(np.split(a, np.cumsum(n)[:-1])):
+            mark[mine] = True
+            out[k] = np.diff(np.append(0, np.append(0, np.cumsum(mark[b]))[ends]))
+            mark[mine] = False
+        return out
+    out = np.zeros((len(left), len(right)), np.float32)
+    shared = both.all(axis=0)
+    sides = [(np.repeat(np.arange(len(k)), k)[shared[x]], number[x[shared[x]]], len(k)) for k, x in ((n, a), (m, b))]
+    for start in range(0, total, 4096):
+        x, y = (np.zeros((rows, min(4096, total - start)), np.float32) for _, _, rows in sides)
+        for matrix, (row, col, _) in zip((x, y), sides, strict=True):
+            here = (col >= start) & (col < start + 4096)
+            matrix[row[here], col[here] - start] = 1
+        out += x @ y.T
+    return out.astype(np.int64)
+
+
+def group_links(node: np.ndarray, label: np.ndarray, sets: list[np.ndarray], similarity: float, probe: np.ndarray | None = None, base: np.ndarray | None = None, asking: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links between nodes at the similarity that join all labels that any pair of a ``probe`` and a
     ``base`` node joins.
 
     Without ``probe``, the nodes outside the commonest label are probes; without ``base``, all nodes are base nodes. Each
-    probe is compared with the base nodes of other labels, those that are probes too once, so
+    probe (with ``asking``, each of those only) is compared with the base nodes of other labels, those that are probes too once, so
     a pair is left out only if its ends are joined already.
     """
     _, at, times = np.unique(label, return_inverse=True, return_counts=True)
     if len(times) < 2:
         return []
     probe = at != times.argmax() if probe is None else probe
-    base = np.ones(len(node), bool) if base is None else base
+    base = np.flatnonzero(np.ones(len(node), bool) if base is None else base)
+    asking = np.flatnonzero(probe if asking is None else asking)
+    if not len(asking) or not len(base):
+        return []
     size = np.array([len(x) for x in sets])
-    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    ends = np.cumsum(size)
-    mark = np.zeros(int(ids.max()) + 1, bool)
+    common = in_common([sets[i] for i in asking], [sets[i] for i in base])
+    near = common + 1e-9 >= similarity * (size[asking][:, None] + size[base] - common)
+    near &= (at[asking][:, None] != at[base]) & (~probe[base] | (node[base] > node[asking][:, None]))
     root = at.copy()
     out = []
-    for i in np.flatnonzero(probe):
-        if (root == root[i]).all():
-            break
-        asked = base & (root != root[i]) & (~probe | (node > node[i]))
-        if not asked.any():
-            continue
-        mine = ids[ends[i] - size[i] : ends[i]]
-        mark[mine] = True
-        common = np.diff(np.append(0, np.cumsum(mark[ids])[ends - 1]))
-        mark[mine] = False
-        near = np.flatnonzero(asked & (common + 1e-9 >= similarity * (size + size[i] - common)))
-        for j in near[np.unique(root[near], return_index=True)[1]]:
+    for k in np.flatnonzero(near.any(axis=1)):
+        i, to = asking[k], base[near[k]]
+        to = to[root[to] != root[i]]
+        for j in to[np.unique(root[to], return_index=True)[1]]:
             out.append((int(node[i]), int(node[j])))
             root[root == root[j]] = root[i]
     return out
@@ -403,11 +430,11 @@ def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similari
     Keys whose nodes are all in one component are done, and so are keys of two nodes, whose only pair
     was compared. The nodes of the others are dealt to blocks; those outside a key's commonest component
     (its probes) also go to all other blocks of the key and are compared with what is there, so that a
-    key costs its nodes and its probes once for each block.
+    key costs its nodes and its probes once for each block. A task holds a block and a part of the probes at a time.
 
     With ``more`` (node and what ``keys_of`` takes keys from) a key with more probes than ``block`` is first
-    cut into longer keys, of its own and one more key of the node: texts that only share a passage part there. A
-    pair that is at the similarity then has to share one more key, which it lacks as rarely as the first.
+    cut into longer keys, of its own and another key of the node: texts that only share a passage part there, but copies
+    meet in most of the longer keys again. A pair that shares no other key is then missed.
     """
     labelled = stored(groups.where("n > 2").join(parts, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label")), "placed")
     still = stored(_open_keys(labelled), "open-keys")
@@ -421,8 +448,10 @@ def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similari
                     continue
                 own = np.stack([keys_of(x) for x in b.column(3).to_pylist()]).view(np.uint64)
                 new = ((own ^ key.view(np.uint64)[:, None]) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
-                n = own.shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(new.ravel()), pa.array(np.repeat(node, n)), pa.array(np.repeat(label, n))], ["key", "node", "label"])
+                # The key itself gives 0 for every key: all nodes of all hot keys would meet there.
+                other = new != 0
+                n = other.sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(new[other]), pa.array(np.repeat(node, n)), pa.array(np.repeat(label, n))], ["key", "node", "label"])
 
         hot = dealt.where(F.col("probes") > block).select("key", "node", "label").join(more.toDF("node", "packed"), "node").select("key", "node", "label", "packed")
         cut = stored(hot.transform(in_arrow, longer, "key bigint, node bigint, label bigint"), "longer-keys")
@@ -436,27 +465,39 @@ def missed_links(groups: DataFrame, parts: DataFrame, grams: DataFrame, similari
 
     def run(batches):
         memo(None)
-        held = None
 
-        def found(rows):
+        def found(rows, asking=None):
             links = []
             if rows.num_rows > 1:
                 node, label, probe, base = (rows.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5))
-                links = group_links(node, label, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(5)], similarity, probe.astype(bool), base.astype(bool))
+                links = group_links(node, label, [np.frombuffer(x.as_py(), np.uint64) for x in rows.column(5)], similarity, probe.astype(bool), base.astype(bool), asking)
             u, v = np.array(links, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
+        at, held = None, None  # a task and the nodes of its block; probes of other blocks follow them
+        alone = False  # whether the block's own probes have yet to be compared
         for batch in slices(batches, "grams"):
-            batch = batch if held is None else pa.concat_batches([held, batch])
             task = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist()]
+            cuts = [0, *(np.flatnonzero(task[1:] != task[:-1]) + 1).tolist(), len(task)]
             for a, b in zip(cuts, cuts[1:], strict=False):
-                yield found(batch.slice(a, b - a))
-            held = batch.slice(cuts[-1])
-        if held is not None:
+                part = batch.slice(a, b - a)
+                own = part.filter(part.column("base"))
+                if at != task[a]:
+                    if alone:
+                        yield found(held)
+                    at, held, alone = task[a], own, True
+                elif own.num_rows:
+                    held = pa.concat_batches([held, own])
+                rest = part.slice(own.num_rows)
+                if rest.num_rows and held.num_rows:
+                    if alone:
+                        yield found(held)
+                        alone = False
+                    yield found(pa.concat_batches([held, rest]), np.arange(held.num_rows + rest.num_rows) >= held.num_rows)
+        if alone:
             yield found(held)
 
-    return rows.repartition("task").sortWithinPartitions("task").transform(in_arrow, run, "u bigint, v bigint")
+    return rows.repartition("task").sortWithinPartitions("task", F.desc("base")).transform(in_arrow, run, "u bigint, v bigint")
 
 
 def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float = 0.8, radius: int = 10) -> DataFrame:
@@ -485,7 +526,7 @@ def drop_near_duplicates(documents: DataFrame, size: int = 5, similarity: float
     ends = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
     grams = shingle_sets(documents, stored(nodes.join(ends, "content", "left_semi").select("text_key"), "link-ends"), size)
     first = stored(verified_links(links, grams, similarity), "verified")
-    more = stored(missed_links(groups, connected_components(first), grams, similarity, BLOCK, nodes.select(F.col("content").alias("node"), "bands")), "missed")
+    more = stored(missed_links(groups, connected_components(first), grams, similarity, BLOCK), "missed")
     parts = stored(connected_components(first.union(more)), "parts")
     joined = nodes.join(parts, F.col("content") == F.col("node"), "left").select(F.col("content").alias("n_content"), "rep", F.coalesce("component", "content").alias("part"))
     least = joined.groupBy("part").agg(F.min(F.struct("rep", "n_content")).alias("head"))
