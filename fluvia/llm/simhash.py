@@ -12,12 +12,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, restored, safe, slices, stored, tester
+from fluvia.llm.common import Bloom, in_arrow, memo, merged, raw, restored, safe, slices, stored, tester, tidy
 from fluvia.llm.graph import connected_components
 
 SEED = 42
 #: Fingerprints that share a table key and are linked in memory at once; more get longer keys first.
 MOST_IN_RUN = 4096
+#: Keys with so many fingerprints at most are linked side by side; larger ones one after the other.
+FEW_IN_RUN = 16
+#: Table rows of a part of :func:`near_links`, which one task holds at a time, and fingerprints that are entered at once.
+PART_ROWS, ENTERED = 1 << 19, 2000
 #: Further keys of a text for near copies: BANDS keys of MINIMA minima each. Two texts at Jaccard similarity j
 #: have none in common with a chance of (1 - j ** MINIMA) ** BANDS: 3e-6 at 0.8.
 BANDS, MINIMA = 24, 4
@@ -109,6 +113,8 @@ class Segments:
         cuts = [round(64 * k / blocks) for k in range(blocks + 1)]
         self.tables = [[b for k in pick for b in range(cuts[k], cuts[k + 1])] for pick in combinations(range(blocks), chosen)]
         self.directed = directed
+        #: Rows of a fingerprint, on average.
+        self.rows = sum(1 + len(bits) // (1 + directed) for bits in self.tables)
 
     def entries(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of fp, key) for all tables; the key's upper bits have the table's number."""
@@ -158,88 +164,113 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _run_links(radius: int, most: int | None):
-    """Streams rows (key, fp, rep) sorted by key; links those of a key that differ in ``radius`` bits at most.
-
-    Gives a spanning forest for each key, so as many links as rows at most. Rows of a key with more
-    than ``most`` rows are passed on with kind 1 instead, as they come.
-    """
-
-    def emit(kind, key, fp, u, v):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(u), kind, np.int32)), *(pa.array(x) for x in (key, fp, u, v))], ["kind", "key", "fp", "u", "v"])
+def _key_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links (row numbers a, b) between the rows of a key whose fingerprints differ in ``radius`` bits at most, of which
+    each key has fewer than rows, so that they join what all such pairs join; and the rows of keys with more than ``most``
+    rows, which aren't linked. Rows are sorted by key."""
+    start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(key)))
+    of = np.repeat(np.arange(len(size)), size)
+    hot = size > most if most is not None else np.zeros(len(size), bool)
+    few = (size > 1) & (size <= FEW_IN_RUN) & ~hot
+    left = np.repeat(start + size, size) - np.arange(len(key))  # rows of the key from here on
+    row = np.flatnonzero(few[of])
+    us, vs = [], []
+    for step in range(1, FEW_IN_RUN):
+        row = row[left[row] > step]
+        if not len(row):
+            break
+        near = row[np.bitwise_count(fp[row] ^ fp[row + step]) <= radius]
+        us.append(near)
+        vs.append(near + step)
+    u, v = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
+    many = few & (np.bincount(of[u], minlength=len(size)) >= size)
+    sparse = ~many[of[u]]
+    us, vs = [u[sparse]], [v[sparse]]
+    for k in np.flatnonzero(many | ((size > FEW_IN_RUN) & ~hot)).tolist():
+        a, b = _forest(fp[start[k] : start[k] + size[k]], radius)
+        us.append(start[k] + a)
+        vs.append(start[k] + b)
+    return np.concatenate(us), np.concatenate(vs), np.flatnonzero(hot[of])
+
+
+def _run_links(radius: int):
+    """Streams rows (key, fp) sorted by key; links (u, v: fingerprints) those of a key, see :func:`_key_links`."""
+
+    def link(key, fp):
+        a, b, _ = _key_links(key, fp.view(np.uint64), radius, None)
+        return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["u", "v"])
 
     def run(batches):
-        held = [np.zeros(0, np.int64)] * 3
-        hot = None
+        held = [np.zeros(0, np.int64)] * 2
         for batch in merged(batches):
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(3)]
-            if not len(new[0]):
+            rows = [np.concatenate([x, batch.column(k).to_numpy(zero_copy_only=False)]) for k, x in enumerate(held)]
+            if not len(rows[0]):
                 continue
-            if hot is not None:
-                n = int(np.searchsorted(new[0], hot, side="right"))
-                yield emit(1, *(x[:n] for x in new), new[2][:n])
-                new = [x[n:] for x in new]
-                if not len(new[0]):
-                    continue
-                hot = None
-            rows = [np.concatenate(x) for x in zip(held, new, strict=True)]
             cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))
-            yield from link(*(x[:cut] for x in rows))
+            yield link(*(x[:cut] for x in rows))
             held = [x[cut:] for x in rows]
-            if most is not None and len(held[0]) > most:
-                hot = held[0][0]
-                yield emit(1, *held, held[2])
-                held = [x[:0] for x in held]
-        yield from link(*held)
-
-    def link(key, fp, rep):
-        if len(key) < 2:
-            return
-        fp = fp.view(np.uint64)
-        start = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
-        size = np.diff(np.append(start, len(key)))
-        two = start[size == 2]
-        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius]
-        us, vs = [rep[two]], [rep[two + 1]]
-        for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            if most is not None and n > most:
-                part = slice(s, s + n)
-                yield emit(1, key[part], fp[part].view(np.int64), rep[part], rep[part])
-                continue
-            a, b = _forest(fp[s : s + n], radius)
-            us.append(rep[s + a])
-            vs.append(rep[s + b])
-        u, v = np.concatenate(us), np.concatenate(vs)
-        if len(u):
-            yield emit(0, np.zeros(len(u), np.int64), np.zeros(len(u), np.int64), u, v)
+        yield link(*held)
 
     return run
 
 
 def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: int = MOST_IN_RUN) -> DataFrame:
     """Links (u, v) between nodes (fp, rep) whose fingerprints differ in ``radius`` bits at most: for each
-    table key a minimum spanning forest, so that their connected components are those of all links.
+    table key a minimum spanning forest, or fewer links than rows that join the same, so that their connected
+    components are those of all links. Nodes of one fingerprint are linked with the smallest of them, which stands for it.
 
-    Keys with more than ``most_in_run`` rows are dealt out again with a longer key: the bits outside
+    Table rows go to parts by a hash of their key, those of some thousand fingerprints for one part as one row. Keys
+    with more than ``most_in_run`` rows are dealt out again with a longer key: the bits outside
     the table's key are cut into ``radius`` + 1 parts, of which any pair within the radius has one in
     common. So no link is lost, and what one task holds stays bounded.
     """
-    schema = "kind int, key bigint, fp bigint, u bigint, v bigint"
+    heads = stored(nodes.groupBy("fp").agg(F.min("rep").alias("head")), "heads")
+    parts = int(min(max(1, -(-heads.count() * segments.rows // PART_ROWS)), (1 << 16) - 1))
 
     def entered(batches):
-        for b in batches:
-            fp, rep = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("fp", "rep"))
-            for s in range(0, len(fp), 400):
-                rows, keys = segments.entries(fp[s : s + 400].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(fp[s : s + 400][rows]), pa.array(rep[s : s + 400][rows])], ["key", "fp", "rep"])
+        for b in merged(batches, ENTERED):
+            every = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for s in range(0, len(every), ENTERED):
+                fp = every[s : s + ENTERED].view(np.uint64)
+                rows, keys = segments.entries(fp)
+                part = ((keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts)).astype(np.uint16)
+                order = np.argsort(part, kind="stable")
+                n = np.bincount(part, minlength=parts)
+                some = np.flatnonzero(n)
+                ends = pa.py_buffer((8 * np.append(0, np.cumsum(n[some]))).astype(np.int32))
+                packed = [pa.Array.from_buffers(pa.binary(), len(some), [None, ends, pa.py_buffer(x[order])]) for x in (keys, fp[rows])]
+                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), *packed], ["part", "keys", "fps"])
+
+    def linked(part):
+        key, fp = (np.frombuffer(b"".join(x), np.uint64) for x in zip(*part, strict=True))
+        order = np.argsort(key)
+        key, fp = key[order], fp[order]
+        a, b, hot = _key_links(key, fp, radius, most_in_run)
+        kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(hot)])
+        columns = (np.append(np.zeros(len(a), np.uint64), key[hot]), np.append(fp[a], fp[hot]), np.append(fp[b], fp[hot]))
+        return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.view(np.int64)) for x in columns)], ["kind", "key", "u", "v"])
 
-    keyed = nodes.select("fp", "rep").transform(in_arrow, entered, "key bigint, fp bigint, rep bigint")
-    found = stored(keyed.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius, most_in_run), schema), "near-links")
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            for part, keys, fps in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                if part != at and held:
+                    yield linked(held)
+                    held = []
+                at = part
+                held.append((keys, fps))
+        if held:
+            yield linked(held)
+        tidy()
+
+    packed = heads.select("fp").transform(in_arrow, entered, "part int, keys binary, fps binary")
+    found = stored(packed.repartition("part").sortWithinPartitions("part").transform(in_arrow, run, "kind int, key bigint, u bigint, v bigint"), "near-links")
 
     def longer(batches):
         for b in batches:
-            key, fp, rep = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "fp", "u"))
-            out = [[], [], []]
+            key, fp = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("key", "u"))
+            out = [[], []]
             for t, bits in enumerate(segments.tables):
                 pick = (key >> 40) == t
                 if not pick.any():
@@ -254,12 +285,15 @@ def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: i
                     mixed = _mix(value, part, k)
                     out[0].append(mixed.view(np.int64))
                     out[1].append(fp[pick])
-                    out[2].append(rep[pick])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["key", "fp", "rep"])
-
-    hot = found.where("kind = 1").select("key", "fp", "u").transform(in_arrow, longer, "key bigint, fp bigint, rep bigint")
-    again = hot.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius, None), schema)
-    return found.where("kind = 0").select("u", "v").union(again.select("u", "v")).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in out], ["key", "fp"])
+
+    hot = found.where("kind = 1").select("key", "u").transform(in_arrow, longer, "key bigint, fp bigint")
+    again = hot.repartition("key").sortWithinPartitions("key").transform(in_arrow, _run_links(radius), "u bigint, v bigint")
+    links = found.where("kind = 0").select("u", "v").union(again).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    of = lambda c: heads.toDF(c, f"{c}_rep")
+    between = links.join(of("u"), "u").join(of("v"), "v").select(F.col("u_rep").alias("u"), F.col("v_rep").alias("v"))
+    same = nodes.select("fp", "rep").join(heads, "fp").select(F.col("head").alias("u"), F.col("rep").alias("v"))
+    return between.union(same).where("u != v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _mix(key: np.ndarray, part: np.ndarray, k: int) -> np.ndarray:
