@@ -164,10 +164,10 @@ def _forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _key_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _key_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (row numbers a, b) between the rows of a key whose fingerprints differ in ``radius`` bits at most, of which
-    each key has fewer than rows, so that they join what all such pairs join; and the rows of keys with more than ``most``
-    rows, which aren't linked. Rows are sorted by key."""
+    each key has fewer than rows, so that they join what all such pairs join; whether a link is one of a key's spanning
+    forest; and the rows of keys with more than ``most`` rows, which aren't linked. Rows are sorted by key."""
     start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(key)))
     of = np.repeat(np.arange(len(size)), size)
@@ -191,14 +191,39 @@ def _key_links(key: np.ndarray, fp: np.ndarray, radius: int, most: int | None) -
         a, b = _forest(fp[start[k] : start[k] + size[k]], radius)
         us.append(start[k] + a)
         vs.append(start[k] + b)
-    return np.concatenate(us), np.concatenate(vs), np.flatnonzero(hot[of])
+    u, v = np.concatenate(us), np.concatenate(vs)
+    return u, v, np.arange(len(u)) >= len(us[0]), np.flatnonzero(hot[of])
+
+
+def _once(fp: np.ndarray, a: np.ndarray, b: np.ndarray, forest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of links between the same two fingerprints, which share several keys of a part, one; of the links in forests
+    of its keys, a forest of the part."""
+    u, v = np.minimum(fp[a], fp[b]), np.maximum(fp[a], fp[b])
+    order = np.lexsort((forest, v, u))
+    new = np.append(True, (np.diff(u[order]) != 0) | (np.diff(v[order]) != 0))[: len(order)]
+    keep = order[new]
+    root: dict[int, int] = {}
+
+    def top(x):
+        while x in root:
+            root[x] = root.get(root[x], root[x])
+            x = root[x]
+        return x
+
+    stay = ~forest[keep]
+    for k in np.flatnonzero(forest[keep]).tolist():
+        x, y = top(int(u[keep[k]])), top(int(v[keep[k]]))
+        if x != y:
+            root[y] = x
+            stay[k] = True
+    return a[keep[stay]], b[keep[stay]]
 
 
 def _run_links(radius: int):
     """Streams rows (key, fp) sorted by key; links (u, v: fingerprints) those of a key, see :func:`_key_links`."""
 
     def link(key, fp):
-        a, b, _ = _key_links(key, fp.view(np.uint64), radius, None)
+        a, b, _, _ = _key_links(key, fp.view(np.uint64), radius, None)
         return pa.RecordBatch.from_arrays([pa.array(fp[a]), pa.array(fp[b])], ["u", "v"])
 
     def run(batches):
@@ -217,7 +242,8 @@ def _run_links(radius: int):
 
 def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: int = MOST_IN_RUN) -> DataFrame:
     """Links (u, v) between nodes (fp, rep) whose fingerprints differ in ``radius`` bits at most: for each
-    table key a minimum spanning forest, or fewer links than rows that join the same, so that their connected
+    table key fewer links than rows that join what all its links join (for keys with many links, together for those of a
+    part, a spanning forest), so that their connected
     components are those of all links. Nodes of one fingerprint are linked with the smallest of them, which stands for it.
 
     Table rows go to parts by a hash of their key, those of some thousand fingerprints for one part as one row. Keys
@@ -246,7 +272,8 @@ def near_links(nodes: DataFrame, radius: int, segments: Segments, most_in_run: i
         key, fp = (np.frombuffer(b"".join(x), np.uint64) for x in zip(*part, strict=True))
         order = np.argsort(key)
         key, fp = key[order], fp[order]
-        a, b, hot = _key_links(key, fp, radius, most_in_run)
+        a, b, forest, hot = _key_links(key, fp, radius, most_in_run)
+        a, b = _once(fp, a, b, forest)
         kind = np.repeat(np.array([0, 1], np.int32), [len(a), len(hot)])
         columns = (np.append(np.zeros(len(a), np.uint64), key[hot]), np.append(fp[a], fp[hot]), np.append(fp[b], fp[hot]))
         return pa.RecordBatch.from_arrays([pa.array(kind), *(pa.array(x.view(np.int64)) for x in columns)], ["kind", "key", "u", "v"])
