@@ -114,7 +114,7 @@ def unit_in_coverage(spark, d):
 def counts_in_coverage(spark, d):
     """Points of each unit that lie in the coverage; a unit without any has 0."""
     covered = points(spark, d).where("x < 60 and y < 50")
-    counts = spatial.counts_in_polygons(covered, rings(spark, d), "s_suppkey", 8)
+    counts = spatial.counts_in_polygons(covered, rings(spark, d).distinct(), "s_suppkey", 8)
     return table(spark, d, "supplier").select("s_suppkey").join(counts, "s_suppkey", "left").fillna(0, ["n"])
 
 
